@@ -8,13 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .near_dedup import near_duplicate_groups
+from .substring_dedup import substring_dedup
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), window=35, digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
 
