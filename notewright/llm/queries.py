@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import crc_remainder, table
+from .lm_score import lm_scores
 from .near_dedup import near_duplicate_groups
 from .substring_dedup import substring_dedup
 
@@ -19,8 +21,13 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=35, digest=True)
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), crc_remainder(F.col("doc_id"), 7) == 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op5_lm_score": op5_lm_score,
     "op10_near_dedup": op10_near_dedup,
 }
 
