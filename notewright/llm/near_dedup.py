@@ -11,8 +11,9 @@ components of confirmed links are the groups.
 
 Scale. Equal sets are one class from the start. A bucket of any size gives one
 link per member, to its least member. Only buckets that still join several
-components after that are searched in full, in blocks of members, by sketch, in
-tasks of bounded size. Nothing is collected on the driver.
+components after that are searched in full: every two blocks of its members are
+compared by the product of their incidence matrices, in tasks of bounded size,
+which return one link for each two components they join. Nothing is collected on the driver.
 
 Edge cases. Null or wordless text: empty set, linked with nothing. Fewer words
 than a shingle: the whole sequence is one shingle. Rows that repeat a doc_id are
@@ -34,10 +35,8 @@ from .textkit import _U, mix, raw_texts, sequence_hash, shingle_sets, signed
 
 #: Bins of a sketch, coordinates in a band: a pair at 0.85 is missed with 7e-7, at 0.8 with 7e-5.
 BINS, ROWS = 120, 5
-#: Sketch bytes of two sets at the threshold agree in BINS * threshold; SLACK standard deviations fewer still count.
-SLACK = 5
-#: Members of a block, and pairs of blocks, in the full search of a bucket.
-BLOCK = 256
+#: Members of a block in the full search of a bucket; shingles of a matrix.
+BLOCK, COLUMNS = 256, 8192
 
 
 def sketches(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
@@ -79,16 +78,13 @@ def _signatures(shingle: int, bins: int, rows: int):
                 key = mix(key ^ salt)
                 node: list[int | None] = [None] * n
                 band: list = [None] * n
-                low: list[bytes | None] = [None] * n
-                small = (mix(sk) & _U(0xFF)).astype(np.uint8)
                 for r, i in enumerate(full):
                     digest = sequence_hash(sets[i])
                     node[i] = (digest & (2**64 - 1)) - 2**63
                     band[i] = signed(key[r])
-                    low[i] = small[r].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, n), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(band, pa.list_(pa.int64())), pa.array(low, pa.binary())],
-                    names=["doc_id", "node", "n_shingles", "bands", "low"],
+                    [batch.column(0).slice(a, n), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(band, pa.list_(pa.int64()))],
+                    names=["doc_id", "node", "n_shingles", "bands"],
                 )
 
     return run
@@ -142,21 +138,41 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def _rest_pairs(least: int):
-    """Pairs of two blocks of one bucket in different components whose sketches agree in least bytes."""
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, by matrix products of COLUMNS shingles."""
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.float64)
+    for a in range(0, len(both), COLUMNS):
+        part = both[a : a + COLUMNS]
+
+        def rows(sets, part=part):
+            m = np.zeros((len(sets), len(part)), np.float32)
+            for i, s in enumerate(sets):
+                at = np.searchsorted(part, s)
+                at[at == len(part)] = 0
+                m[i, at[part[at] == s]] = 1
+            return m
+
+        out += rows(left) @ rows(right).T
+    return out
+
+
+def _rest_links(shingle: int, percent: int):
+    """Links between two blocks of one bucket that join different components: one for each two components."""
 
     def run(table: pa.Table) -> pa.Table:
         side = np.asarray(table["side"])
         node, label = np.asarray(table["node"]), np.asarray(table["label"])
-        sk = np.frombuffer(b"".join(table["low"].to_pylist()), np.uint8).reshape(len(node), -1)
+        sets = shingle_sets(raw_texts(table["text"]), shingle)
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        found_a, found_b = [], []
-        for i in x:
-            hit = y[(label[y] != label[i]) & ((sk[y] == sk[i]).sum(axis=1) >= least)]
-            found_a.append(np.maximum(node[hit], node[i]))
-            found_b.append(np.minimum(node[hit], node[i]))
-        join = lambda v: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64))
-        return pa.table({"a": join(found_a), "b": join(found_b)})
+        size = np.array([len(s) for s in sets])
+        both = _common([sets[i] for i in x], [sets[i] for i in y])
+        union = size[x][:, None] + size[y][None, :] - both
+        i, j = np.nonzero((100 * both >= percent * union) & (label[x][:, None] != label[y][None, :]))
+        i, j = x[i], y[j]
+        lo, hi = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        _, first = np.unique(np.stack([lo, hi]), axis=1, return_index=True) if len(i) else (None, np.zeros(0, int))
+        return pa.table({"a": node[i[first]], "b": node[j[first]]})
 
     return run
 
@@ -164,9 +180,9 @@ def _rest_pairs(least: int):
 def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bins: int = BINS, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed_docs = materialise(docs.mapInArrow(_signatures(shingle, bins, rows), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, n_shingles long, bands array<long>, low binary"), "sketches")
+    signed_docs = materialise(docs.mapInArrow(_signatures(shingle, bins, rows), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, n_shingles long, bands array<long>"), "sketches")
     classes = materialise(
-        signed_docs.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("low").alias("low")), "classes"
+        signed_docs.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "classes"
     )
     member = classes.select("node", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("size")).filter("size > 1").select("bucket", "lead")
@@ -176,7 +192,7 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     near = near.withColumnRenamed("least", "near_id")
     texts = docs.join(near, F.col("doc_id").eqNullSafe(F.col("near_id")))
     texts = texts.select("node", "text").mapInArrow(_own_text(shingle), "node long, text string")
-    texts = materialise(texts, "texts")
+    texts = materialise(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     star = member.filter("node > lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     links = materialise(confirmed(star, texts, shingle, percent), "links")
@@ -186,8 +202,6 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     named = member.select("bucket", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
     spread = named.join(open_, "bucket")
-    share = percent / 100
-    least = int(np.floor(bins * share - SLACK * np.sqrt(bins * share * (1 - share))))
     order = Window.partitionBy("bucket").orderBy("label", "node")
     blocks = spread.withColumn("block", F.floor((F.row_number().over(order) - 1) / F.lit(BLOCK)).cast("int"))
     blocks = materialise(blocks, "blocks")
@@ -196,9 +210,9 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     tasks = of_block.join(other, "bucket").filter("block <= other and least(lo, lo2) < greatest(hi, hi2)").select("bucket", "block", "other")
     one = blocks.join(tasks, ["bucket", "block"]).select("bucket", "block", "other", "node", "label", F.lit(0).alias("side"))
     two = blocks.withColumnRenamed("block", "other").join(tasks, ["bucket", "other"]).select("bucket", "block", "other", "node", "label", F.lit(1).alias("side"))
-    sides = one.union(two).join(classes.select("node", "low"), "node")
-    rest = sides.groupBy("bucket", "block", "other").applyInArrow(_rest_pairs(least), "a long, b long").distinct()
-    more = materialise(confirmed(rest, texts, shingle, percent), "links")
+    sides = one.union(two).join(texts, "node")
+    rest = sides.groupBy("bucket", "block", "other").applyInArrow(_rest_links(shingle, percent), "a long, b long")
+    more = materialise(rest, "links")
     label = materialise(components(links.union(more)), "labels") if not more.isEmpty() else label
 
     group = classes.select("node", "least").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
