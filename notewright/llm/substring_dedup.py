@@ -12,6 +12,8 @@ likewise, so a passage that every document holds sends a row per block and task
 at most. Whole copies are found by one digest a document; of them one hashes its
 windows. Blocks of documents have a fixed size in bytes.
 
+A key has 63 bits: of n candidate windows about n * n / 2**64 pairs would agree by chance.
+
 Edge cases. Null or wordless text: no words, nothing removed, the hash of the empty
 string. Texts shorter than a window keep all. Rows that repeat a doc_id count as
 documents of their own. Other columns are ignored.
@@ -27,14 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_of, materialise, text_bytes
-from .textkit import _U, Words, gathered, mix, raw_texts, sequence_hash, signed, windows
+from .common import block_of, text_bytes
+from .textkit import Words, gathered, raw_texts, sequence_hash, signed
 
 #: Perfect difference sets, by their period.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 #: Bytes of text in a block.
 BLOCK_BYTES = 8_000_000
-_S = _U(0xB5AD4ECEDA1CE2A9 | 3)
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...], int]:
@@ -61,6 +62,16 @@ def _tallied(*keys: np.ndarray, weight: np.ndarray | None = None) -> tuple[list[
     return [k[at] for k in keys], total
 
 
+def _digest_of(words: np.ndarray) -> int:
+    """A whole word sequence as a key; whole keys are odd, anchors even."""
+    return ((sequence_hash(words) & (2**64 - 1)) - 2**63) | 1
+
+
+def _packed(block: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Block and count (2 stands for more) in one long."""
+    return (block.astype(np.int64) << 2) | np.minimum(n, 2)
+
+
 def _anchors(window: int):
     v, cover, length = cover_for(window)
     on = np.zeros(v, bool)
@@ -68,66 +79,95 @@ def _anchors(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, block, ids = raw_texts(batch.column(1)), np.asarray(batch.column(2)), batch.column(0)
+            raw, block = raw_texts(batch.column(0)), np.asarray(batch.column(1))
             for a, b in gathered(raw, 8 << 20):
                 w = Words(raw[a:b], lower=False)
                 of = np.repeat(block[a:b], np.diff(w.bounds))
                 h, valid = w.windows(length)
                 valid &= on[_position(w) % v]
-                (key, blk), n = _tallied(signed(h[valid]), of[valid])
-                yield _rows(key, blk, n, None)
-                whole = [(i, lo, hi) for i, (lo, hi) in enumerate(zip(w.bounds[:-1], w.bounds[1:], strict=True)) if hi - lo >= window]
-                if whole:
-                    i = np.array([x[0] for x in whole]) + a
-                    key = np.array([(sequence_hash(w.hash[lo:hi]) & (2**64 - 1)) - 2**63 for _, lo, hi in whole], np.int64)
-                    yield _rows(key, block[i], np.ones(len(i), np.int64), ids.take(pa.array(i)))
-
-    def _rows(key, blk, n, doc) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(key), pa.array(blk, pa.int32()), pa.array(n), pa.array(np.full(len(key), doc is not None)), doc.cast(pa.int64()) if doc is not None else pa.nulls(len(key), pa.int64())],
-            names=["key", "blk", "n", "whole", "doc"],
-        )
+                keys, blocks = [signed(h[valid]) & ~1], [of[valid]]
+                for i, lo, hi in zip(range(a, b), w.bounds[:-1], w.bounds[1:], strict=True):
+                    if hi - lo >= window:
+                        keys.append(np.array([_digest_of(w.hash[lo:hi])], np.int64))
+                        blocks.append(block[i : i + 1])
+                (key, blk), n = _tallied(np.concatenate(keys), np.concatenate(blocks))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(_packed(blk, n))], names=["key", "at"])
 
     return run
 
 
+def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (key, at): those whose key occurs more than once; lead marks a key's first row.
+
+    Holds the rows of one key at most beyond a batch, and those are one for each task and block."""
+    rest: list = []
+
+    def done(k, at):
+        if not len(k):
+            return None
+        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        total = np.add.reduceat(at & 3, first)
+        lead = np.zeros(len(k), bool)
+        lead[first] = True
+        keep = np.repeat(total > 1, np.diff(np.append(first, len(k))))
+        return pa.RecordBatch.from_arrays([pa.array((at[keep] >> 2).astype(np.int32)), pa.array(k[keep]), pa.array(lead[keep])], names=["blk", "key", "lead"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rest.append((np.asarray(batch.column(0)), np.asarray(batch.column(1))))
+        if rest[0][0][0] == rest[-1][0][-1]:
+            continue
+        k, at = (np.concatenate(x) for x in zip(*rest, strict=True))
+        cut = int(np.searchsorted(k, k[-1]))
+        yield done(k[:cut], at[:cut])
+        rest = [(k[cut:], at[cut:])]
+    if rest:
+        yield done(*(np.concatenate(x) for x in zip(*rest, strict=True)))
+
+
+def _whole_copies(w: Words, window: int, copies: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """First and last word and digest of each document that is a whole copy."""
+    for lo, hi in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True):
+        if len(copies) and hi - lo >= window:
+            d = _digest_of(w.hash[lo:hi])
+            if _within(np.array([d], np.int64), copies)[0]:
+                yield lo, hi, d
+
+
 def _candidate_windows(window: int):
     v, cover, length = cover_for(window)
     on = np.zeros(v, bool)
     on[list(cover)] = True
 
     def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
-        whole = np.asarray(found["whole"])
-        keys = np.asarray(found["key"])
-        anchors = np.sort(keys[~whole])
-        first = dict(zip(keys[whole].tolist(), found["doc"].filter(pa.array(whole)).to_pylist(), strict=True))
-        raw, ids = raw_texts(docs["text"]), docs["doc_id"].to_pylist()
-        out = []
+        keys, lead = np.asarray(found["key"]), np.asarray(found["lead"])
+        whole = (keys & 1) == 1
+        anchors, copies = np.unique(keys[~whole]), np.unique(keys[whole])
+        mine = set(keys[whole & lead].tolist())
+        raw = raw_texts(docs["text"])
+        k_out, n_out = [copies], [np.full(len(copies), 2)]
         for a, b in gathered(raw):
             w = Words(raw[a:b], lower=False)
             n = len(w.hash)
             h, valid = w.windows(length)
-            hit = valid & on[_position(w) % v]
-            at = np.flatnonzero(hit)
-            at = at[_within(signed(h[at]), anchors)]
+            at = np.flatnonzero(valid & on[_position(w) % v])
+            at = at[_within(signed(h[at]) & ~1, anchors)]
             mark = np.zeros(n + 1, np.int64)
             np.add.at(mark, np.maximum(at - (v - 1), 0), 1)
             np.add.at(mark, at + 1, -1)
             full, valid = w.windows(window)
             want = valid & (np.cumsum(mark[:n]) > 0)
             weight = np.ones(n, np.int64)
-            for i, lo, hi in zip(range(a, b), w.bounds[:-1], w.bounds[1:], strict=True):
-                if hi - lo >= window:
-                    lead = first.get((sequence_hash(w.hash[lo:hi]) & (2**64 - 1)) - 2**63, ())
-                    if lead != ():
-                        want[lo:hi] = valid[lo:hi] & (ids[i] == lead)
-                        weight[lo:hi] = 2
-            second, _ = windows(mix(w.hash), w.bounds, window, _S)
-            (k1, k2), total = _tallied(signed(full[want]), signed(second[want]).astype(np.int32), weight=weight[want])
-            out.append((k1, k2, total))
-        join = lambda i, t: pa.array(np.concatenate([x[i] for x in out]) if out else np.zeros(0), t)
-        n = sum(len(x[0]) for x in out)
-        return pa.table({"key": join(0, pa.int64()), "check": join(1, pa.int32()), "blk": pa.array(np.full(n, key[0]), pa.int32()), "n": join(2, pa.int64())})
+            for lo, hi, d in _whole_copies(w, window, copies):
+                want[lo:hi] = valid[lo:hi] & (d in mine)
+                weight[lo:hi] = 2
+                mine.discard(d)
+            (k,), total = _tallied(signed(full[want]) & ~1, weight=weight[want])
+            k_out.append(k)
+            n_out.append(total)
+        k, n = np.concatenate(k_out), np.concatenate(n_out)
+        return pa.table({"key": k, "at": _packed(np.full(len(k), key[0] or 0), n)})
 
     return run
 
@@ -140,28 +180,23 @@ def _within(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 def _removal(window: int):
     def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
-        whole = np.asarray(found["whole"])
-        keys, checks = np.asarray(found["key"]), np.asarray(found["check"])
-        copies = np.sort(keys[whole])
-        pairs = np.sort(_joined(keys[~whole], checks[~whole]))
+        keys = np.unique(np.asarray(found["key"]))
+        copies, windows_ = keys[(keys & 1) == 1], keys[(keys & 1) == 0]
         raw = raw_texts(docs["text"])
         n_words, n_removed, kept, spans = [], [], [], []
         for a, b in gathered(raw):
             w = Words(raw[a:b], lower=False)
             n = len(w.hash)
             full, valid = w.windows(window)
-            second, _ = windows(mix(w.hash), w.bounds, window, _S)
             at = np.flatnonzero(valid)
-            at = at[_within(_joined(signed(full[at]), signed(second[at]).astype(np.int32)), pairs)]
+            at = at[_within(signed(full[at]) & ~1, windows_)]
             mark = np.zeros(n + window + 1, np.int64)
             mark[at] += 1
             np.add.at(mark, at + window, -1)
             gone = np.cumsum(mark)[:n] > 0
+            for lo, hi, _ in _whole_copies(w, window, copies):
+                gone[lo:hi] = True
             for lo, hi in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True):
-                if hi - lo >= window and len(copies):
-                    d = np.array([(sequence_hash(w.hash[lo:hi]) & (2**64 - 1)) - 2**63], np.int64)
-                    if _within(d, copies)[0]:
-                        gone[lo:hi] = True
                 keep = np.flatnonzero(~gone[lo:hi]) + lo
                 if len(keep) == hi - lo and hi > lo:
                     text = b" ".join(w.data[w.start[lo] : w.end[hi - 1]].split())
@@ -197,11 +232,6 @@ def _digest(run):
     return short
 
 
-def _joined(key: np.ndarray, check: np.ndarray) -> np.ndarray:
-    """Window hash and check as one sortable value."""
-    return mix(key.view(_U) + mix(check.astype(np.int64).view(_U))).view(np.int64)
-
-
 def substring_dedup(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_text and removed
     (word positions where removed runs begin and end, alternately); with digest,
@@ -210,19 +240,10 @@ def substring_dedup(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id"
     blocks = max(1, -(-text_bytes(docs, "text") // BLOCK_BYTES))
     dealt = docs.select("doc_id", "text", block_of(F.col("doc_id"), F.col("text"), blocks).alias("blk"))
 
-    seen = dealt.mapInArrow(_anchors(window), "key long, blk int, n long, whole boolean, doc long")
-    seen = seen.repartition("whole", "key")
-    recurs = seen.groupBy("whole", "key").agg(F.sum("n").alias("total"), F.min("doc").alias("lead")).filter("total > 1")
-    back = seen.join(recurs, ["whole", "key"]).select("blk", "key", "whole", F.col("lead").alias("doc")).distinct()
-    back = materialise(back, "anchors")
-
-    candidates = dealt.groupBy("blk").cogroup(back.groupBy("blk")).applyInArrow(_candidate_windows(window), "key long, check int, blk int, n long")
-    candidates = candidates.repartition("key", "check")
-    twice = candidates.groupBy("key", "check").agg(F.sum("n").alias("total")).filter("total > 1").select("key", "check")
-    gone = candidates.join(twice, ["key", "check"]).select("blk", "key", "check", F.lit(False).alias("whole")).distinct()
-    copies = back.filter("whole").select("blk", "key", F.lit(0).alias("check"), "whole")
-    gone = materialise(gone.union(copies), "windows")
-
+    recurring = lambda rows: rows.repartition("key").sortWithinPartitions("key", "at").mapInArrow(_recurring, "blk int, key long, lead boolean")
+    anchors = recurring(dealt.select("text", "blk").mapInArrow(_anchors(window), "key long, at long"))
+    found = dealt.groupBy("blk").cogroup(anchors.groupBy("blk")).applyInArrow(_candidate_windows(window), "key long, at long")
+    gone = recurring(found)
     run, last = _removal(window), "kept_text string, removed array<long>"
     if digest:
         run, last = _digest(run), "kept_sha256 string"
