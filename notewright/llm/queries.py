@@ -10,13 +10,23 @@ from pyspark.sql import functions as F
 from .common import crc_remainder, table
 from .lm_score import lm_scores
 from .near_dedup import near_duplicate_groups
+from .pii import pii_spans
+from .secret_scan import secret_scan
 from .substring_dedup import substring_dedup
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans(table(spark, sf_dir, "documents")).drop("all_spans")
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=35, digest=True)
 
@@ -26,8 +36,10 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_substring_dedup": op2_substring_dedup,
     "op5_lm_score": op5_lm_score,
+    "op9_pii": op9_pii,
     "op10_near_dedup": op10_near_dedup,
 }
 
