@@ -11,10 +11,18 @@ from .common import crc_remainder, table
 from .lm_score import lm_scores
 from .near_dedup import near_duplicate_groups
 from .pii import pii_spans
+from .quality import quality_scores, train_quality
 from .secret_scan import secret_scan
 from .substring_dedup import substring_dedup
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_remainder(F.col("doc_id"), 5) == 0
+    scored = quality_scores(docs, train_quality(docs, labels, ~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("nw_score").alias("score"), F.col("nw_predicted").alias("predicted"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_spans(table(spark, sf_dir, "documents")).drop("all_spans")
 
@@ -39,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_substring_dedup": op2_substring_dedup,
     "op5_lm_score": op5_lm_score,
+    "op8_quality": op8_quality,
     "op9_pii": op9_pii,
     "op10_near_dedup": op10_near_dedup,
 }
