@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from .ann import nearest_neighbours
 from .common import crc_remainder, table
+from .decontaminate import decontaminate
+from .line_dedup import line_dedup
 from .lm_score import lm_scores
+from .mixing import mix_sources
 from .near_dedup import near_duplicate_groups
 from .pii import pii_spans
 from .quality import quality_scores, train_quality
@@ -17,6 +20,17 @@ from .secret_scan import secret_scan
 from .substring_dedup import substring_dedup
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.transform("nw_matches", lambda m: m["item_id"])
+    best = F.array_max(F.transform("nw_matches", lambda m: m["similarity"]))
+    return found.select("doc_id", (F.size("nw_matches") > 0).alias("contaminated"), ids.alias("item_ids"), F.round(best, 9).alias("similarity"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = crc_remainder(F.col("doc_id"), 5) == 0
@@ -40,6 +54,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=35, digest=True)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("nw_lines").alias("n_lines"), F.col("nw_dropped").alias("n_dropped"), F.col("text").alias("kept_text"))
+
+
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -51,8 +70,11 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_lm_score": op5_lm_score,
+    "op6_mixing": op6_mixing,
+    "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
     "op10_near_dedup": op10_near_dedup,
