@@ -41,7 +41,7 @@ def routed(merged: DataFrame, note_to_case: DataFrame) -> DataFrame:
         .when(~F.col("p.ok"), F.col("p.reason"))
         .when(facts.isNull(), "no_direct_fact")
     )
-    return j.drop("p").withColumn("reason", reason)
+    return j.withColumn("reason", reason).drop("p")
 
 
 def ranked_candidates(rows: DataFrame) -> DataFrame:

@@ -263,7 +263,7 @@ def traverse(candidates: DataFrame, graph: dict | None = None) -> DataFrame:
     reason = F.coalesce(g.attribute("abstention_reason", F.col("terminal_node"), "string"), F.when(F.col("abstained"), "no_matching_edge"))
     gap = g.attribute("missing_info", F.col("terminal_node"), "string")
     return t.select(
-        *candidates.columns,
+        *[c for c in candidates.columns if c != "lung_rads_category"],
         "terminal_node", F.col("g.visited_nodes").alias("visited_nodes"), F.col("g.matched_edges").alias("matched_edges"), F.col("g.failed_edges").alias("failed_edges"),
         "lung_rads_category", "abstained", reason.alias("abstention_reason"),
         F.coalesce(lookup(F.col("lung_rads_category"), SEVERITY), F.lit(-1)).alias("severity"),

@@ -58,7 +58,7 @@ def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """One row: distinct keys of a, of b, of both, of a alone, of b alone."""
     one = a.select(key, F.lit(1).alias("a"), F.lit(0).alias("b")).union(b.select(key, F.lit(0), F.lit(1))).groupBy(key).agg(F.max("a").alias("a"), F.max("b").alias("b"))
     return one.agg(
-        F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.count_if("a = 1 and b = 1").alias("n_both"), F.count_if("b = 0").alias("only_a"), F.count_if("a = 0").alias("only_b")
+        F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.count_if((F.col("a") == 1) & (F.col("b") == 1)).alias("n_both"), F.count_if(F.col("b") == 0).alias("only_a"), F.count_if(F.col("a") == 0).alias("only_b")
     )
 
 
