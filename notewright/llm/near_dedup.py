@@ -33,12 +33,18 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .textkit import _U, mix, raw_texts, sequence_hash, shingle_sets, signed
 
-#: Bins of a sketch, coordinates in a band: a pair at 0.85 is missed with 7e-7, at 0.8 with 7e-5.
-BINS, ROWS = 120, 5
+#: Bins of a sketch; the greatest probability that a pair at the threshold shares no band.
+BINS, MISS = 120, 1e-6
 #: Members of a block in the full search of a bucket; shingles of a matrix.
 BLOCK, COLUMNS = 256, 8192
 
 
+def band_rows(percent: int, bins: int = BINS, miss: float = MISS) -> int:
+    """The most coordinates a band may have (5 at 85, 4 at 80)."""
+    t = percent / 100
+    return max(r for r in range(1, bins + 1) if r == 1 or (1 - t**r) ** (bins // r) <= miss)
+
+
 def sketches(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
     """One row of bins coordinates per non-empty set."""
     docs = len(sets)
@@ -177,10 +183,10 @@ def _rest_links(shingle: int, percent: int):
     return run
 
 
-def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bins: int = BINS, rows: int = ROWS) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bins: int = BINS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed_docs = materialise(docs.mapInArrow(_signatures(shingle, bins, rows), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, n_shingles long, bands array<long>"), "sketches")
+    signed_docs = materialise(docs.mapInArrow(_signatures(shingle, bins, band_rows(percent, bins)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, n_shingles long, bands array<long>"), "sketches")
     classes = materialise(
         signed_docs.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "classes"
     )
