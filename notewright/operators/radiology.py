@@ -58,16 +58,30 @@ def nodules(mentions: Column, count: Column, rads: Column, cue: Column) -> Colum
     return F.transform(F.transform(F.transform(mentions, _read), lambda x, i: _nodule(x, i + 1, count, rads, cue)), _flagged)
 
 
-def facts(notes: DataFrame, text: str = "text") -> DataFrame:
-    """Notes (note_id, subject_id, exam_name, text) with sections, nodules and what is derived from them.
-
-    Stages bind shared parts once: sections, then mentions, then nodules."""
+def _staged(notes: DataFrame, text: str) -> DataFrame:
+    """notes with sections, found (mentions), cue, rads and nodule_count; each stage binds what the next shares."""
     staged = notes.withColumn("sections", T.sections(F.col(text)))
-    of_findings = T.mentions(F.col("sections.findings"))
-    staged = staged.withColumn("found", of_findings)
+    staged = staged.withColumn("found", T.mentions(F.col("sections.findings")))
     staged = staged.withColumn("found", F.when(F.size("found") > 0, F.col("found")).otherwise(T.mentions(F.col("sections.impression"))))
     both = F.concat_ws(" ", F.coalesce("sections.impression", F.lit("")), F.coalesce(F.col(text), F.lit("")))
-    staged = staged.withColumn("cue", T.cue(both)).withColumn("rads", T.lung_rads(both)).withColumn("nodule_count", F.size("found"))
+    return staged.withColumn("cue", T.cue(both)).withColumn("rads", T.lung_rads(both)).withColumn("nodule_count", F.size("found"))
+
+
+def mention_facts(notes: DataFrame, text: str = "text") -> DataFrame:
+    """One row per nodule: note_id, subject_id, exam_name and the nodule's fields.
+
+    Mentions are exploded before they are read, so that every pattern is compiled code over a row's column."""
+    rows = _staged(notes, text).select("note_id", "subject_id", "exam_name", "cue", "rads", "nodule_count", F.posexplode("found").alias("i", "m"))
+    m = F.col("m")
+    rows = rows.withColumn("size", T.size(m)).withColumn("density", T.density(m)).withColumn("place", T.location(m)).withColumn("change", T.change(m)).withColumn("shape", T.morphology(m))
+    x = {k: F.col(k) for k in ("size", "density", "place", "change", "shape")} | {"text": m}
+    rows = rows.select("note_id", "subject_id", "exam_name", _nodule(x, F.col("i") + 1, F.col("nodule_count"), F.col("rads"), F.col("cue")).alias("n")).select("note_id", "subject_id", "exam_name", "n.*")
+    return rows.withColumn("missing_flags", T.missing(**{k: F.col(k) for k in NODULE_FIELDS}))
+
+
+def facts(notes: DataFrame, text: str = "text") -> DataFrame:
+    """Notes (note_id, subject_id, exam_name, text) with sections, nodules (an array) and what is derived from them."""
+    staged = _staged(notes, text)
     return staged.select(
         *[c for c in notes.columns if c != text],
         F.col(text).alias("report_text"),

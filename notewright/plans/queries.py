@@ -121,14 +121,14 @@ def lung_rads_extract(spark, sf):
  CASE (size_mm IS NOT NULL)::INT + coalesce(density_category <> 'unclear', false)::INT + coalesce(location_lobe <> 'unclear', false)::INT WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS confidence,
  CASE WHEN n = 1 THEN 'single' ELSE 'multiple' END AS count_type, mention AS evidence FROM nodules""")
 def radiology_facts(spark, sf):
-    m = radiology.mention_rows(_facts(spark, sf))
+    m = radiology.mention_facts(_chest(spark, sf))
     return m.select("note_id", F.col("nodule_id_in_report").cast("long").alias("k"), "size_mm", "density_category", "location_lobe", "change_status", F.col("lung_rads_category").alias("rads"), F.col("recommendation_cue").alias("cue"), "confidence", "count_type", F.col("evidence_span").alias("evidence"))
 
 
 @query(f"""WITH {S.NODULES} SELECT flag, count(*) AS n FROM (SELECT unnest([CASE WHEN size_mm IS NULL THEN 'size_mm' END, CASE WHEN location_lobe IS NULL THEN 'location_lobe' END,
  CASE WHEN change_status IS NULL THEN 'change_status' END, CASE WHEN rads IS NULL THEN 'lung_rads_category' END, CASE WHEN cue IS NULL THEN 'recommendation_cue' END]) AS flag FROM nodules) WHERE flag IS NOT NULL GROUP BY flag""")
 def missing_flags(spark, sf):
-    m = radiology.mention_rows(_facts(spark, sf)).select(F.explode("missing_flags").alias("flag"))
+    m = radiology.mention_facts(_chest(spark, sf)).select(F.explode("missing_flags").alias("flag"))
     return m.filter(~F.col("flag").isin("size_text", "density_text", "location_text", "change_text")).groupBy("flag").agg(F.count("*").alias("n"))
 
 
@@ -193,7 +193,7 @@ def smoking_quality(spark, sf):
 
 
 def _case_rows(spark, sf):
-    m = radiology.mention_rows(_facts(spark, sf))
+    m = radiology.mention_facts(_chest(spark, sf))
     return m.withColumn("case_id", F.col("subject_id")).withColumn("ordinal", F.regexp_extract("note_id", r"(\d+)$", 1).cast("long") * 100 + F.col("nodule_id_in_report"))
 
 
