@@ -52,12 +52,19 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in VIEWS}
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to as many tasks as the session has cores or shuffle partitions: a note is few bytes and much work,
+    so partitions that adaptive execution would merge by their bytes are kept apart."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(LINES, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    return spread(spark.sql(LINES, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet")), "l_orderkey")
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(NOTES, **tables(spark, sf_dir))
+    return spread(spark.sql(NOTES, **tables(spark, sf_dir)), "note_id")
 
 
 def details(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +72,4 @@ def details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def discharge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(DISCHARGE, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return spread(spark.sql(DISCHARGE, orders=spark.read.parquet(f"{sf_dir}/orders.parquet")), "note_id")
