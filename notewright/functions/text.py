@@ -103,7 +103,8 @@ def size(text: Column, rules=P.SIZES) -> Column:
         hit = has(text, pattern)
         value = F.when(hit, one * unit) if value is None else value.when(hit, one * unit)
         span = F.when(hit, found(text, pattern)) if span is None else span.when(hit, found(text, pattern))
-    return F.struct(value.alias("value"), span.alias("span"))
+    unit = has(text, r"[0-9]\s*-?\s*[cm]m\b")
+    return F.struct(F.when(unit, value).alias("value"), F.when(unit, span).alias("span"))
 
 
 def density(text: Column) -> Column:

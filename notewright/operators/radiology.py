@@ -72,9 +72,10 @@ def mention_facts(notes: DataFrame, text: str = "text") -> DataFrame:
 
     Mentions are exploded before they are read, so that every pattern is compiled code over a row's column."""
     rows = _staged(notes, text).select("note_id", "subject_id", "exam_name", "cue", "rads", "nodule_count", F.posexplode("found").alias("i", "m"))
-    m = F.col("m")
-    rows = rows.withColumn("size", T.size(m)).withColumn("density", T.density(m)).withColumn("place", T.location(m)).withColumn("change", T.change(m)).withColumn("shape", T.morphology(m))
-    x = {k: F.col(k) for k in ("size", "density", "place", "change", "shape")} | {"text": m}
+    read = F.inline(F.array(F.struct(*[_read(F.col("m"))[k].alias(k) for k in ("text", "size", "density", "place", "change", "shape")])))
+    # a generator, unlike a projection, is not merged with what uses it: every pattern runs once
+    rows = rows.select("note_id", "subject_id", "exam_name", "cue", "rads", "nodule_count", "i", read)
+    x = {k: F.col(k) for k in ("text", "size", "density", "place", "change", "shape")}
     rows = rows.select("note_id", "subject_id", "exam_name", _nodule(x, F.col("i") + 1, F.col("nodule_count"), F.col("rads"), F.col("cue")).alias("n")).select("note_id", "subject_id", "exam_name", "n.*")
     return rows.withColumn("missing_flags", T.missing(**{k: F.col(k) for k in NODULE_FIELDS}))
 
