@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textkit import _U, Words, gathered, raw_texts, windows
+from .textkit import parts as in_parts
 
 SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS, BLOCK_RADIUS = 22, 8, 2
@@ -138,7 +139,7 @@ _MATCH_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.fl
 def _found(items, least: float, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Items = items.value
-        for batch in batches:
+        for batch in in_parts(batches):
             raw = raw_texts(batch.column(text_at))
             out: list[list] = [[] for _ in raw]
             for a, b in gathered(raw):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .textkit import _U, mix, raw_texts, sequence_hash, shingle_sets, signed
+from .textkit import _U, mix, parts, raw_texts, sequence_hash, shingle_sets, signed
 
 #: Bins of a sketch; the greatest probability that a pair at the threshold shares no band.
 BINS, MISS = 120, 1e-6
@@ -70,9 +70,9 @@ def _signatures(shingle: int, bins: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, bands + 1, dtype=_U))
-        for batch in batches:
+        for batch in parts(batches):
             raw = raw_texts(batch.column(1))
-            step = 2000
+            step = 1000
             for a in range(0, len(raw), step):
                 sets = shingle_sets(raw[a : a + step], shingle)
                 n = len(sets)
@@ -98,7 +98,7 @@ def _signatures(shingle: int, bins: int, rows: int):
 
 def _confirm(shingle: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 500):
             left, right = (shingle_sets(raw_texts(batch.column(i)), shingle) for i in (2, 3))
             keep = []
             for x, y in zip(left, right, strict=True):
@@ -233,7 +233,7 @@ def _own_text(shingle: int):
     """Only rows whose text is of the class they were joined to (a doc_id may repeat)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             node = batch.column(0).to_pylist()
             sets = shingle_sets(raw_texts(batch.column(1)), shingle)
             yield batch.filter(pa.array([(sequence_hash(s) & (2**64 - 1)) - 2**63 == n for n, s in zip(node, sets, strict=True)], pa.bool_()))

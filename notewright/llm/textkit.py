@@ -133,6 +133,13 @@ def raw_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, so that what is made of a batch's texts stays small."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def gathered(raw: list[bytes], size: int = GATHER) -> Iterator[tuple[int, int]]:
     """Ranges of documents with about size bytes each (one longer document is a range of its own)."""
     begin = total = 0
