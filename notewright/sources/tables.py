@@ -43,7 +43,7 @@ def read_rows(spark: SparkSession, path: str, schema: str | T.StructType) -> Dat
         raise ValueError(f"no reader for {suffix or path}")
     fields = schema if isinstance(schema, str) else schema.simpleString()[7:-1].replace(":", " ")
     inner = f"array<struct<{', '.join(f.strip().replace(' ', ':', 1) for f in fields.split(','))}>>"
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     bare = F.ltrim(F.col("value")).startswith("[")
     env = F.from_json("value", f"rows {inner}, data {inner}, mentions {inner}")
     rows = F.when(bare, F.from_json("value", inner)).otherwise(F.coalesce(env["rows"], env["data"], env["mentions"]))
