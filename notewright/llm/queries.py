@@ -17,6 +17,7 @@ from .near_dedup import near_duplicate_groups
 from .pii import pii_spans
 from .quality import quality_scores, train_quality
 from .secret_scan import secret_scan
+from .sql import SQL  # noqa: F401
 from .substring_dedup import substring_dedup
 
 
@@ -78,6 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
     "op10_near_dedup": op10_near_dedup,
-}
-
-SQL: dict[str, str] = {}
+}
\ No newline at end of file
