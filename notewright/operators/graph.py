@@ -100,18 +100,19 @@ class Compiled:
             failed.append(e)
         self.paths.append(([*tests, *[(f, False) for f in failed]], taken, [*visited, f"A_NO_MATCH_{at}"], f"A_NO_MATCH_{at}"))
 
-    def _holds(self, tests: list) -> Column:
-        out = F.lit(True)
-        for e, want in tests:
-            test, _ = condition(e["condition"])
-            out = out & (test if want else ~test)
-        return out
-
-    def terminal(self) -> Column:
-        """Struct of terminal, visited_nodes, matched_edges, failed_edges and facts found missing on failed edges."""
+    def edge_columns(self) -> dict[str, Column]:
+        """Whether each edge's condition holds, by column name; every condition is in the plan once."""
+        return {f"g_{e['edge_id']}": condition(e["condition"])[0] for e in self.graph["edges"]}
+
+    def path(self) -> Column:
+        """Number of the path that a row of edge_columns takes, from 1."""
         chosen = F
         for i, (tests, *_) in enumerate(self.paths):
-            chosen = chosen.when(self._holds(tests), F.lit(i + 1))
+            holds = F.lit(True)
+            for e, want in tests:
+                c = F.col(f"g_{e['edge_id']}")
+                holds = holds & (c if want else ~c)
+            chosen = chosen.when(holds, F.lit(i + 1))
         return chosen
 
     def trace(self, path: Column) -> Column:
@@ -244,7 +245,7 @@ def traverse(candidates: DataFrame, graph: dict | None = None) -> DataFrame:
     """Adds path trace, category after modifiers, severity, level and so on to rows of candidate_facts."""
     g = Compiled(graph or lung_graph())
     mods = g.graph.get("modifiers", [])
-    t = candidates.withColumn("g_path", g.terminal()).withColumn("g", g.trace(F.col("g_path"))).withColumn("terminal_node", F.col("g.terminal_node"))
+    t = candidates.withColumns(g.edge_columns()).withColumn("g_path", g.path()).withColumn("g", g.trace(F.col("g_path"))).withColumn("terminal_node", F.col("g.terminal_node"))
     t = t.withColumn("lung_rads_category", g.attribute("lung_rads_category", F.col("terminal_node"), "string")).withColumn("abstained", F.col("lung_rads_category").isNull())
     fired = []
     for i, m in enumerate(mods):
@@ -258,8 +259,7 @@ def traverse(candidates: DataFrame, graph: dict | None = None) -> DataFrame:
         fired.append((f"m{i}", m))
     key = F.when((F.col("lung_rads_category") == "4A") & F.col("is_new"), "4A+").otherwise(F.col("lung_rads_category"))
     template = {a[0]: a for a in ACTIONS}
-    for i, name in enumerate(("level", "action", "interval", "modality"), 1):
-        t = t.withColumn(name, lookup(key, {k: v[i] for k, v in template.items()}))
+    t = t.withColumns({name: lookup(key, {k: v[i] for k, v in template.items()}) for i, name in enumerate(("level", "action", "interval", "modality"), 1)})
     reason = F.coalesce(g.attribute("abstention_reason", F.col("terminal_node"), "string"), F.when(F.col("abstained"), "no_matching_edge"))
     gap = g.attribute("missing_info", F.col("terminal_node"), "string")
     return t.select(

@@ -95,8 +95,7 @@ def evaluate(nodules: DataFrame) -> DataFrame:
     n = n.withColumn("r_shrunk", F.coalesce((F.col("change_status") == "decreased") & F.col("r_base").isNotNull(), F.lit(False)))
     n = n.withColumn("category", F.when(F.col("r_stable"), "2").when(F.col("r_grown"), lookup(F.col("r_base"), STEP_UP)).otherwise(F.col("r_base")))
     action = F.when((F.col("category") == "4A") & F.col("r_new"), "4A+").otherwise(F.col("category"))
-    for i, name in enumerate(("level", "action", "interval", "modality"), 1):
-        n = n.withColumn(name, lookup(action, {a[0]: a[i] for a in ACTIONS}))
+    n = n.withColumns({name: lookup(action, {a[0]: a[i] for a in ACTIONS}) for i, name in enumerate(("level", "action", "interval", "modality"), 1)})
     has_size = F.col("size_mm").isNotNull()
     no_part = F.coalesce(pick(4 + 2) == "part_solid_missing_solid_component_conservative_4A", F.lit(False))
     unsure = ~F.coalesce(d.isin(known), F.lit(False))
