@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..operators import adapter, bundles, graph, metrics, radiology, rules, sampling, smoking, validation, weak
+from ..operators import adapter, audit, bundles, graph, metrics, radiology, rules, sampling, smoking, validation, weak
 from . import sqltext as S
 from .notes import LINES_SQL, details, discharge, lines, notes
 
@@ -675,3 +675,40 @@ def dead_letter(spark, sf):
     case = _table(spark, sf, "orders").filter("o_orderkey % 5 <> 0").select(F.col("o_orderkey").cast("string").alias("note_id"), F.col("o_custkey").alias("case_id"))
     r = adapter.routed(adapter.merge_tasks(_predictions(spark, sf), _TASKS), case)
     return r.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_CAND}, n AS (SELECT case_id, count(*) AS c, count(size_mm) AS s, count(density) AS d, count(*) FILTER (WHERE size_mm IS NOT NULL AND density IS NOT NULL) AS b FROM cand GROUP BY 1)
+ SELECT case_id, c AS candidates, s AS with_size, d AS with_density, b AS with_both, s - b AS size_alone, d - b AS density_alone, CASE WHEN b > 0 THEN 'actionable' WHEN s > 0 AND d > 0 THEN 'split_across_candidates'
+ WHEN s > 0 THEN 'density_never_stated' WHEN d > 0 THEN 'size_never_stated' ELSE 'neither_stated' END AS root_cause FROM n""")
+def abstention_root_cause(spark, sf):
+    return audit.root_cause(audit.candidate_counts(_candidates(spark, sf)))
+
+
+_AUDIT = """a AS (SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'incorrect' WHEN 2 THEN 'uncertain' ELSE '' END AS size_ok, CASE o_custkey % 3 WHEN 0 THEN 'Correct ' WHEN 1 THEN NULL ELSE 'None' END AS density_ok,
+ CASE o_custkey % 3 WHEN 0 THEN 'x|y' WHEN 1 THEN 'y' ELSE '' END AS groups FROM orders)"""
+
+
+def _audits(spark, sf):
+    m, c = F.col("o_orderkey") % 4, F.col("o_custkey") % 3
+    return _table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("k"), F.when(m == 0, "correct").when(m == 1, "incorrect").when(m == 2, "uncertain").otherwise("").alias("size_ok"),
+        F.when(c == 0, "Correct ").when(c == 2, "None").alias("density_ok"), F.when(c == 0, "x|y").when(c == 1, "y").otherwise("").alias("groups"),
+    )
+
+
+@query(f"""WITH {_AUDIT} SELECT f AS field, count(*) AS rows, count(*) FILTER (WHERE v IS NOT NULL AND trim(v) NOT IN ('', 'None')) AS filled, round(count(*) FILTER (WHERE v IS NOT NULL AND trim(v) NOT IN ('', 'None')) / count(*), 6) AS rate
+ FROM (SELECT 'size_ok' AS f, size_ok AS v FROM a UNION ALL SELECT 'density_ok', density_ok FROM a) x GROUP BY f""")
+def audit_completion(spark, sf):
+    return audit.completion(_audits(spark, sf), ["size_ok", "density_ok"]).withColumn("rate", F.round("rate", 6))
+
+
+@query(f"""WITH {_AUDIT}, g AS (SELECT unnest(list_filter(string_split(groups, '|'), lambda s: s <> '')) AS audit_group, size_ok, density_ok FROM a),
+ l AS (SELECT audit_group, 'size_ok' AS field, lower(trim(size_ok)) AS v FROM g UNION ALL SELECT audit_group, 'density_ok', lower(trim(density_ok)) FROM g)
+ SELECT audit_group, field, count(*) FILTER (WHERE v IN ('correct', 'incorrect')) AS judged, round(coalesce(count(*) FILTER (WHERE v = 'correct') / nullif(count(*) FILTER (WHERE v IN ('correct', 'incorrect')), 0), 0), 6) AS correct_rate FROM l GROUP BY ALL""")
+def audit_scores(spark, sf):
+    return audit.scores(_audits(spark, sf), ["size_ok", "density_ok"], "groups").withColumn("correct_rate", F.round("correct_rate", 6))
+
+
+@query(f"WITH {_AUDIT} SELECT 'ids' AS name, 'pass' AS status, 0::BIGINT AS failures, NULL::VARCHAR AS first_example UNION ALL SELECT 'sure', 'fail', count(*), min(k)::VARCHAR FROM a WHERE size_ok NOT IN ('correct', 'incorrect')")
+def audit_checks(spark, sf):
+    return audit.checks(_audits(spark, sf), "k", {"ids": F.col("k").isNotNull(), "sure": F.col("size_ok").isin("correct", "incorrect")})
