@@ -246,6 +246,36 @@ def test_neighbours(spark, n, dim):
     assert [r.vec_id for r in twin] == [7, 11, 12, 13, 14, 15, 16, 17, 18, 19]
 
 
+def test_neighbours_of_clusters_at_any_size():
+    """Neighbours that share a list: what is kept of it must not shrink with the number of lists."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from notewright.llm.ann import SAMPLE, _searched, fit_index
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(128, 64)) * 4
+    x = centres[rng.integers(0, 128, 200_000)] + rng.normal(size=(200_000, 64))
+    index = fit_index(x[:SAMPLE], 10)
+    search = _searched(SimpleNamespace(value=index), 10)
+    for n in (20_000, 200_000):
+        at, asked = index.lists(x[:n]), np.arange(0, n, n // 40)
+        got = {int(q): [] for q in asked}
+        order = index.order(x[asked])[:, : index.probes]
+        for c in np.unique(order):
+            mine, of = np.flatnonzero(at == c), asked[(order == c).any(axis=1)]
+            found = search((int(c),), pa.table({"id": mine, "v": x[mine].tolist()}), pa.table({"qid": of, "q": x[of].tolist()}))
+            for r in found.to_pylist():
+                got[r["query_id"]].append((r["score"], r["vec_id"]))
+        hits = 0
+        for q in asked:
+            d = ((x[:n] - x[q]) ** 2).sum(axis=1)
+            d[q] = np.inf
+            hits += len(set(np.argsort(d)[:10].tolist()) & {v for _, v in sorted(got[int(q)])[:10]})
+        assert hits >= 0.9 * 10 * len(asked), n
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (100, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = sorted(tuple(r) for r in nearest_neighbours(df, F.col("vec_id") % 100 == 0).collect())
