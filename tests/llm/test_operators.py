@@ -178,6 +178,25 @@ def test_language_model_learns(spark):
     assert len(held) > 100 and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_language_model_keeps_rare_pairs(spark):
+    """What follows a word counts however small its share of a large corpus, in whatever block it is."""
+    import notewright.llm.lm_score as m
+
+    rng = random.Random(14)
+    rare = [f"q{i:03d}" for i in range(300)]
+    rows = [(1000 + i, prose(rng, 400)) for i in range(150)]
+    rows += [(2000 + i, f"{prose(rng, 5)} {rare[i]} {rare[(7 * i + 3) % 300]} {prose(rng, 5)}") for i in range(300)] * 2
+    rows += [(1, " ".join(f"w1 {rare[i]} {rare[(7 * i + 3) % 300]}" for i in range(300))), (2, " ".join(f"w1 {rare[i]} {rare[(7 * i + 5) % 300]}" for i in range(300)))]
+    for block in (m.BLOCK_BYTES, 20_000):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(m, "BLOCK_BYTES", block)
+            got = {r.doc_id: r for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 1000, share=1e-3).filter("held_out").collect()}
+        assert got[1].base_score == pytest.approx(got[2].base_score) and got[1].score > got[2].score + 200
+        scores = got[1].score, got[2].score
+        assert scores == pytest.approx(locals().get("earlier", scores), rel=1e-9)
+        earlier = scores
+
+
 def test_automaton_is_a_distribution():
     from notewright.llm.lm_score import Automaton
 
