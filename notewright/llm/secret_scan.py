@@ -34,7 +34,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Whole runs only: a run of fewer than 32 fails and is dropped anyway.
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 #: Tokens beyond the base: at least 20 characters with a digit among them.
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z+/_=-]*+[0-9][A-Za-z0-9+/_=-]{19,}")
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 MIN_ENTROPY = 3.5
 #: A value of at most as many owners is theirs.
 MAX_OWNERS = 2
@@ -59,7 +59,7 @@ def _find(text: str) -> tuple[list[tuple], list[dict]]:
     more = []
     for m in TOKEN.finditer(text):
         value = m[0]
-        if any(s < m.end() and m.start() < e for _, s, e, _ in base) or not re.search("[A-Za-z]", value) or entropy(value) < MIN_ENTROPY:
+        if any(s < m.end() and m.start() < e for _, s, e, _ in base) or not re.search("[0-9]", value) or not re.search("[A-Za-z]", value) or entropy(value) < MIN_ENTROPY:
             continue
         more.append({"kind": "live", "start": m.start(), "end": m.end(), "key": key_of(value)})
     return base, more

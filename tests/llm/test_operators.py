@@ -121,6 +121,14 @@ def test_secret_scan(spark):
     assert got[10].spans == "" and got[10].n_example == 1 and got[2].n_live == 1
 
 
+def test_secret_whose_digits_come_late(spark):
+    """A digit anywhere in a token of 20 characters makes it a candidate."""
+    keys = ["AbCdEfGhIjKlMnOpQrStUvWxYz1234", "AbCdEfGhIjKlMnOpQrS7", "7bCdEfGhIjKlMnOpQrSt", "AbCdEfGhIjKlMnOpQrSt", "AbCdEfGhIjKlMnOpQr7"]
+    df = spark.createDataFrame([(i, f"see {k} here", "s") for i, k in enumerate(keys)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.spans for r in secret_scan(df).collect()}
+    assert got == {0: "live:4:34", 1: "live:4:24", 2: "live:4:24", 3: "", 4: ""}
+
+
 def test_secrets_of_random_text(spark):
     rng = random.Random(4)
     parts = ["token", "API_KEY", "=", ":", " ", '"', "'", "AKIA", "ABCDEFGH12345678", "deadbeef" * 4, "x", "abcdefgh", "\n"]
