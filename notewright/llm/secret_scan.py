@@ -2,8 +2,9 @@
 
 Method. Candidates are what the base patterns find and, beyond them, long mixed
 tokens of high entropy. The hash of each candidate's value is counted over the whole
-corpus by distinct repositories and distinct owners. A value that few owners have is
-theirs and looks live; one that many have is a copied example. Live-looking tokens
+corpus by distinct repositories and distinct owners. A value that few owners have in
+few repositories is theirs and looks live; one that many owners have, or that is in many
+repositories of few, is a copied example. Live-looking tokens
 beyond the base become spans of kind live; base spans stay either way and carry
 their verdict in n_live and n_example.
 
@@ -11,7 +12,7 @@ Scale. Texts are read once; only candidates travel. A value that a third of the
 corpus holds is counted by partial aggregation and joined with skew handling.
 
 Edge cases. Null text: empty. Null owners or repositories count as none; a value with
-no owner at all is live. Rows that repeat an id are rows of their own. Spans are
+no owner at all is live if it is in few repositories. Rows that repeat an id are rows of their own. Spans are
 code points, end exclusive. Other columns are ignored.
 """
 
@@ -36,8 +37,8 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 #: Tokens beyond the base: at least 20 characters with a digit among them.
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 MIN_ENTROPY = 3.5
-#: A value of at most as many owners is theirs.
-MAX_OWNERS = 2
+#: A value of at most as many owners and repositories is theirs.
+MAX_OWNERS, MAX_REPOS = 2, 5
 
 
 def entropy(s: str) -> float:
@@ -65,7 +66,7 @@ def _find(text: str) -> tuple[list[tuple], list[dict]]:
     return base, more
 
 
-def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
+def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans,
     n_live, n_example (candidates by verdict), found (array of spans with owners and verdict)."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(owner_col).alias("owner"), F.xxhash64(repo_col).alias("repo"), F.col(owner_col).isNull().alias("no_owner"), F.col(repo_col).isNull().alias("no_repo"), F.col(text_col).alias("text"))
@@ -78,7 +79,7 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     one = got.filter("size(base) + size(more) > 0").select("row", "owner", "repo", "no_owner", "no_repo", F.explode(F.concat("base", "more")).alias("x"))
     one = one.select("row", F.when(~F.col("no_owner"), F.col("owner")).alias("owner"), F.when(~F.col("no_repo"), F.col("repo")).alias("repo"), "x", F.col("x.key").alias("key"))
     spread = one.groupBy("key").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos"))
-    judged = one.join(spread, "key").withColumn("live", F.col("owners") <= max_owners)
+    judged = one.join(spread, "key").withColumn("live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos))
     span = F.struct(F.col("x.kind").alias("kind"), F.col("x.start").alias("start"), F.col("x.end").alias("end"), "owners", "repos", "live")
     by_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("found"))
     out = got.join(by_row, "row", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<kind:string,start:int,end:int,owners:long,repos:long,live:boolean>>")))

@@ -129,6 +129,15 @@ def test_secret_whose_digits_come_late(spark):
     assert got == {0: "live:4:34", 1: "live:4:24", 2: "live:4:24", 3: "", 4: ""}
 
 
+def test_secret_copied_within_one_owner(spark):
+    """A value in many documents of one owner is an example, one in a few is the owner's."""
+    rows = [(i, "key Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1 copied", "hot") for i in range(30)]
+    rows += [(100 + i, "key Mk3Nj4Bh5Vg6Cf7Xd8Zs9Aq1Wt2 own", "hot") for i in range(3)]
+    got = {r.doc_id: r for r in secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all((got[i].spans, got[i].n_live, got[i].n_example) == ("", 0, 1) for i in range(30))
+    assert all((got[100 + i].spans, got[100 + i].n_live) == ("live:4:31", 1) for i in range(3))
+
+
 def test_secrets_of_random_text(spark):
     rng = random.Random(4)
     parts = ["token", "API_KEY", "=", ":", " ", '"', "'", "AKIA", "ABCDEFGH12345678", "deadbeef" * 4, "x", "abcdefgh", "\n"]
