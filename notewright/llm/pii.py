@@ -1,16 +1,17 @@
 """Personal data: patterns, and terms that reveal them by corpus co-occurrence.
 
-Method. Protected entities are the values that the base patterns find. Around each
-occurrence the words within WINDOW words are terms that may give it away. Over
+Method. Protected entities are the values that the base patterns find. All other words
+of a document that holds one are terms that may give it away. Over
 the whole corpus: documents with the entity, documents with the term, and documents with
 both. A term's disclosure of an entity is the share of the entity's information
 content that it conveys, PMI(e; t) / IC(e) = 1 - log p(e|t) / log p(e). A term
-above GENERALISE is replaced by a placeholder near that entity, one above REMOVE is
-removed. One co-occurrence proves nothing: the pair must be seen in SUPPORT
-documents in different words around the term, so that copies of one text do not count twice.
+above GENERALISE is replaced by a placeholder wherever a document with that entity has it, one above
+REMOVE is removed. One co-occurrence proves nothing: the pair must be seen in SUPPORT
+groups of near-duplicates, so that copies of one text do not count twice.
 
-Scale. Texts are read once for patterns and windows, once for document frequencies,
-which are summed by task first. Only windows around entities travel.
+Scale. Texts are read once for patterns. Only the texts of entities that SUPPORT
+different texts hold travel, each once, and are grouped; a term is paired with an entity
+only if it is rare enough to give it away. Document frequencies are summed by task first.
 
 Edge cases. Null text: empty. Rows that repeat an id are documents of their own.
 Spans are code points, end exclusive. Overlong runs cost linear time. Other columns are ignored.
@@ -27,11 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
+from .near_dedup import near_duplicate_groups
 from .spans import SPAN, joined_column, key_of, rows_with_spans
 from .textkit import Words, gathered, raw_texts, signed
 
 KINDS = ("email", "ip", "card", "phone", "general", "remove")
-WINDOW, SUPPORT, GENERALISE, REMOVE = 30, 3, 0.85, 0.95
+SUPPORT, GENERALISE, REMOVE = 3, 0.85, 0.95
+#: Texts are copies if they share so many per cent of their runs of so many words.
+SHINGLE, PERCENT = 5, 80
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 #: A match never begins inside a run of digits: that run's first digit would have matched or failed alike.
@@ -40,7 +44,8 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-TERM = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+NOTHING = pa.null()
+ADDED = "array<struct<kind:string,start:int,end:int>>"
 
 
 def luhn(digits: str) -> bool:
@@ -91,39 +96,23 @@ def base_spans(text: str) -> list[tuple[str, int, int, int]]:
     return out
 
 
-def _terms(window: int):
-    """Base spans, and the terms around them."""
-
-    def find(text: str) -> tuple[list[tuple], list[dict]]:
-        base = base_spans(text)
-        if not base:
-            return base, []
-        word = [(m.start(), m.end()) for m in WORD.finditer(text)]
-        begin = np.array([s for s, _ in word])
-        taken = np.zeros(len(word) + 1, bool)
-        at = {}
-        for _, s, e, _ in base:
-            a, b = int(np.searchsorted(begin, s, side="right")) - 1, int(np.searchsorted(begin, e, side="left"))
-            at[s, e] = a, b
-            taken[a:b] = True
-        value: dict[int, int] = {}
-        lower = lambda i: text[word[i][0] : word[i][1]].encode().lower() if 0 <= i < len(word) else b""
-        hashed = Words([b" ".join(lower(i) for i in range(len(word)))], lower=False).hash if word else []
-        out = []
-        for _, s, e, key in base:
-            a, b = at[s, e]
-            for i in [*range(max(0, a - window), a), *range(b, min(len(word), b + window))]:
-                if not taken[i]:
-                    if i not in value:
-                        value[i] = hash_pair(lower(i - 1), lower(i + 1))
-                    out.append({"entity": key, "term": int(np.int64(hashed[i].view(np.int64))), "context": value[i], "start": word[i][0], "end": word[i][1]})
-        return base, out
-
-    return find
-
-
-def hash_pair(a: bytes, b: bytes) -> int:
-    return key_of((a + b" " + b).decode("utf-8", "replace"))
+def _base(text: str) -> tuple[list[tuple], None]:
+    return base_spans(text), None
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each text that are part of no entity, and where they are."""
+    place = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+    for batch in batches:
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            word = [(m.start(), m.end()) for m in WORD.finditer(text)]
+            begin = np.array([s for s, _ in word])
+            taken = np.zeros(len(word) + 1, bool)
+            for _, s, e, _ in base_spans(text):
+                taken[int(np.searchsorted(begin, s, side="right")) - 1 : int(np.searchsorted(begin, e, side="left"))] = True
+            hashed = signed(Words([b" ".join(text[s:e].encode("utf-8", "surrogatepass").lower() for s, e in word)], lower=False).hash).tolist()
+            out = [{"term": h, "start": s, "end": e} for h, (s, e), gone in zip(hashed, word, taken, strict=False) if not gone]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([out], place)], names=["text_hash", "terms"])
 
 
 def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,29 +154,51 @@ def sanitised(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def pii_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, with_text: bool = False) -> DataFrame:
+def _disclosing(docs: DataFrame, got: DataFrame, support: int, generalise: float, remove: float) -> DataFrame | None:
+    """row, added: the spans of disclosing terms of the rows that have any; None if no entity is in enough texts."""
+    held = got.filter("size(base) > 0").select("row", "text_hash", F.explode("base.key").alias("entity")).distinct()
+    # rows by text first: a text that many rows hold is one row after that
+    held_by = held.groupBy("text_hash", "entity").agg(F.count("*").alias("copies"))
+    entity = held_by.groupBy("entity").agg(F.sum("copies").alias("df_e"), F.count("*").alias("texts")).filter(F.col("texts") >= support).select("entity", "df_e")
+    often = materialise(held_by.join(entity, "entity"), "entities")
+    if often.isEmpty():
+        return None
+    wanted = often.select("text_hash").distinct()
+    texts = materialise(docs.select("text_hash", "text").join(wanted, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text")), "texts")
+    groups = near_duplicate_groups(texts, id_col="text_hash", shingle=SHINGLE, percent=PERCENT).select(F.col("doc_id").alias("text_hash"), F.col("component_id").alias("group"))
+    often = often.join(groups, "text_hash")
+    enough = often.groupBy("entity").agg(F.count_distinct("group").alias("groups")).filter(F.col("groups") >= support).select("entity")
+    often = materialise(often.join(enough, "entity"), "entities")
+    if often.isEmpty():
+        return None
+    total = docs.count()
+    terms = texts.join(often.select("text_hash").distinct(), "text_hash", "left_semi").mapInArrow(_terms, "text_hash long, terms array<struct<term:long,start:int,end:int>>")
+    terms = materialise(terms.select("text_hash", F.explode("terms").alias("x")).select("text_hash", "x.*"), "terms")
+    df = docs.select("text").mapInArrow(_document_frequency, "term long, n long").groupBy("term").agg(F.sum("n").alias("df_t"))
+    df = df.join(terms.select("term").distinct(), "term", "left_semi")
+    near = terms.select("text_hash", "term").distinct().join(df, "term").join(often.filter(F.col("df_e") < total), "text_hash")
+    # even in all documents of the entity a commoner term would not reach the ratio
+    ratio = lambda both: 1 - F.log2(both / F.col("df_t")) / F.log2(F.col("df_e") / F.lit(total))
+    near = near.filter(ratio(F.least("df_e", "df_t")) >= generalise)
+    pair = near.groupBy("entity", "term", "df_e", "df_t").agg(F.sum("copies").alias("df_et"), F.count_distinct("group").alias("groups")).filter(F.col("groups") >= support)
+    told = pair.withColumn("ratio", ratio(F.col("df_et"))).filter(F.col("ratio") >= generalise).select("entity", "term", F.when(F.col("ratio") >= remove, "remove").otherwise("general").alias("kind"))
+    told = often.select("text_hash", "entity").join(told, "entity").groupBy("text_hash", "term").agg(F.max("kind").alias("kind"))
+    spans = terms.join(told, ["text_hash", "term"]).groupBy("text_hash").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+    return got.filter("size(base) > 0").select("row", "text_hash").join(spans, "text_hash").select("row", "added")
+
+
+def pii_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, with_text: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans,
     all_spans (array of kind, start, end); with_text adds sanitised_text."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = "text string, " if with_text else ""
-    term = "struct<entity:long,term:long,context:long,start:int,end:int>"
-    got = docs.mapInArrow(rows_with_spans(_terms(window), TERM, KINDS, keep_text=with_text), f"row long, doc_id {kind}, {text}base array<{SPAN}>, base_sha256 string, more array<{term}>")
+    got = docs.mapInArrow(rows_with_spans(_base, NOTHING, KINDS, keep_text=with_text), f"row long, doc_id {kind}, text_hash long, {text}base array<{SPAN}>, base_sha256 string, more void").drop("more")
     got = materialise(got, "personal")
-    total = docs.agg(F.count("*").alias("docs"))
-    entity = got.select("row", F.explode("base.key").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
-    near = got.filter("size(more) > 0").select("row", F.explode("more").alias("x")).select("row", "x.*")
-    pair = near.groupBy("entity", "term").agg(F.count_distinct("row").alias("df_et"), F.count_distinct("context").alias("contexts")).filter((F.col("df_et") >= support) & (F.col("contexts") >= support))
-    pair = materialise(pair, "pairs")
-    df = docs.select("text").mapInArrow(_document_frequency, "term long, n long").groupBy("term").agg(F.sum("n").alias("df_t"))
-    told = pair.join(entity, "entity").join(df, "term").crossJoin(F.broadcast(total))
-    ratio = 1 - F.log2(F.col("df_et") / F.col("df_t")) / F.log2(F.col("df_e") / F.col("docs"))
-    told = told.filter("df_e < docs").withColumn("ratio", ratio).filter(F.col("ratio") >= generalise).select("entity", "term", F.when(F.col("ratio") >= remove, "remove").otherwise("general").alias("kind"))
-    added = near.join(told, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("kind").alias("kind"))
-    by_row = added.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
-    out = got.join(by_row, "row", "left")
+    added = _disclosing(docs, got, support, generalise, remove)
+    out = got.join(added, "row", "left") if added else got.withColumn("added", F.lit(None).cast(ADDED))
     plain = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    out = out.withColumn("all_spans", F.concat(plain, F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>"))))
+    out = out.withColumn("all_spans", F.concat(plain, F.coalesce("added", F.array().cast(ADDED))))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     out = out.select("doc_id", *[count(k) for k in KINDS[:4]], "base_sha256", joined_column(F.col("all_spans"), KINDS).alias("spans"), "all_spans", *(["text"] if with_text else []))
     return out.mapInArrow(_with_sanitised, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema if f.name != "text") + ", sanitised_text string") if with_text else out

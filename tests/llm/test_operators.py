@@ -172,6 +172,19 @@ def test_disclosing_terms(spark):
     assert all(s.kind == "email" for i in range(100) for s in got[100 + i].all_spans)
 
 
+def test_disclosing_terms_in_fixed_wording(spark):
+    """Different documents with the same signature prove a term, near copies of one don't; all of a document is sanitised."""
+    rng = random.Random(16)
+    signed = "regards Jane Silverbrook jane@corp.example"
+    rows = [(i, f"silverbrook {prose(rng, 60, 4000)} {signed}") for i in range(6)]
+    one = prose(rng, 150, 4000).split()
+    rows += [(50 + i, " ".join([*one[: 7 * i], f"edit{i}", *one[7 * i :], "greetings Tom Copperfield tom@corp.example"])) for i in range(8)]
+    rows += [(100 + i, f"{prose(rng, 60, 4000)} user{i}@corp.example") for i in range(100)]
+    got = {r.doc_id: r for r in pii_spans(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
+    assert all("silverbrook" not in got[i].sanitised_text.lower() for i in range(6))
+    assert all({s.kind for s in got[50 + i].all_spans} == {"email"} for i in range(8))
+
+
 def test_sanitised_overlaps():
     assert sanitised("abcdef", [("email", 1, 4), ("ip", 3, 5), ("remove", 5, 6)]) == "a<email>"
 
