@@ -34,10 +34,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near-duplicates; equal rows are one."""
-    groups = near_duplicate_groups(docs, shingle=5, percent=80)
-    gone = groups.filter("not kept and doc_id is not null").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("nw_hash", F.xxhash64("text"))
+    """The document of least id of each group of near-duplicates (a null id is the greatest); equal rows are one."""
+    keyed = docs.withColumn("nw_hash", F.xxhash64("text"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("nw_hash").alias("hash"))
+    groups = near_duplicate_groups(keyed.withColumn("nw_row", row), id_col="nw_row", shingle=5, percent=80)
+    kept = groups.filter("kept").select(F.col("doc_id.id").alias("nw_id"), F.col("doc_id.hash").alias("nw_kept")).distinct()
+    left = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("nw_id")) & F.col("nw_hash").eqNullSafe(F.col("nw_kept")), "left_semi")
     return left.dropDuplicates(["doc_id", "nw_hash"]).select(*docs.columns)
 
 

@@ -407,6 +407,19 @@ def test_empty_tables(spark, empty):
     assert nearest_neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") == 1).count() == 0
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    """Each group keeps one row, whatever ids its rows share with other groups."""
+    import corpus_pipeline
+
+    rng = random.Random(15)
+    a, b, c, d = (prose(rng, 80, 3000) for _ in range(4))
+    rows = [(1, a), (5, f"{a} more"), (5, b), (7, f"{b} more"), (None, c), (None, f"{c} more"), (9, d), (None, f"{d} more"), (None, None), (3, ""), (4, "")]
+    left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sum(r.doc_id is None and (r.text or "").startswith(c) for r in left) == 1
+    assert sorted(((r.doc_id, r.text) for r in left if r.doc_id is not None), key=str) == sorted([(1, a), (5, b), (9, d), (3, ""), (4, "")], key=str)
+    assert len(left) == 7
+
+
 def test_corpus_pipeline(spark, tmp_path):
     import corpus_pipeline
 
