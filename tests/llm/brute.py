@@ -101,6 +101,54 @@ def unigram(rows):
     return {i: (len(tok(t)), sum(count[w] > 0 for w in tok(t)), total, sum(math.log10((count[w] + 1) / (total + types + 1)) for w in tok(t))) for i, t in rows}
 
 
+def backoff(rows, order, discount, prior, spread):
+    """rows: (id, text, held out). log10 probability of each text by pairs of words, words and spelling."""
+    tok = lambda t: [*words(lower(t)), None]
+    pad = b"\n" * (order - 1)
+    one, two, grams = collections.Counter(), collections.Counter(), collections.Counter()
+    for _, t, out in rows:
+        if not out:
+            ws = tok(t)
+            one.update(ws)
+            two.update(zip([None, *ws], ws))
+            for w in ws[:-1]:
+                b = pad + w.encode() + b"\n"
+                grams.update(b[i - k + 1 : i + 1] for i in range(order - 1, len(b)) for k in range(1, order + 1))
+    n, types = sum(one.values()), len(one)
+    bytes_ = sum(c for g, c in grams.items() if len(g) == 1)
+    follows = collections.defaultdict(dict)
+    for g, c in grams.items():
+        follows[g[:-1]][g[-1:]] = c
+
+    def byte(context, b):
+        if not context:
+            return (grams[b] + 1) / (bytes_ + 256)
+        seen = follows.get(context, {})
+        total = sum(seen.values())
+        if not total:
+            return byte(context[1:], b)
+        kept = {x: max(c - discount, 0) / total for x, c in seen.items()}
+        return kept.get(b, 0) + (1 - sum(kept.values())) * byte(context[1:], b)
+
+    def spelled(w):
+        b = pad + w.encode() + b"\n"
+        return math.prod(byte(b[i - order + 1 : i], b[i : i + 1]) for i in range(order - 1, len(b)))
+
+    def single(w):
+        if not n:
+            return 0.5 * (1 if w is None else spelled(w))
+        return max(one[w] - discount, 0) / n + (0 if w is None else discount * types / n * spelled(w))
+
+    def of(t):
+        ws, total = tok(t), 0.0
+        for v, w in zip([None, *ws], ws):
+            p = prior * (one[v] + 1) ** spread
+            total += math.log10((two[v, w] + p * single(w)) / (one[v] + p))
+        return total
+
+    return [of(t) for _, t, _ in rows]
+
+
 def contaminated(docs, items, k=5, least=0.8):
     """(doc, item) -> best similarity of a window as long as the item."""
 

@@ -197,7 +197,21 @@ def test_language_model(docs, pairs):
         tokens, known, total, base = want[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (brute.held_out(r.doc_id, 7, 2), tokens, known, total)
         assert abs(r.base_score - base) < 1e-8 * max(1, abs(base)) and np.isfinite(r.score) and r.score < 0
-        assert r.score >= r.base_score - np.log10(3) - 1e-9
+
+
+@pytest.mark.parametrize("block,none,arcs,order", [(8_000_000, False, 4_000_000, 4), (2_000, False, 4_000_000, 4), (8_000_000, True, 4_000_000, 4), (8_000_000, False, 10, 3)])
+def test_language_model_is_the_automaton(spark, monkeypatch, block, none, arcs, order):
+    """The score equals a plain backoff model's, in one block or many, with nothing learnt, on repeated rows and long words."""
+    import notewright.llm.lm_score as m
+
+    monkeypatch.setattr(m, "BLOCK_BYTES", block)
+    monkeypatch.setattr(m, "ARCS", arcs)
+    rng = random.Random(21)
+    rows = [(i, t, none or i % 7 == 2) for i, t in enumerate([*(prose(rng, rng.choice([1, 3, 30])) for _ in range(60)), None, "", "Ünïcode WÖRTER w1", "new words only here", "long" * 30, "w0 w0 w0 w0"])]
+    rows += rows[:5]
+    got = sorted((r.doc_id, r.score) for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string, out boolean").repartition(3), F.col("out")).collect())
+    want = sorted((r[0], x) for r, x in zip(rows, brute.backoff(rows, order, m.DISCOUNT, m.PRIOR, m.SPREAD), strict=True))
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-9)
 
 
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables")
@@ -220,7 +234,7 @@ def test_language_model_keeps_rare_pairs(spark):
     for block in (m.BLOCK_BYTES, 20_000):
         with pytest.MonkeyPatch.context() as patch:
             patch.setattr(m, "BLOCK_BYTES", block)
-            got = {r.doc_id: r for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 1000, share=1e-3).filter("held_out").collect()}
+            got = {r.doc_id: r for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 1000).filter("held_out").collect()}
         assert got[1].base_score == pytest.approx(got[2].base_score) and got[1].score > got[2].score + 200
         scores = got[1].score, got[2].score
         assert scores == pytest.approx(locals().get("earlier", scores), rel=1e-9)
