@@ -6,7 +6,7 @@ that is what the definition says; it is meant for small tables.
 
 from __future__ import annotations
 
-from .line_dedup import CONSTANT, COPY, LEAD, RECURS, SIMILAR
+from .line_dedup import COPY, RECURS, SIMILAR
 
 SPACE = r"'[ \t-\r]+'"
 UPPER, LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
@@ -42,21 +42,25 @@ OP6 = """WITH sz AS (SELECT source, count(*)::DOUBLE AS n FROM documents GROUP B
  SELECT doc_id, text, lang, source, n_chars, i::INT AS copy, md5(concat('shuffle 17|', doc_id, '|', i)) AS shuffle_key FROM k, unnest(range(1, k + 1)) t(i)"""
 
 OP3 = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
- l AS (SELECT rid, i, ls[i] AS line, coalesce(CASE WHEN i > 1 THEN ls[i - 1] END, chr(10)) AS a, coalesce(CASE WHEN i < len(ls) THEN ls[i + 1] END, chr(10)) AS b FROM d, unnest(range(1, len(ls) + 1)) t(i) WHERE text IS NOT NULL),
- t AS (SELECT *, list_filter(string_split_regex(regexp_replace(line, '[^ \t\x0B\f\r]*[0-9][^ \t\x0B\f\r]*', '<*>', 'g'), '[ \t\x0B\f\r]+'), lambda x: x <> '') AS tok FROM l),
- h AS (SELECT rid, i, len(tok) AS n, tok, (len(tok), tok[1:{LEAD}]) AS leaf, (a, b) AS near FROM t WHERE len(tok) > 0),
- wt AS (SELECT leaf, tok, any_value(n) AS n, count(DISTINCT near) AS w FROM h GROUP BY leaf, tok),
- lv AS (SELECT leaf FROM wt GROUP BY leaf HAVING sum(w) >= {RECURS}), sw AS (SELECT * FROM wt WHERE leaf IN (SELECT leaf FROM lv)),
- pl AS (SELECT leaf, p, tok[p] AS x, sum(w) AS w FROM sw, unnest(range(1, n + 1)) u(p) GROUP BY ALL),
- tp AS (SELECT leaf, p, arg_max(x, (w, x)) AS x, max(w) AS w, sum(w) AS total FROM pl GROUP BY leaf, p),
- cs AS (SELECT leaf, list(CASE WHEN w >= {CONSTANT} * total THEN x END ORDER BY p) AS c FROM tp GROUP BY leaf),
- ok AS (SELECT * FROM cs WHERE len(list_filter(c, lambda x: x IS NOT NULL)) >= {SIMILAR} * len(c)),
- mb AS (SELECT sw.leaf, tok, w FROM sw JOIN ok USING (leaf) WHERE len(list_filter(range(1, n + 1), lambda p: c[p] IS NOT NULL AND c[p] <> tok[p])) = 0),
- ag AS (SELECT tok FROM mb WHERE leaf IN (SELECT leaf FROM mb GROUP BY leaf HAVING sum(w) >= {RECURS}) UNION SELECT tok FROM wt WHERE w >= {RECURS}),
- mk AS (SELECT rid, i, n, tok IN (SELECT tok FROM ag) AS hit FROM h),
- gn AS (SELECT rid, list(i) FILTER (WHERE hit) AS g FROM mk GROUP BY rid HAVING coalesce(sum(n) FILTER (WHERE hit), 0) BETWEEN 1 AND {COPY} * sum(n))
+ l AS (SELECT DISTINCT text, i, ls[i] AS line FROM d, unnest(range(1, len(ls) + 1)) t(i) WHERE text IS NOT NULL),
+ t AS (SELECT *, CASE WHEN 2 * len(list_filter(mk, lambda x: x = '<*>')) > len(mk) THEN raw ELSE mk END AS tok FROM (SELECT *, list_filter(string_split_regex(line, '[ \t\x0B\f\r]+'), lambda x: x <> '') AS raw,
+  list_filter(string_split_regex(regexp_replace(line, '[^ \t\x0B\f\r]*[0-9][^ \t\x0B\f\r]*', '<*>', 'g'), '[ \t\x0B\f\r]+'), lambda x: x <> '') AS mk FROM l)),
+ h AS (SELECT text, i, len(tok) AS n, tok FROM t WHERE len(tok) > 0), held AS (SELECT DISTINCT tok, text FROM h),
+ wt AS (SELECT tok, len(tok) AS n, len(tok) // 3 AS a, count(*) AS w FROM held GROUP BY tok),
+ lf AS (SELECT tok, n, w, {{'n': n, 'j': j, 't': CASE WHEN j < 2 THEN tok[a * j + 1:a * j + a] ELSE tok[2 * a + 1:n] END}} AS leaf FROM wt, unnest([0, 1, 2]) u(j) WHERE n >= 4),
+ sh AS (SELECT * FROM lf WHERE leaf IN (SELECT leaf FROM lf GROUP BY leaf HAVING sum(w) >= {RECURS})),
+ pl AS (SELECT leaf, tok, n, w, p, tok[p] AS x FROM sh, unnest(range(1, n + 1)) u(p)),
+ cs AS (SELECT leaf, tok, list([p::VARCHAR, x] ORDER BY p) AS constants FROM (SELECT *, sum(w) OVER (PARTITION BY leaf, p, x) AS total FROM pl) WHERE total >= {RECURS} GROUP BY leaf, tok, n HAVING count(*) >= {SIMILAR} * n),
+ mb AS (SELECT tok, {{'leaf': leaf, 'c': constants}} AS tpl FROM cs UNION ALL SELECT tok, {{'leaf': NULL, 'c': [tok]}} FROM wt WHERE w >= {RECURS}),
+ sn AS (SELECT DISTINCT tpl, text FROM mb JOIN held USING (tok)), se AS (SELECT * FROM sn WHERE tpl IN (SELECT tpl FROM sn GROUP BY tpl HAVING count(*) >= {RECURS})),
+ pc AS (SELECT text, x, strlen(x) AS size FROM (SELECT DISTINCT text, unnest(string_split(translate(text, '.!?', chr(10) || chr(10) || chr(10)), chr(10))) AS x FROM (SELECT DISTINCT text FROM se)) WHERE x <> ''),
+ pm AS (SELECT *, count(*) OVER (PARTITION BY x) > 1 AS shared FROM pc),
+ cl AS (SELECT text, CASE WHEN sum(size) FILTER (WHERE shared) > {COPY} * sum(size) THEN arg_max(x, (size, md5(x))) FILTER (WHERE shared) END AS longest FROM pm GROUP BY text),
+ ct AS (SELECT DISTINCT tpl, longest, CASE WHEN longest IS NULL THEN text END AS own FROM se LEFT JOIN cl USING (text)),
+ ag AS (SELECT DISTINCT tok FROM mb WHERE tpl IN (SELECT tpl FROM ct GROUP BY tpl HAVING count(*) >= {RECURS})),
+ gn AS (SELECT text, list(i) AS g FROM h WHERE tok IN (SELECT tok FROM ag) GROUP BY text)
  SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(g), 0)::BIGINT AS n_dropped,
- CASE WHEN g IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda p: NOT list_contains(g, p)), lambda p: ls[p]), chr(10)) END AS kept_text FROM d LEFT JOIN gn USING (rid)"""
+ CASE WHEN g IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda p: NOT list_contains(g, p)), lambda p: ls[p]), chr(10)) END AS kept_text FROM d LEFT JOIN gn USING (text)"""
 
 OP7 = f"""WITH dw AS (SELECT doc_id, {_words(f'translate(text, {UPPER}, {LOWER})')} AS ws FROM documents), iw AS (SELECT item_id, {_words(f'translate(text, {UPPER}, {LOWER})')} AS vs FROM benchmark),
  ds AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM dw, unnest(range(1, len(ws) - 3)) t(i)), si AS (SELECT item_id, array_to_string(vs[i:i + 4], ' ') AS g FROM iw, unnest(range(1, len(vs) - 3)) t(i)),

@@ -164,7 +164,7 @@ def test_disclosing_terms(spark):
     rows = [(i, f"{prose(rng, 20)} blueharbour {rng.choice('abcdef')}{i} jo@corp.example {prose(rng, 20)}") for i in range(8)]
     rows += [(100 + i, f"{prose(rng, 40)} user{i}@corp.example {prose(rng, 20)}") for i in range(100)]
     rows += [(300, "nothing to see " + prose(rng, 100))]
-    got = {r.doc_id: r for r in pii_spans(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
+    got = {r.doc_id: r for r in pii_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i in range(8):
         kinds = {(k.kind, rows[i][1][k.start : k.end]) for k in got[i].all_spans}
         assert ("remove", "blueharbour") in kinds and "blueharbour" not in got[i].sanitised_text and "<email>" in got[i].sanitised_text
@@ -180,7 +180,7 @@ def test_disclosing_terms_in_fixed_wording(spark):
     one = prose(rng, 150, 4000).split()
     rows += [(50 + i, " ".join([*one[: 7 * i], f"edit{i}", *one[7 * i :], "greetings Tom Copperfield tom@corp.example"])) for i in range(8)]
     rows += [(100 + i, f"{prose(rng, 60, 4000)} user{i}@corp.example") for i in range(100)]
-    got = {r.doc_id: r for r in pii_spans(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
+    got = {r.doc_id: r for r in pii_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all("silverbrook" not in got[i].sanitised_text.lower() for i in range(6))
     assert all({s.kind for s in got[50 + i].all_spans} == {"email"} for i in range(8))
 
@@ -282,7 +282,76 @@ def test_lines(spark):
         assert got[i].nw_dropped == 2 and "Copyright" not in got[i].text and "Visit" not in got[i].text
         assert got[i].text.split("\n") == [x for x in rows[i][1].split("\n") if not x.startswith(("Copyright", "Visit"))]
     assert all(got[100 + i].text == copy for i in range(30))
-    assert got[200].text is None and got[201].text == "" and got[202].text == "\n\n" and got[203].nw_dropped == 0
+    assert got[200].text is None and got[201].text == "" and got[202].text == "\n\n" and got[203].nw_dropped == 1 and got[203].text == ""
+
+
+def words_of(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+
+
+def test_lines_of_a_block(spark):
+    """A block of lines that heads many documents goes, all of it."""
+    rng = random.Random(31)
+    banner = ["Welcome to the site", "Please read the terms of use", "All rights reserved by us"]
+    rows = [(i, "\n".join([*banner, *(words_of(rng, 12) for _ in range(4))])) for i in range(60)] + [(100 + i, banner[1]) for i in range(5)]
+    got = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].nw_dropped == 3 and got[i].text == "\n".join(rows[i][1].split("\n")[3:]) for i in range(60))
+    assert all(got[100 + i].text == "" for i in range(5))
+
+
+def test_lines_of_templates(spark):
+    """Variable words without digits, also among the first; templates that share a leaf; documents of log lines only."""
+    rng = random.Random(32)
+    word = lambda: words_of(rng, 1)
+    rows = [(i, f"{words_of(rng, 15)}\nuser {word()} logged in from host\n{words_of(rng, 11)}") for i in range(50)]
+    rows += [(100 + i, f"{words_of(rng, 15)}\nthe job was run {'by hand in' if i % 2 else 'at night on'} {word()}") for i in range(50)]
+    rows += [(200 + i, f"user {word()} logged in from host") for i in range(20)]
+    rows += [(300 + i, f"user {word()} went away to sea\n{words_of(rng, 6)}") for i in range(5)]
+    got = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].nw_dropped == 1 and "logged" not in got[i].text for i in range(50))
+    assert all(got[100 + i].nw_dropped == 1 and "the job" not in got[100 + i].text for i in range(50))
+    assert all(got[200 + i].text == "" for i in range(20)) and all(got[300 + i].nw_dropped == 0 for i in range(5))
+
+
+@pytest.mark.parametrize("lines", [1, 6])
+def test_lines_of_near_copies(spark, lines):
+    """Many near copies of one document, in one line or several, keep their lines; what others hold too goes."""
+    rng = random.Random(33)
+    sentence = [words_of(rng, 8) + "." for _ in range(48)]
+    rows = []
+    for i in range(300):
+        mine = list(sentence)
+        for _ in range(3):
+            at = rng.randrange(48)
+            mine[at] = f"{words_of(rng, 2)} {mine[at]}"
+        cut = 48 // lines
+        rows.append((i, "\n".join([*(" ".join(mine[a : a + cut]) for a in range(0, 48, cut)), "Sent from my phone"])))
+    rows += [(1000 + i, f"{words_of(rng, 30)}\nSent from my phone") for i in range(12)]
+    got = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].text == rows[i][1].rsplit("\n", 1)[0] for i in range(300))
+    assert all(got[1000 + i].nw_dropped == 1 for i in range(12))
+
+
+def test_lines_refuse_taken_names(spark):
+    with pytest.raises(ValueError, match="nw_gone"):
+        line_dedup(spark.createDataFrame([(1, "a", 0)], "doc_id long, text string, nw_gone int"))
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", ["op2_substring_dedup", "op3_line_dedup", "op7_decontaminate", "op10_near_dedup"])
+def test_queries_agree_with_sql(spark, name):
+    import duckdb
+
+    from notewright.llm.queries import QUERIES, SQL
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = QUERIES[name](spark, sf)
+    want = con.sql(SQL[name])
+    order = [want.columns.index(c) for c in got.columns]
+    assert sorted(str(tuple(r)) for r in got.collect()) == sorted(str(tuple(r[i] for i in order)) for r in want.fetchall())
 
 
 @pytest.mark.parametrize("n,dim", [(900, 16), (300, 5)])
@@ -460,3 +529,25 @@ def test_corpus_pipeline(spark, tmp_path):
     assert 200 not in left[2] and 201 not in left[2] and left[2].count(7) == 1 and set(range(120)) <= set(left[2]) and -1 in left[2]
     assert 20 not in left[3] and set(range(120)) - {20} <= set(left[3])
     assert set(left[4]) <= set(left[3]) and sorted(r.doc_id or -1 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(i if i else -1 for i in left[4])
+
+
+def test_decontamination_at_the_threshold(spark):
+    """Windows just as similar as they must be are found, whatever the item's length."""
+    from notewright.llm.decontaminate import Items
+
+    rng = random.Random(41)
+    items = [(i, words_of(rng, n)) for i, n in enumerate(rng.choice([20, 30, 45, 80, 150]) for _ in range(400))]
+    index = Items([i for i, _ in items], [t.encode() for _, t in items])
+    docs = []
+    for i, t in items:
+        w = t.split()
+        # one end is other text: as much as similarity 0.8 leaves
+        n, cut = len(w) - 4, len(w)
+        while (cut - 5) / (2 * n - (cut - 5)) >= 0.8:
+            cut -= 1
+        docs.append((i, f"{words_of(rng, 200)} {' '.join(w[:cut])} {words_of(rng, len(w) + 200)}"))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: [m.item_id for m in r.nw_matches] for r in decontaminate(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute.contaminated(docs[:60], items[:60])
+    assert len(want) == 60 and min(want.values()) < 0.83 and len(index.ids) == 400
+    assert sum(got[i] == [i] for i, _ in items) >= 0.995 * len(items)
