@@ -5,10 +5,11 @@ SimHash of its word shingles, weighted by how often they occur. A multi-index of
 eight blocks finds the items within RADIUS: fingerprints that differ in at most RADIUS
 bits differ in at most BLOCK_RADIUS in one block. Candidates are verified by
 exact weighted similarity, the sum of the lesser over that of the greater counts. Windows
-that hold no shingle of an item of their size cannot pass that and are not hashed.
+that hold no shingle of an item of their size have similarity 0 and are not hashed, which loses nothing.
 At similarity 0.8 fingerprints differ in about 10 bits, so RADIUS is four standard deviations beyond.
 
-Scale. Documents are read in one pass without a shuffle. Items are gathered and sent
+Scale. Documents are read in one pass without a shuffle, in parts of a batch; of a long
+text windows are hashed near hits only, piece by piece. Items are gathered and sent
 to executors in parts of at most ITEM_BYTES, however many there are; each part is a
 pass of its own.
 
@@ -36,6 +37,10 @@ RADIUS, BLOCKS, BLOCK_RADIUS = 22, 8, 2
 ITEM_BYTES = 32_000_000
 _BITS = np.arange(64, dtype=_U)
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+#: The bytes that differ from a byte in BLOCK_RADIUS bits at most.
+_NEAR = np.array([np.flatnonzero(_ONES[np.arange(256) ^ v] <= BLOCK_RADIUS) for v in range(256)])
+#: Pairs of windows and items of one length that are looked at together.
+PAIRS = 2_000_000
 
 
 def _signs(h: np.ndarray) -> np.ndarray:
@@ -51,60 +56,58 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """Items of a benchmark: shingle counts, fingerprints and a multi-index for each length."""
+    """Items of a benchmark, in arrays: shingle counts, fingerprints, the lengths that hold a shingle, and a multi-index for each length.
+
+    Some 40 bytes a word: a part of ITEM_BYTES takes about 250 MB in a worker."""
 
     def __init__(self, ids: list[int], texts: list[bytes], shingle: int = SHINGLE):
         self.shingle = shingle
         w = Words(texts, lower=True)
-        self.ids: list[int] = []
-        self.counts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.finger, self.length = [], []
-        for i, lo, hi in zip(ids, w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True):
-            n = hi - lo
-            if n and i is not None:
-                h = _shingles(w.hash[lo:hi], min(shingle, n))
-                self.ids.append(i)
-                self.counts.append(np.unique(h, return_counts=True))
-                self.finger.append(_fingerprints(_signs(h).sum(axis=0)[None])[0])
-                self.length.append(n)
-        self.finger = np.array(self.finger, _U)
-        self.length = np.array(self.length, np.int64)
+        keep = [(i, lo, hi) for i, lo, hi in zip(ids, w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True) if hi > lo and i is not None]
+        self.ids = [i for i, _, _ in keep]
+        self.length = np.array([hi - lo for _, lo, hi in keep], np.int64)
+        counts = [np.unique(_shingles(w.hash[lo:hi], min(shingle, hi - lo)), return_counts=True) for _, lo, hi in keep]
+        self.at = np.cumsum([0, *[len(k) for k, _ in counts]])
+        self.keys = np.concatenate([np.zeros(0, _U), *[k for k, _ in counts]])
+        self.n = np.concatenate([np.zeros(0, np.int64), *[n for _, n in counts]])
+        self.finger = np.array([_fingerprints((_signs(k) * n[:, None]).sum(axis=0)[None])[0] for k, n in counts], _U)
         self.by_length = {int(n): np.flatnonzero(self.length == n) for n in np.unique(self.length)}
-        # shingle -> lengths of the items that hold it, by size of shingle
-        self.owner: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
-        for k in sorted({min(shingle, int(n)) for n in self.length}):
-            holds = defaultdict(set)
-            for (h, _), n in zip(self.counts, self.length.tolist(), strict=True):
-                if min(shingle, n) == k:
-                    for x in h.tolist():
-                        holds[x].add(n)
-            keys = np.array(sorted(holds), _U)
-            self.owner[k] = keys, [sorted(holds[x]) for x in keys.tolist()]
-        near = [np.flatnonzero(_ONES[np.arange(256) ^ v] <= BLOCK_RADIUS) for v in range(256)]
-        self.index: dict[int, list[dict[int, list[int]]]] = {}
+        # by size of shingle: shingles and the lengths of the items that hold them, in order
+        size = np.repeat(self.length, np.diff(self.at))
+        self.owner: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for k in np.unique(np.minimum(self.length, shingle)).tolist():
+            mine = np.minimum(size, shingle) == k
+            both = np.unique(np.rec.fromarrays([self.keys[mine], size[mine]], names="key,length"))
+            self.owner[k] = np.ascontiguousarray(both["key"]), np.ascontiguousarray(both["length"])
+        # by length and block: members in order of the block's byte, and where each byte begins
+        self.index: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for n, members in self.by_length.items():
-            tables: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(BLOCKS)]
-            for m in members.tolist():
-                for b, byte in enumerate(self.finger[m : m + 1].view(np.uint8)):
-                    for v in near[byte]:
-                        tables[b][int(v)].append(m)
-            self.index[n] = [dict(t) for t in tables]
-
-    def candidates(self, length: int, prints: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(window, item) with fingerprints within RADIUS."""
-        pairs: set[tuple[int, int]] = set()
-        blocks = prints.view(np.uint8).reshape(-1, BLOCKS)
-        for b, t in enumerate(self.index[length]):
-            for w, v in enumerate(blocks[:, b].tolist()):
-                for m in t.get(v, ()):
-                    pairs.add((w, m))
-        if pairs:
-            p = np.array(sorted(pairs))
-            for w, m in p[_distance(prints[p[:, 0]], self.finger[p[:, 1]]) <= RADIUS].tolist():
-                yield w, m
+            byte = self.finger[members].view(np.uint8).reshape(-1, BLOCKS)
+            order = [np.argsort(byte[:, b], kind="stable") for b in range(BLOCKS)]
+            self.index[n] = [(o, np.searchsorted(byte[o, b], np.arange(257))) for b, o in enumerate(order)]
+
+    def lengths_of(self, k: int, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the shingles h at positions at: (position, length) for each length whose items hold one."""
+        keys, lengths = self.owner[k]
+        lo, hi = np.searchsorted(keys, h[at], side="left"), np.searchsorted(keys, h[at], side="right")
+        row, entry = _ranges(lo, hi)
+        return at[row], lengths[entry]
+
+    def candidates(self, length: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) with fingerprints within RADIUS: those that differ in BLOCK_RADIUS bits at most in some block, then checked."""
+        members = self.by_length[length]
+        byte, found = prints.view(np.uint8).reshape(-1, BLOCKS), []
+        for b, (order, start) in enumerate(self.index[length]):
+            near = _NEAR[byte[:, b]]
+            row, entry = _ranges(start[near].ravel(), start[near + 1].ravel())
+            found.append((row // near.shape[1]) * len(members) + order[entry])
+        w, m = np.divmod(np.unique(np.concatenate(found)), len(members))
+        close = _distance(prints[w], self.finger[members[m]]) <= RADIUS
+        return w[close], members[m[close]]
 
     def similarity(self, item: int, h: np.ndarray) -> float:
-        keys, n = self.counts[item]
+        here = slice(self.at[item], self.at[item + 1])
+        keys, n = self.keys[here], self.n[here]
         mine, m = np.unique(h, return_counts=True)
         at = np.minimum(np.searchsorted(mine, keys), len(mine) - 1)
         both = int(np.minimum(n, np.where(mine[at] == keys, m[at], 0)).sum())
@@ -116,18 +119,31 @@ class Items:
         n = len(h)
         for length, at in hits.items():
             k, size = min(self.shingle, length), min(length, n)
+            # a window that holds no shingle of an item of its length has similarity 0 and is not hashed
             starts = np.unique(np.clip((at[:, None] + np.arange(k - size, 1)).ravel(), 0, n - size))
-            s = _shingles(h[starts[0] : starts[-1] + size], k)
-            total = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_signs(s), axis=0, dtype=np.int32)])
-            off = starts - starts[0]
-            prints = _fingerprints(total[off + size - k + 1] - total[off])
-            for w, m in self.candidates(length, prints):
-                sim = self.similarity(m, s[off[w] : off[w] + size - k + 1])
-                if sim >= least and sim > best.get(m, (0,))[0]:
-                    best[m] = sim, int(starts[w]), int(starts[w] + size)
+            piece = max(64, PAIRS // len(self.by_length[length]))
+            far = np.flatnonzero(np.diff(starts) > size) + 1
+            cuts = sorted({0, len(starts), *far.tolist(), *range(0, len(starts), piece)})
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                mine = starts[a:b]
+                s = _shingles(h[mine[0] : mine[-1] + size], k)
+                total = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_signs(s), axis=0, dtype=np.int32)])
+                off = mine - mine[0]
+                prints = _fingerprints(total[off + size - k + 1] - total[off])
+                for w, m in zip(*(x.tolist() for x in self.candidates(length, prints)), strict=True):
+                    sim = self.similarity(m, s[off[w] : off[w] + size - k + 1])
+                    if sim >= least and sim > best.get(m, (0,))[0]:
+                        best[m] = sim, int(mine[w]), int(mine[w] + size)
         return [{"item_id": self.ids[m], "similarity": v[0], "start": v[1], "end": v[2]} for m, v in sorted(best.items(), key=lambda x: self.ids[x[0]])]
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every number of each range [lo, hi), and the range it is of."""
+    n = hi - lo
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + lo[row]
+
+
 def _shingles(h: np.ndarray, k: int) -> np.ndarray:
     return windows(h, np.array([0, len(h)]), k)[0][: len(h) - k + 1]
 
@@ -145,14 +161,13 @@ def _found(items, least: float, text_at: int):
             for a, b in gathered(raw):
                 w = Words(raw[a:b], lower=True)
                 hits: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-                for k, (keys, lengths) in ix.owner.items():
+                for k, (keys, _) in ix.owner.items():
                     h, valid = w.windows(k)
                     at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    here = np.flatnonzero(valid & (keys[at] == h))
+                    here, lengths = ix.lengths_of(k, h, np.flatnonzero(valid & (keys[at] == h)))
                     doc = np.searchsorted(w.bounds, here, side="right") - 1
-                    for p, d, key in zip(here.tolist(), doc.tolist(), at[here].tolist(), strict=True):
-                        for length in lengths[key]:
-                            hits[d][length].append(p - int(w.bounds[d]))
+                    for p, d, length in zip(here.tolist(), doc.tolist(), lengths.tolist(), strict=True):
+                        hits[d][length].append(p - int(w.bounds[d]))
                 for d, by in hits.items():
                     out[a + d] = ix.matches(w.hash[w.bounds[d] : w.bounds[d + 1]], {n: np.array(p) for n, p in by.items()}, least)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, _MATCH_ARROW)], names=[*batch.schema.names, "nw_matches"])

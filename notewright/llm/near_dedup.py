@@ -12,13 +12,15 @@ components of confirmed links are the groups.
 Scale. Equal sets are one class from the start. A bucket of any size gives one
 link per member, to its least member. Only buckets that still join several
 components after that are searched in full: every two blocks of its members are
-compared by the product of their incidence matrices, in tasks of bounded size,
+compared by the product of their incidence matrices, in tasks of bounded size
+(blocks by hash, of one component where it is large, so that no bucket is sorted or
+numbered in one task and two blocks of one component are not compared),
 which return one link for each two components they join. Nothing is collected on the driver.
 
 Edge cases. Null or wordless text: empty set, linked with nothing. Fewer words
 than a shingle: the whole sequence is one shingle. Rows that repeat a doc_id are
-documents of their own. A null doc_id takes part; if all of a group's are null
-its component is null and kept is false. Other columns, clashing or not, are ignored.
+documents of their own. A null doc_id takes part, however many there are; if all of a
+group's are null its component is null and kept is false. Other columns, clashing or not, are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -89,8 +91,8 @@ def _signatures(shingle: int, bins: int, rows: int):
                     node[i] = (digest & (2**64 - 1)) - 2**63
                     band[i] = signed(key[r])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, n), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(band, pa.list_(pa.int64()))],
-                    names=["doc_id", "node", "n_shingles", "bands"],
+                    [batch.column(0).slice(a, n), batch.column(2).slice(a, n), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(band, pa.list_(pa.int64()))],
+                    names=["doc_id", "text_hash", "node", "n_shingles", "bands"],
                 )
 
     return run
@@ -118,16 +120,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return both.mapInArrow(_confirm(shingle, percent), "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (a, b); label is the least node of its component.
 
-    Alternates large-star and small-star (Kiveris et al., 2014) until nothing changes;
-    each round is written to the shared folder."""
+    Alternates large-star and small-star (Kiveris et al., 2014) until nothing changes, which takes
+    a number of rounds that grows with the logarithm of a component's size; each is written to the shared folder."""
     low = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     edges, before = materialise(low(edges), "edges"), None
-    for _ in range(rounds):
-        if edges.isEmpty():
-            break
+    while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -139,8 +139,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components not settled after {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
@@ -185,18 +183,19 @@ def _rest_links(shingle: int, percent: int):
 
 def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bins: int = BINS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed_docs = materialise(docs.mapInArrow(_signatures(shingle, bins, band_rows(percent, bins)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, n_shingles long, bands array<long>"), "sketches")
-    classes = materialise(
-        signed_docs.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "classes"
-    )
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    signed_docs = docs.mapInArrow(_signatures(shingle, bins, band_rows(percent, bins)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, node long, n_shingles long, bands array<long>")
+    signed_docs = materialise(signed_docs, "sketches")
+    # a null id is the greatest
+    row = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")
+    classes = signed_docs.filter("node is not null").groupBy("node").agg(F.min(row).alias("row"), F.first("bands").alias("bands"))
+    classes = materialise(classes.select("node", F.col("row.doc_id").alias("least"), F.col("row.text_hash").alias("least_hash"), "bands"), "classes")
     member = classes.select("node", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("size")).filter("size > 1").select("bucket", "lead")
     member = materialise(member.join(shared, "bucket"), "buckets")
 
-    near = member.select("node").distinct().join(classes.select("node", "least"), "node")
-    near = near.withColumnRenamed("least", "near_id")
-    texts = docs.join(near, F.col("doc_id").eqNullSafe(F.col("near_id")))
+    near = member.select("node").distinct().join(classes.select("node", F.col("least").alias("near_id"), "least_hash"), "node")
+    texts = docs.join(near, F.col("doc_id").eqNullSafe(F.col("near_id")) & (F.col("text_hash") == F.col("least_hash")))
     texts = texts.select("node", "text").mapInArrow(_own_text(shingle), "node long, text string")
     texts = materialise(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
@@ -208,9 +207,13 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     named = member.select("bucket", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
     spread = named.join(open_, "bucket")
-    order = Window.partitionBy("bucket").orderBy("label", "node")
-    blocks = spread.withColumn("block", F.floor((F.row_number().over(order) - 1) / F.lit(BLOCK)).cast("int"))
-    blocks = materialise(blocks, "blocks")
+    # blocks by hash, of one label where it has so many members, else of whole labels
+    of_label = spread.groupBy("bucket", "label").agg(F.count("*").alias("size"))
+    few = of_label.filter(F.col("size") < BLOCK).groupBy("bucket").agg(F.ceil(F.sum("size") / F.lit(BLOCK)).alias("few"))
+    sized = spread.join(of_label, ["bucket", "label"]).join(few, "bucket", "left")
+    own = F.xxhash64("label", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / F.lit(BLOCK))))
+    blocks = sized.withColumn("block", F.when(F.col("size") < BLOCK, F.pmod(F.xxhash64("label"), F.col("few"))).otherwise(own))
+    blocks = materialise(blocks.select("bucket", "block", "node", "label"), "blocks")
     of_block = blocks.groupBy("bucket", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     other = of_block.toDF("bucket", "other", "lo2", "hi2")
     tasks = of_block.join(other, "bucket").filter("block <= other and least(lo, lo2) < greatest(hi, hi2)").select("bucket", "block", "other")

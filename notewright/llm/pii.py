@@ -9,16 +9,20 @@ above GENERALISE is replaced by a placeholder wherever a document with that enti
 REMOVE is removed. One co-occurrence proves nothing: the pair must be seen in SUPPORT
 groups of near-duplicates, so that copies of one text do not count twice.
 
-Scale. Texts are read once for patterns. Only the texts of entities that SUPPORT
+Scale. Texts are read twice for patterns: to find entities, of which hashes travel, and to
+give each row its spans and sanitised text. Only the texts of entities that SUPPORT
 different texts hold travel, each once, and are grouped; a term is paired with an entity
-only if it is rare enough to give it away. Document frequencies are summed by task first.
+only if it is rare enough to give it away. Document frequencies are summed by task first. The
+spans of disclosing terms go to the texts that have them, by broadcast while they are few.
 
 Edge cases. Null text: empty. Rows that repeat an id are documents of their own.
-Spans are code points, end exclusive. Overlong runs cost linear time. Other columns are ignored.
+Spans are code points, end exclusive; of spans that overlap the sanitised text has one placeholder,
+the first's. Overlong runs cost linear time. Other columns, clashing or not, are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -29,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 from .near_dedup import near_duplicate_groups
-from .spans import SPAN, joined_column, key_of, rows_with_spans
-from .textkit import Words, gathered, raw_texts, signed
+from .spans import joined, key_of
+from .textkit import Words, gathered, parts, raw_texts, signed
 
 KINDS = ("email", "ip", "card", "phone", "general", "remove")
 SUPPORT, GENERALISE, REMOVE = 3, 0.85, 0.95
@@ -44,7 +48,6 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-NOTHING = pa.null()
 ADDED = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -96,8 +99,12 @@ def base_spans(text: str) -> list[tuple[str, int, int, int]]:
     return out
 
 
-def _base(text: str) -> tuple[list[tuple], None]:
-    return base_spans(text), None
+def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text with personal data: its distinct values."""
+    for batch in batches:
+        keys = [sorted({k for *_, k in base_spans(t or "")}) for t in batch.column(1).to_pylist()]
+        some = [i for i, k in enumerate(keys) if k]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some, pa.int32())), pa.array([keys[i] for i in some], pa.list_(pa.int64()))], names=["text_hash", "entities"])
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,10 +162,9 @@ def sanitised(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def _disclosing(docs: DataFrame, got: DataFrame, support: int, generalise: float, remove: float) -> DataFrame | None:
-    """row, added: the spans of disclosing terms of the rows that have any; None if no entity is in enough texts."""
-    held = got.filter("size(base) > 0").select("row", "text_hash", F.explode("base.key").alias("entity")).distinct()
+    """text_hash, added: the spans of disclosing terms of the texts that have any; None if no entity is in enough texts."""
     # rows by text first: a text that many rows hold is one row after that
-    held_by = held.groupBy("text_hash", "entity").agg(F.count("*").alias("copies"))
+    held_by = got.select("text_hash", F.explode("entities").alias("entity")).groupBy("text_hash", "entity").agg(F.count("*").alias("copies"))
     entity = held_by.groupBy("entity").agg(F.sum("copies").alias("df_e"), F.count("*").alias("texts")).filter(F.col("texts") >= support).select("entity", "df_e")
     often = materialise(held_by.join(entity, "entity"), "entities")
     if often.isEmpty():
@@ -183,30 +189,44 @@ def _disclosing(docs: DataFrame, got: DataFrame, support: int, generalise: float
     pair = near.groupBy("entity", "term", "df_e", "df_t").agg(F.sum("copies").alias("df_et"), F.count_distinct("group").alias("groups")).filter(F.col("groups") >= support)
     told = pair.withColumn("ratio", ratio(F.col("df_et"))).filter(F.col("ratio") >= generalise).select("entity", "term", F.when(F.col("ratio") >= remove, "remove").otherwise("general").alias("kind"))
     told = often.select("text_hash", "entity").join(told, "entity").groupBy("text_hash", "term").agg(F.max("kind").alias("kind"))
-    spans = terms.join(told, ["text_hash", "term"]).groupBy("text_hash").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
-    return got.filter("size(base) > 0").select("row", "text_hash").join(spans, "text_hash").select("row", "added")
-
-
-def pii_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, with_text: bool = False) -> DataFrame:
+    return terms.join(told, ["text_hash", "term"]).groupBy("text_hash").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+
+
+def _found(digest: bool):
+    """mapInArrow over (doc_id, added, text): each row's spans and sanitised text (with digest its sha256)."""
+    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in parts(iter([whole])):
+                out: dict[str, list] = {k: [] for k in (*KINDS[:4], "sha", "spans", "all", "clean")}
+                for added, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    base = base_spans(text or "")
+                    every = [*base, *((x["kind"], x["start"], x["end"]) for x in added or [])]
+                    for k in KINDS[:4]:
+                        out[k].append(sum(b[0] == k for b in base))
+                    out["sha"].append(hashlib.sha256(joined(base, KINDS).encode()).hexdigest())
+                    out["spans"].append(joined(every, KINDS))
+                    out["all"].append([{"kind": x[0], "start": x[1], "end": x[2]} for x in every])
+                    clean = sanitised(text or "", [x[:3] for x in every])
+                    out["clean"].append(hashlib.sha256(clean.encode("utf-8", "surrogatepass")).hexdigest() if digest else clean)
+                kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [span, pa.string()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)]], names=["doc_id", *[f"n_{k}" for k in KINDS[:4]], "base_sha256", "spans", "all_spans", "sanitised"])
+
+    return run
+
+
+def pii_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, digest: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans,
-    all_spans (array of kind, start, end); with_text adds sanitised_text."""
+    all_spans (array of kind, start, end) and sanitised_text; with digest sanitised_sha256 in place of the text."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    text = "text string, " if with_text else ""
-    got = docs.mapInArrow(rows_with_spans(_base, NOTHING, KINDS, keep_text=with_text), f"row long, doc_id {kind}, text_hash long, {text}base array<{SPAN}>, base_sha256 string, more void").drop("more")
-    got = materialise(got, "personal")
+    got = materialise(docs.select("text_hash", "text").mapInArrow(_entities, "text_hash long, entities array<long>"), "personal")
     added = _disclosing(docs, got, support, generalise, remove)
-    out = got.join(added, "row", "left") if added else got.withColumn("added", F.lit(None).cast(ADDED))
-    plain = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    out = out.withColumn("all_spans", F.concat(plain, F.coalesce("added", F.array().cast(ADDED))))
-    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    out = out.select("doc_id", *[count(k) for k in KINDS[:4]], "base_sha256", joined_column(F.col("all_spans"), KINDS).alias("spans"), "all_spans", *(["text"] if with_text else []))
-    return out.mapInArrow(_with_sanitised, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema if f.name != "text") + ", sanitised_text string") if with_text else out
-
-
-def _with_sanitised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, spans = batch.column("text").to_pylist(), batch.column("all_spans").to_pylist()
-        clean = [sanitised(t or "", [(x["kind"], x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)]
-        keep = [i for i, n in enumerate(batch.schema.names) if n != "text"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(clean, pa.string())], names=[*[batch.schema.names[i] for i in keep], "sanitised_text"])
+    if added is None:
+        rows = docs.withColumn("added", F.lit(None).cast(ADDED))
+    else:
+        rows = docs.join(materialise(added, "disclosing"), "text_hash", "left")
+    last = "sanitised_sha256" if digest else "sanitised_text"
+    found = rows.select("doc_id", "added", "text").mapInArrow(_found(digest), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, all_spans {ADDED}, sanitised string")
+    return found.withColumnRenamed("sanitised", last)

@@ -40,7 +40,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_spans(table(spark, sf_dir, "documents")).drop("all_spans")
+    return pii_spans(table(spark, sf_dir, "documents"), digest=True).drop("all_spans")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

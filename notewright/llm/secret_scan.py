@@ -68,11 +68,12 @@ def _find(text: str) -> tuple[list[tuple], list[dict]]:
 
 def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans,
-    n_live, n_example (candidates by verdict), found (array of spans with owners and verdict)."""
+    verdicts (kind:start:end:live or example of every candidate, joined likewise), n_live,
+    n_example (candidates by verdict), found (array of spans with owners and verdict)."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(owner_col).alias("owner"), F.xxhash64(repo_col).alias("repo"), F.col(owner_col).isNull().alias("no_owner"), F.col(repo_col).isNull().alias("no_repo"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     got = docs.mapInArrow(
-        rows_with_spans(_find, pa.list_(SPAN_ARROW), KINDS, keep_text=False),
+        rows_with_spans(_find, pa.list_(SPAN_ARROW), KINDS),
         f"row long, doc_id {kind}, owner long, repo long, no_owner boolean, no_repo boolean, base array<{SPAN}>, base_sha256 string, more array<{SPAN}>",
     )
     got = materialise(got, "secrets")
@@ -81,7 +82,8 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     spread = one.groupBy("key").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos"))
     judged = one.join(spread, "key").withColumn("live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos))
     span = F.struct(F.col("x.kind").alias("kind"), F.col("x.start").alias("start"), F.col("x.end").alias("end"), "owners", "repos", "live")
-    by_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("found"))
+    place = F.struct(F.col("x.start").alias("s"), F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("x.kind")).alias("k"), span.alias("x"))
+    by_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(place))["x"].alias("found"))
     out = got.join(by_row, "row", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<kind:string,start:int,end:int,owners:long,repos:long,live:boolean>>")))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     shown = F.filter("found", lambda x: (x["kind"] != "live") | x["live"])
@@ -90,6 +92,7 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         *[count(k) for k in KINDS[:3]],
         "base_sha256",
         joined_column(shown, KINDS).alias("spans"),
+        F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"], F.when(x["live"], "live").otherwise("example"))), ",").alias("verdicts"),
         F.size(F.filter("found", lambda x: x["live"])).cast("long").alias("n_live"),
         F.size(F.filter("found", lambda x: ~x["live"])).cast("long").alias("n_example"),
         "found",

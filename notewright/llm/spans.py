@@ -31,7 +31,7 @@ def joined_column(spans: Column, kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.transform(keyed, lambda x: F.concat_ws(":", x["k"], x["s"], x["e"])), ",")
 
 
-def rows_with_spans(find: Callable[[str], tuple[list[tuple], list]], extra: pa.DataType, kinds: tuple[str, ...], keep_text: bool):
+def rows_with_spans(find: Callable[[str], tuple[list[tuple], list]], extra: pa.DataType, kinds: tuple[str, ...]):
     """mapInArrow over (id, ..., text): row, the columns before the text, base spans and their hash, and what else find returns.
 
     row numbers the rows of this run; it holds once the result has been written."""
@@ -48,8 +48,7 @@ def rows_with_spans(find: Callable[[str], tuple[list[tuple], list]], extra: pa.D
                 sha.append(hashlib.sha256(joined(spans, kinds).encode()).hexdigest())
                 more.append(rest)
             n = batch.num_rows
-            kept = batch.columns if keep_text else batch.columns[:-1]
-            names = batch.schema.names if keep_text else batch.schema.names[:-1]
+            kept, names = batch.columns[:-1], batch.schema.names[:-1]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(row, row + n), pa.int64()), *kept, pa.array(base, pa.list_(SPAN_ARROW)), pa.array(sha, pa.string()), pa.array(more, extra)],
                 names=["row", *names, "base", "base_sha256", "more"],

@@ -12,7 +12,9 @@ likewise, so a passage that every document holds sends a row per block and task
 at most. Whole copies are found by one digest a document; of them one hashes its
 windows. Blocks of documents have a fixed size in bytes.
 
-A key has 63 bits: of n candidate windows about n * n / 2**64 pairs would agree by chance.
+Windows and whole texts are compared by 93 bits of two hashes of their words: of n
+candidate windows about n * n / 2**94 pairs would agree by chance, one in 20,000 corpora of
+10**12. Anchors, which only propose, have 63.
 
 Edge cases. Null or wordless text: no words, nothing removed, the hash of the empty
 string. Texts shorter than a window keep all. Rows that repeat a doc_id count as
@@ -30,12 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import block_of, text_bytes
-from .textkit import Words, gathered, raw_texts, sequence_hash, signed
+from .textkit import _U, Words, gathered, raw_texts, sequence_hash, signed, windows
 
 #: Perfect difference sets, by their period.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 #: Bytes of text in a block.
 BLOCK_BYTES = 8_000_000
+#: Further bits of a key.
+MORE = 2**30 - 1
+_S = _U(0x8CB92BA72F3D8DD7)
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...], int]:
@@ -62,14 +67,15 @@ def _tallied(*keys: np.ndarray, weight: np.ndarray | None = None) -> tuple[list[
     return [k[at] for k in keys], total
 
 
-def _digest_of(words: np.ndarray) -> int:
-    """A whole word sequence as a key; whole keys are odd, anchors even."""
-    return ((sequence_hash(words) & (2**64 - 1)) - 2**63) | 1
+def _digest_of(words: np.ndarray) -> tuple[int, int]:
+    """A whole word sequence as a key and its further bits; whole keys are odd, anchors and windows even."""
+    d = sequence_hash(words)
+    return ((d & (2**64 - 1)) - 2**63) | 1, (d >> 64) & MORE
 
 
-def _packed(block: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Block and count (2 stands for more) in one long."""
-    return (block.astype(np.int64) << 2) | np.minimum(n, 2)
+def _packed(block: np.ndarray, n: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Further bits of a key, block and count (2 stands for more) in one long."""
+    return (more.astype(np.int64) << 33) | (block.astype(np.int64) << 2) | np.minimum(n, 2)
 
 
 def _anchors(window: int):
@@ -85,19 +91,20 @@ def _anchors(window: int):
                 of = np.repeat(block[a:b], np.diff(w.bounds))
                 h, valid = w.windows(length)
                 valid &= on[_position(w) % v]
-                keys, blocks = [signed(h[valid]) & ~1], [of[valid]]
+                keys, more, blocks = [signed(h[valid]) & ~1], [np.zeros(int(valid.sum()), np.int64)], [of[valid]]
                 for i, lo, hi in zip(range(a, b), w.bounds[:-1], w.bounds[1:], strict=True):
                     if hi - lo >= window:
-                        keys.append(np.array([_digest_of(w.hash[lo:hi])], np.int64))
+                        for kept, x in zip((keys, more), _digest_of(w.hash[lo:hi]), strict=True):
+                            kept.append(np.array([x], np.int64))
                         blocks.append(block[i : i + 1])
-                (key, blk), n = _tallied(np.concatenate(keys), np.concatenate(blocks))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(_packed(blk, n))], names=["key", "at"])
+                (key, extra, blk), n = _tallied(*(np.concatenate(x) for x in (keys, more, blocks)))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(_packed(blk, n, extra))], names=["key", "at"])
 
     return run
 
 
 def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, at): those whose key occurs more than once; lead marks a key's first row.
+    """Of rows sorted by (key, at): those whose key, with its further bits, occurs more than once; lead marks a key's first row.
 
     Holds the rows of one key at most beyond a batch, and those are one for each task and block."""
     rest: list = []
@@ -105,12 +112,14 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done(k, at):
         if not len(k):
             return None
-        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        more = at >> 33
+        first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (more[1:] != more[:-1]))))
         total = np.add.reduceat(at & 3, first)
         lead = np.zeros(len(k), bool)
         lead[first] = True
         keep = np.repeat(total > 1, np.diff(np.append(first, len(k))))
-        return pa.RecordBatch.from_arrays([pa.array((at[keep] >> 2).astype(np.int32)), pa.array(k[keep]), pa.array(lead[keep])], names=["blk", "key", "lead"])
+        blk = ((at[keep] >> 2) & 0x7FFFFFFF).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(blk), pa.array(k[keep]), pa.array(more[keep].astype(np.int32)), pa.array(lead[keep])], names=["blk", "key", "more", "lead"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -126,27 +135,38 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(*(np.concatenate(x) for x in zip(*rest, strict=True)))
 
 
-def _whole_copies(w: Words, window: int, copies: np.ndarray) -> Iterator[tuple[int, int, int]]:
+def _whole_copies(w: Words, window: int, copies: set[tuple[int, int]]) -> Iterator[tuple[int, int, tuple[int, int]]]:
     """First and last word and digest of each document that is a whole copy."""
     for lo, hi in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True):
-        if len(copies) and hi - lo >= window:
+        if copies and hi - lo >= window:
             d = _digest_of(w.hash[lo:hi])
-            if _within(np.array([d], np.int64), copies)[0]:
+            if d in copies:
                 yield lo, hi, d
 
 
+def _further(w: Words, window: int) -> np.ndarray:
+    """Further bits of each window, by another hash of its words."""
+    return (windows(w.hash, w.bounds, window, _S)[0] & _U(MORE)).astype(np.int64)
+
+
+def _split(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, further bits, and which are whole texts and which lead."""
+    return (*(np.asarray(found[c]) for c in ("key", "more")), (np.asarray(found["key"]) & 1) == 1, np.asarray(found["lead"]))
+
+
 def _candidate_windows(window: int):
     v, cover, length = cover_for(window)
     on = np.zeros(v, bool)
     on[list(cover)] = True
 
     def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
-        keys, lead = np.asarray(found["key"]), np.asarray(found["lead"])
-        whole = (keys & 1) == 1
-        anchors, copies = np.unique(keys[~whole]), np.unique(keys[whole])
-        mine = set(keys[whole & lead].tolist())
+        keys, more, whole, lead = _split(found)
+        anchors = np.unique(keys[~whole])
+        copies = set(zip(keys[whole].tolist(), more[whole].tolist(), strict=True))
+        mine = set(zip(keys[whole & lead].tolist(), more[whole & lead].tolist(), strict=True))
         raw = raw_texts(docs["text"])
-        k_out, n_out = [copies], [np.full(len(copies), 2)]
+        once = np.array(sorted(copies), np.int64).reshape(-1, 2)
+        k_out, m_out, n_out = [once[:, 0]], [once[:, 1]], [np.full(len(once), 2)]
         for a, b in gathered(raw):
             w = Words(raw[a:b], lower=False)
             n = len(w.hash)
@@ -163,11 +183,12 @@ def _candidate_windows(window: int):
                 want[lo:hi] = valid[lo:hi] & (d in mine)
                 weight[lo:hi] = 2
                 mine.discard(d)
-            (k,), total = _tallied(signed(full[want]) & ~1, weight=weight[want])
+            (k, m), total = _tallied(signed(full[want]) & ~1, _further(w, window)[want], weight=weight[want])
             k_out.append(k)
+            m_out.append(m)
             n_out.append(total)
-        k, n = np.concatenate(k_out), np.concatenate(n_out)
-        return pa.table({"key": k, "at": _packed(np.full(len(k), key[0] or 0), n)})
+        k, m, n = (np.concatenate(x) for x in (k_out, m_out, n_out))
+        return pa.table({"key": k, "at": _packed(np.full(len(k), key[0] or 0), n, m)})
 
     return run
 
@@ -178,10 +199,22 @@ def _within(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
 
 
+def _both_within(x: np.ndarray, more: np.ndarray, keys: np.ndarray, further: np.ndarray) -> np.ndarray:
+    """Which pairs (x, more) are among the pairs (keys, further), which are in order."""
+    lo, hi = np.searchsorted(keys, x, side="left"), np.searchsorted(keys, x, side="right")
+    out = np.zeros(len(x), bool)
+    # a key has one row but for chance
+    for i in range(int((hi - lo).max(initial=0))):
+        some = np.flatnonzero(lo + i < hi)
+        out[some] |= further[lo[some] + i] == more[some]
+    return out
+
+
 def _removal(window: int):
     def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
-        keys = np.unique(np.asarray(found["key"]))
-        copies, windows_ = keys[(keys & 1) == 1], keys[(keys & 1) == 0]
+        keys, more, whole, _ = _split(found)
+        copies = set(zip(keys[whole].tolist(), more[whole].tolist(), strict=True))
+        (known, further), _ = _tallied(keys[~whole], more[~whole])
         raw = raw_texts(docs["text"])
         n_words, n_removed, kept, spans = [], [], [], []
         for a, b in gathered(raw):
@@ -189,7 +222,7 @@ def _removal(window: int):
             n = len(w.hash)
             full, valid = w.windows(window)
             at = np.flatnonzero(valid)
-            at = at[_within(signed(full[at]) & ~1, windows_)]
+            at = at[_both_within(signed(full[at]) & ~1, _further(w, window)[at], known, further)]
             mark = np.zeros(n + window + 1, np.int64)
             mark[at] += 1
             np.add.at(mark, at + window, -1)
@@ -236,15 +269,15 @@ def substring_dedup(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id"
     """One row per row of docs: doc_id, n_words, n_removed, kept_text and removed
     (word positions where removed runs begin and end, alternately); with digest,
     kept_sha256 in place of the last two."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     blocks = max(1, -(-text_bytes(docs, "text") // BLOCK_BYTES))
     dealt = docs.select("doc_id", "text", block_of(F.col("doc_id"), F.col("text"), blocks).alias("blk"))
 
-    recurring = lambda rows: rows.repartition("key").sortWithinPartitions("key", "at").mapInArrow(_recurring, "blk int, key long, lead boolean")
+    recurring = lambda rows: rows.repartition("key").sortWithinPartitions("key", "at").mapInArrow(_recurring, "blk int, key long, more int, lead boolean")
     anchors = recurring(dealt.select("text", "blk").mapInArrow(_anchors(window), "key long, at long"))
     found = dealt.groupBy("blk").cogroup(anchors.groupBy("blk")).applyInArrow(_candidate_windows(window), "key long, at long")
     gone = recurring(found)
     run, last = _removal(window), "kept_text string, removed array<long>"
     if digest:
         run, last = _digest(run), "kept_sha256 string"
-    return dealt.groupBy("blk").cogroup(gone.groupBy("blk")).applyInArrow(run, f"doc_id long, n_words long, n_removed long, {last}")
+    return dealt.groupBy("blk").cogroup(gone.groupBy("blk")).applyInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, {last}")
