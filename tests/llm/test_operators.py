@@ -380,26 +380,22 @@ def test_neighbours(spark, n, dim):
 
 def test_neighbours_of_clusters_at_any_size():
     """Neighbours that share a list: what is kept of it must not shrink with the number of lists."""
-    from types import SimpleNamespace
-
-    import pyarrow as pa
-
-    from notewright.llm.ann import SAMPLE, _searched, fit_index
+    from notewright.llm.ann import SAMPLE, fit_index, lists_for, search_block
 
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(128, 64)) * 4
     x = centres[rng.integers(0, 128, 200_000)] + rng.normal(size=(200_000, 64))
-    index = fit_index(x[:SAMPLE], 10)
-    search = _searched(SimpleNamespace(value=index), 10)
     for n in (20_000, 200_000):
+        index = fit_index(x[:SAMPLE], 10, lists_for(n))
         at, asked = index.lists(x[:n]), np.arange(0, n, n // 40)
+        codes = index.encode(x[:n], at)
         got = {int(q): [] for q in asked}
         order = index.order(x[asked])[:, : index.probes]
         for c in np.unique(order):
-            mine, of = np.flatnonzero(at == c), asked[(order == c).any(axis=1)]
-            found = search((int(c),), pa.table({"id": mine, "v": x[mine].tolist()}), pa.table({"qid": of, "q": x[of].tolist()}))
-            for r in found.to_pylist():
-                got[r["query_id"]].append((r["score"], r["vec_id"]))
+            mine = np.flatnonzero(at == c)
+            for q in asked[(order == c).any(axis=1)].tolist():
+                ids, d = search_block(index, int(c), mine, x[mine], codes[mine], q, x[q], 10) if len(mine) else ((), ())
+                got[q] += zip(d, ids, strict=True)
         hits = 0
         for q in asked:
             d = ((x[:n] - x[q]) ** 2).sum(axis=1)
@@ -408,6 +404,21 @@ def test_neighbours_of_clusters_at_any_size():
         assert hits >= 0.9 * 10 * len(asked), n
 
 
+def test_neighbours_of_repeated_rows(spark):
+    """Rows that repeat take no one's place."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8))
+    rows = [(i, [float(v) for v in x[i]]) for i in range(300)]
+    one = {(r.query_id, r.rank): r.vec_id for r in nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()}
+    nearest = one[0, 1]
+    df = spark.createDataFrame(rows + [rows[nearest]] * 40 + [rows[100]] * 5, "vec_id long, embedding array<double>").repartition(3)
+    two = nearest_neighbours(df, F.col("vec_id") % 100 == 0).collect()
+    assert len(two) == 30 and [r.vec_id for r in two if r.query_id == 0].count(nearest) == 1
+    d = np.sqrt(((x - x[0]) ** 2).sum(axis=1))
+    d[0] = np.inf
+    assert len(set(np.argsort(d)[:10].tolist()) & {r.vec_id for r in two if r.query_id == 0}) >= 9
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (100, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = sorted(tuple(r) for r in nearest_neighbours(df, F.col("vec_id") % 100 == 0).collect())
