@@ -6,7 +6,7 @@ that is what the definition says; it is meant for small tables.
 
 from __future__ import annotations
 
-from .line_dedup import COPY, RECURS, SIMILAR
+from .line_dedup import COPY, CUT, LONGEST, RECURS
 
 SPACE = r"'[ \t-\r]+'"
 UPPER, LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
@@ -45,18 +45,15 @@ OP3 = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_sp
  l AS (SELECT DISTINCT text, i, ls[i] AS line FROM d, unnest(range(1, len(ls) + 1)) t(i) WHERE text IS NOT NULL),
  t AS (SELECT *, CASE WHEN 2 * len(list_filter(mk, lambda x: x = '<*>')) > len(mk) THEN raw ELSE mk END AS tok FROM (SELECT *, list_filter(string_split_regex(line, '[ \t\x0B\f\r]+'), lambda x: x <> '') AS raw,
   list_filter(string_split_regex(regexp_replace(line, '[^ \t\x0B\f\r]*[0-9][^ \t\x0B\f\r]*', '<*>', 'g'), '[ \t\x0B\f\r]+'), lambda x: x <> '') AS mk FROM l)),
- h AS (SELECT text, i, len(tok) AS n, tok FROM t WHERE len(tok) > 0), held AS (SELECT DISTINCT tok, text FROM h),
- wt AS (SELECT tok, len(tok) AS n, len(tok) // 3 AS a, count(*) AS w FROM held GROUP BY tok),
- lf AS (SELECT tok, n, w, {{'n': n, 'j': j, 't': CASE WHEN j < 2 THEN tok[a * j + 1:a * j + a] ELSE tok[2 * a + 1:n] END}} AS leaf FROM wt, unnest([0, 1, 2]) u(j) WHERE n >= 4),
- sh AS (SELECT * FROM lf WHERE leaf IN (SELECT leaf FROM lf GROUP BY leaf HAVING sum(w) >= {RECURS})),
- pl AS (SELECT leaf, tok, n, w, p, tok[p] AS x FROM sh, unnest(range(1, n + 1)) u(p)),
- cs AS (SELECT leaf, tok, list([p::VARCHAR, x] ORDER BY p) AS constants FROM (SELECT *, sum(w) OVER (PARTITION BY leaf, p, x) AS total FROM pl) WHERE total >= {RECURS} GROUP BY leaf, tok, n HAVING count(*) >= {SIMILAR} * n),
- mb AS (SELECT tok, {{'leaf': leaf, 'c': constants}} AS tpl FROM cs UNION ALL SELECT tok, {{'leaf': NULL, 'c': [tok]}} FROM wt WHERE w >= {RECURS}),
- sn AS (SELECT DISTINCT tpl, text FROM mb JOIN held USING (tok)), se AS (SELECT * FROM sn WHERE tpl IN (SELECT tpl FROM sn GROUP BY tpl HAVING count(*) >= {RECURS})),
- pc AS (SELECT text, x, strlen(x) AS size FROM (SELECT DISTINCT text, unnest(string_split(translate(text, '.!?', chr(10) || chr(10) || chr(10)), chr(10))) AS x FROM (SELECT DISTINCT text FROM se)) WHERE x <> ''),
- pm AS (SELECT *, count(*) OVER (PARTITION BY x) > 1 AS shared FROM pc),
- cl AS (SELECT text, CASE WHEN sum(size) FILTER (WHERE shared) > {COPY} * sum(size) THEN arg_max(x, (size, md5(x))) FILTER (WHERE shared) END AS longest FROM pm GROUP BY text),
- ct AS (SELECT DISTINCT tpl, longest, CASE WHEN longest IS NULL THEN text END AS own FROM se LEFT JOIN cl USING (text)),
+ h AS (SELECT text, i, line, len(tok) AS n, tok FROM t WHERE len(tok) > 0), held AS (SELECT DISTINCT tok, text FROM h),
+ wt AS (SELECT tok, len(tok) AS n, len(tok) // 5 AS a, count(*) AS w FROM held GROUP BY tok),
+ pt AS (SELECT tok, w, n, [tok[a * j + 1:CASE WHEN j < 4 THEN a * j + a ELSE n END] for j in range(0, 5)] AS ps FROM wt WHERE n BETWEEN {CUT} AND {LONGEST}),
+ pa AS (SELECT tok, w, {{'n': n, 'x': x, 'y': y, 'k': [p for p, j in ps if j <> x + 1 and j <> y + 1]}} AS tpl FROM pt, unnest(range(0, 4)) u(x), unnest(range(1, 5)) v(y) WHERE x < y
+  UNION ALL SELECT tok, w, {{'n': n, 'x': x, 'y': -1, 'k': [tok[1:x], tok[x + 2:n]]}} FROM wt, unnest(range(0, n)) u(x) WHERE n >= 4 AND n < {CUT}),
+ mb AS (SELECT tok, tpl FROM pa WHERE tpl IN (SELECT tpl FROM pa GROUP BY tpl HAVING sum(w) >= {RECURS} AND count(*) > 1) UNION ALL SELECT tok, {{'n': n, 'x': -1, 'y': -1, 'k': [tok]}} FROM wt WHERE w >= {RECURS}),
+ sn AS (SELECT DISTINCT tpl, text FROM mb JOIN held USING (tok)), rw AS (SELECT DISTINCT text, line, n FROM h), sh AS (SELECT *, count(*) OVER (PARTITION BY line) > 1 AS shared FROM rw),
+ cl AS (SELECT text, CASE WHEN sum(n) FILTER (WHERE shared) > {COPY} * sum(n) THEN arg_max(line, (n, line)) FILTER (WHERE shared) END AS longest FROM sh GROUP BY text),
+ ct AS (SELECT DISTINCT tpl, longest, CASE WHEN longest IS NULL THEN text END AS own FROM sn LEFT JOIN cl USING (text)),
  ag AS (SELECT DISTINCT tok FROM mb WHERE tpl IN (SELECT tpl FROM ct GROUP BY tpl HAVING count(*) >= {RECURS})),
  gn AS (SELECT text, list(i) AS g FROM h WHERE tok IN (SELECT tok FROM ag) GROUP BY text)
  SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(g), 0)::BIGINT AS n_dropped,

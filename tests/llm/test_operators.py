@@ -313,9 +313,9 @@ def test_lines_of_templates(spark):
     assert all(got[200 + i].text == "" for i in range(20)) and all(got[300 + i].nw_dropped == 0 for i in range(5))
 
 
-@pytest.mark.parametrize("lines", [1, 6])
+@pytest.mark.parametrize("lines", [1, 16])
 def test_lines_of_near_copies(spark, lines):
-    """Many near copies of one document, in one line or several, keep their lines; what others hold too goes."""
+    """Many near copies of one document, in one paragraph or of most lines alike, keep their lines; what others hold too goes."""
     rng = random.Random(33)
     sentence = [words_of(rng, 8) + "." for _ in range(48)]
     rows = []
