@@ -12,6 +12,8 @@ from . import patterns as P
 
 _MARK, _END = "\u0001", "\u0002"
 BLANKS = " \t\n\r\f\u000b"
+#: White space beyond ASCII's counts between a number and its unit.
+SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def ci(pattern: str) -> str:
@@ -97,13 +99,14 @@ def size(text: Column, rules=P.SIZES) -> Column:
     """(value in mm, span)."""
     value = span = None
     for _, pattern, how, unit in rules:
-        n = pattern.count(P.NUMBER)
+        n, pattern = pattern.count(P.NUMBER), pattern.replace(r"\s", SPACE)
         numbers = [F.regexp_extract(text, ci(pattern), i + 1).try_cast("double") for i in range(n)]
         one = numbers[0] if n == 1 else (numbers[0] + numbers[1]) / 2.0 if how == "mean" else F.greatest(*numbers)
         hit = has(text, pattern)
         value = F.when(hit, one * unit) if value is None else value.when(hit, one * unit)
         span = F.when(hit, found(text, pattern)) if span is None else span.when(hit, found(text, pattern))
-    unit = has(text, r"[0-9]\s*-?\s*[cm]m\b")
+    # most texts have no unit after a number and are not tried by every pattern
+    unit = has(text, rf"[0-9.]{SPACE}*-?{SPACE}*[cm]m\b")
     return F.struct(F.when(unit, value).alias("value"), F.when(unit, span).alias("span"))
 
 

@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Terms that speak for and against a lung nodule.
-PULMONARY = ("pulmonary", "lung", "lobe", "lingula", "nodule", "ground glass", "ground-glass", "ggo", "ggn", "rul", "lll", "apical")
-OTHER_ORGAN = ("thyroid", "adrenal", "liver", "hepatic", "renal", "kidney", "splenic", "spleen", "pancrea", "breast", "bone", "osseous", "vertebra", "lymph node", "pleural effusion", "skin", "mesenter", "bowel", "ovar")
+#: Terms that speak for and against a lung nodule, and the words that outweigh the latter.
+PULMONARY = ("lung", "lungs", "pulmonary", "nodule", "nodules", "granuloma", "lobe", "lobes", "lingula", "pleural", "ground-glass", "ground glass")
+OTHER_ORGAN = (
+    "adrenal", "hepatic", "liver", "renal", "kidney", "spleen", "splenic", "thyroid", "breast", "pancreas", "pancreatic", "lymph node", "lymph nodes",
+    "mediastinal node", "hilar node", "paratracheal", "osseous", "bone", "rib lesion",
+)
+SURELY_PULMONARY = r"\b(lung|pulmonary|lobe|lingula|pleural|ground[- ]glass)\b"
+#: What a candidate may have.
+DENSITIES = ("solid", "part_solid", "ground_glass", "calcified", "fat_containing")
+LOBES = ("RUL", "RML", "RLL", "LUL", "LLL", "lingula", "bilateral")
+DENSITY_ALIASES = {"partsolid": "part_solid", "groundglass": "ground_glass", "ggo": "ground_glass", "fat": "fat_containing"}
 
 
 def last_per_key(rows: DataFrame, key: str, value: str, ordinal: str) -> DataFrame:
@@ -26,7 +34,7 @@ def pulmonary(text: Column) -> Column:
     """(ok, reason)."""
     norm = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
     among = lambda terms: F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(norm, t))
-    reason = F.when(norm == "", "empty_mention_text").when(among(OTHER_ORGAN) & ~norm.rlike(r"\b(pulmonary|lung) nodul"), "non_pulmonary_mention_filtered").when(~among(PULMONARY), "no_pulmonary_nodule_cue")
+    reason = F.when(norm == "", "empty_mention_text").when(among(OTHER_ORGAN) & ~norm.rlike(SURELY_PULMONARY), "non_pulmonary_mention_filtered").when(~among(PULMONARY), "no_pulmonary_nodule_cue")
     return F.struct(reason.isNull().alias("ok"), reason.alias("reason"))
 
 
@@ -63,12 +71,37 @@ def selected_value(rows: DataFrame, field: str) -> DataFrame:
 
 
 def conflicts(rows: DataFrame, fields: list[str]) -> DataFrame:
-    out = None
-    for f in fields:
-        one = selected_value(rows, f).filter("conflict")
-        out = one if out is None else out.unionByName(one)
-    risk = F.when(F.col("field") == "size_mm", "high").when(F.col("field") == "density", "medium").otherwise("low")
-    return out.withColumn("risk", risk)
+    """Conflicting values of all fields of a note, with their risk, what resolves them and whether to review; fields are unpivoted, so there is one shuffle.
+
+    rows: case_id, note_id, sample_id, confidence and the fields."""
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v"), F.col(f).cast("double" if f == "size_mm" else "string").cast("string").alias("o")) for f in fields])
+    long = rows.select("case_id", "note_id", "sample_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.inline(each)).filter("v is not null")
+    size = F.col("field") == "size_mm"
+    # the largest size; of others the surest
+    rank = F.struct(F.when(size, F.col("v").try_cast("double")).otherwise(F.col("confidence")).alias("a"), F.when(size, F.col("confidence")).alias("b"), F.when(~size, F.col("v")).alias("c"))
+    g = long.groupBy("case_id", "note_id", "field").agg(F.max_by("v", rank).alias("selected"), F.array_sort(F.collect_set("v")).alias("all"), F.array_sort(F.collect_set("sample_id")).alias("mentions"))
+    g = g.filter(F.size("all") > 1)
+    r = conflict_risk(F.col("field"), F.size("all"), F.size("mentions"))
+    return g.select("case_id", "note_id", "field", "selected", F.array_join("all", "|").alias("alternatives"), F.array_join("mentions", "|").alias("source_mentions"), F.size("all").alias("n_alternatives"), r.alias("r")).select("*", "r.*").drop("r")
+
+
+def conflict_risk(field: Column, alternatives: Column, mentions: Column) -> Column:
+    """(risk, resolution, needs_review) of a conflict by field, number of values and of mentions."""
+    cases = [
+        ((field == "size_mm") & (alternatives <= 1), "low", "same_numeric_size_duplicate_mentions", False),
+        ((field == "size_mm") & (alternatives <= 3), "medium", "largest_size_case_or_note_level_resolution_possible", False),
+        (field == "size_mm", "medium", "many_size_values_largest_size_possible_but_review_recommended", True),
+        ((field == "density_category") & (alternatives <= 1), "low", "same_density_duplicate_mentions", False),
+        ((field == "density_category") & (mentions > 1), "high", "density_subtype_conflict_changes_cdsg_path_manual_review", True),
+        (field == "density_category", "medium", "density_conflict_single_mention_duplicate", True),
+        ((field == "location_lobe") & (alternatives <= 1), "low", "same_location_duplicate_mentions", False),
+        ((field == "location_lobe") & (alternatives > 2), "medium", "multiple_location_mentions_likely_multiple_nodules", True),
+        (field == "location_lobe", "medium", "location_conflict_low_cdsg_impact_but_grounding_risk", False),
+    ]
+    out = F
+    for test, *values in cases:
+        out = out.when(test, F.struct(*[F.lit(v).alias(k) for k, v in zip(("risk", "resolution", "needs_review"), values, strict=True)]))
+    return out.otherwise(F.struct(F.lit("medium").alias("risk"), F.lit("unknown_conflict_type").alias("resolution"), F.lit(True).alias("needs_review")))
 
 
 def nearest_density(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,8 +101,11 @@ def mention_rows(facts_: DataFrame) -> DataFrame:
     return facts_.select("note_id", "subject_id", "exam_name", F.explode("nodules").alias("n")).select("note_id", "subject_id", "exam_name", "n.*")
 
 
-def numbered_mentions(notes: DataFrame, text: str = "text") -> DataFrame:
-    """Mentions of findings, then impression, numbered through the note: sample_id = note_id__k."""
+def numbered_mentions(notes: DataFrame, text: str = "text", per_note: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Mentions of findings, then impression, numbered through the note: sample_id = note_id__k.
+
+    per_note: columns made of the joined sections, once a note, that all its mentions carry."""
+    per_note = per_note or {}
     cut = notes.withColumn("sections", T.sections(F.col(text)))
     tagged = lambda s: F.transform(T.mentions(F.col(f"sections.{s}")), lambda m: F.struct(F.lit(s).alias("section"), m.alias("mention_text")))
     full = F.concat_ws(
@@ -108,10 +113,13 @@ def numbered_mentions(notes: DataFrame, text: str = "text") -> DataFrame:
         F.when(F.col("sections.findings").isNotNull(), F.concat(F.lit("FINDINGS: "), F.col("sections.findings"))),
         F.when(F.col("sections.impression").isNotNull(), F.concat(F.lit("IMPRESSION: "), F.col("sections.impression"))),
     )
-    rows = cut.select("note_id", "subject_id", "exam_name", full.alias("full_text"), F.posexplode(F.concat(tagged("findings"), tagged("impression"))).alias("k", "m"))
+    cut = cut.withColumn("full_text", full)
+    for k, f in per_note.items():
+        cut = cut.withColumn(k, f(F.col("full_text")))
+    rows = cut.select("note_id", "subject_id", "exam_name", "full_text", *per_note, F.posexplode(F.concat(tagged("findings"), tagged("impression"))).alias("k", "m"))
     size, place = T.size(F.col("m.mention_text")), T.location(F.col("m.mention_text"))
     return rows.select(
         F.concat_ws("__", "note_id", F.col("k") + 1).alias("sample_id"), "note_id", "subject_id", "exam_name", "m.section", "m.mention_text", "full_text",
         T.density(F.col("m.mention_text"))["value"].alias("density_label"), size["value"].alias("size_label"), size["span"].alias("size_text"), size["value"].isNotNull().alias("has_size"),
-        F.coalesce(place["value"], F.lit("no_location")).alias("location_label"), place["value"].isNotNull().alias("has_location"),
+        F.coalesce(place["value"], F.lit("no_location")).alias("location_label"), place["value"].isNotNull().alias("has_location"), *per_note,
     )

@@ -93,17 +93,21 @@ def _d4():
     return F.when(F.size(labels) >= 2, "unclear"), F.array_join(F.array_distinct(F.concat(*[h for _, h in found])), " | ")
 
 
-@labelling_function("density", "LF-D5", 0.85)
-def _d5():
-    body = F.regexp_extract(F.coalesce(F.col("full_text"), F.lit("")), r"(?is)IMPRESSION\s*:\s*(.*)", 1)
+def impression_density(full_text: Column) -> Column:
+    """(label, span) of the first sentence of a note's impression that speaks of a nodule and has a density."""
+    body = F.regexp_extract(F.coalesce(full_text, F.lit("")), r"(?is)IMPRESSION\s*:\s*(.*)", 1)
 
     def judged(s: Column) -> Column:
         label, span = _first_density(s, P.LF_PRIMARY)
         return F.struct(label.alias("label"), span.alias("span"))
 
     named = F.filter(T.sentences(body), lambda s: T.has(s, P.LF_MENTION))
-    first = F.try_element_at(F.filter(F.transform(named, judged), lambda x: x["label"].isNotNull()), F.lit(1))
-    return F.when(F.lower("section") == "findings", first["label"]), first["span"]
+    return F.try_element_at(F.filter(F.transform(named, judged), lambda x: x["label"].isNotNull()), F.lit(1))
+
+
+@labelling_function("density", "LF-D5", 0.85)
+def _d5():
+    return F.when(F.lower("section") == "findings", F.col("impression_density")["label"]), F.col("impression_density")["span"]
 
 
 @labelling_function("size", "LF-S1", 1.0)
@@ -177,7 +181,11 @@ def _l5():
 
 
 def label_rows(mentions: DataFrame, task: str) -> DataFrame:
-    """mentions (mention_text, full_text, section, ...) with lf_details."""
+    """mentions (mention_text, full_text, section, ...) with lf_details.
+
+    impression_density is the same for all mentions of a note: numbered_mentions can bring it along."""
+    if task == "density" and "impression_density" not in mentions.columns:
+        mentions = mentions.withColumn("impression_density", impression_density(F.col("full_text")))
     return mentions.withColumn("lf_details", F.array(*[build() for build in LFS[task].values()]))
 
 

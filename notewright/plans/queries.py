@@ -293,7 +293,7 @@ def recommendation_quality(spark, sf):
 
 
 def _labelled(spark, sf, task):
-    m = radiology.numbered_mentions(_chest(spark, sf))
+    m = radiology.numbered_mentions(_chest(spark, sf), per_note={"impression_density": weak.impression_density} if task == "density" else None)
     return weak.label_rows(m.withColumn("label_quality", F.lit("explicit")), task)
 
 
@@ -623,9 +623,15 @@ def conflict_select(spark, sf):
     return adapter.selected_value(_candidates(spark, sf), "density").drop("field")
 
 
-@query()
+@query(f"""WITH {_CAND}, u AS (SELECT case_id, note_id, 'size_mm' AS field, size_mm::VARCHAR AS v, size_mm AS a, coalesce(confidence, 0) AS b, '' AS c, sample_id FROM cand WHERE size_mm IS NOT NULL
+  UNION ALL SELECT case_id, note_id, 'density_category', density, coalesce(confidence, 0), 0, density, sample_id FROM cand WHERE density IS NOT NULL),
+ g AS (SELECT case_id, note_id, field, arg_max(v, (a, b, c)) AS selected, list_sort(list(DISTINCT v)) AS vs, count(DISTINCT sample_id) AS m FROM u GROUP BY ALL HAVING count(DISTINCT v) > 1)
+ SELECT case_id, note_id, field, selected, array_to_string(vs, '|') AS alternatives, CASE WHEN field = 'density_category' AND m > 1 THEN 'high' ELSE 'medium' END AS risk,
+ CASE WHEN field = 'size_mm' THEN CASE WHEN len(vs) <= 3 THEN 'largest_size_case_or_note_level_resolution_possible' ELSE 'many_size_values_largest_size_possible_but_review_recommended' END
+  WHEN m > 1 THEN 'density_subtype_conflict_changes_cdsg_path_manual_review' ELSE 'density_conflict_single_mention_duplicate' END AS resolution, field <> 'size_mm' OR len(vs) > 3 AS needs_review FROM g""")
 def conflict_risks(spark, sf):
-    return adapter.conflicts(_candidates(spark, sf), ["size_mm", "density"]).groupBy("field", "risk").agg(F.count("*").alias("n"), F.count_distinct("case_id").alias("cases"))
+    rows = _candidates(spark, sf).withColumnRenamed("density", "density_category")
+    return adapter.conflicts(rows, ["size_mm", "density_category"]).select("case_id", "note_id", "field", "selected", "alternatives", "risk", "resolution", "needs_review")
 
 
 _NEAR = f"""{_CAND}, s AS (SELECT * FROM (SELECT case_id, note_id AS sn, ordinal AS so, size_mm AS sz, row_number() OVER (PARTITION BY case_id ORDER BY size_mm DESC, ordinal) AS r FROM cand WHERE size_mm IS NOT NULL) x WHERE r = 1),
@@ -637,25 +643,32 @@ def nearest_density(spark, sf):
     return adapter.nearest_density(_candidates(spark, sf))
 
 
-@query()
+@query(f"""WITH {_NEAR}, sm AS (SELECT case_id, max(size_mm) AS z FROM cand WHERE size_mm IS NOT NULL AND density IS NOT NULL GROUP BY 1),
+ sn AS (SELECT case_id, note_id, max(size_mm) AS z FROM cand GROUP BY ALL HAVING count(size_mm) > 0 AND count(density) > 0), sc AS (SELECT case_id, max(size_mm) AS z FROM cand GROUP BY 1 HAVING count(size_mm) > 0 AND count(density) > 0),
+ al AS (SELECT 'same_mention' AS strategy, case_id, z FROM sm UNION ALL SELECT 'same_note', case_id, max(z) FROM sn GROUP BY case_id UNION ALL SELECT 'same_case', case_id, z FROM sc UNION ALL SELECT 'nearest', case_id, size_mm FROM n)
+ SELECT strategy, count(*) AS cases, sum(z) AS sizes FROM al GROUP BY 1""")
 def union_strategies(spark, sf):
     return adapter.simulate_strategies(_candidates(spark, sf)).groupBy("strategy").agg(F.count("*").alias("cases"), F.sum("size_mm").alias("sizes"))
 
 
 _TASKS = ["size", "density", "location"]
+_MENTIONS = (
+    "thyroid nodule", "", "lung nodule in RUL", "mass", "adrenal and pulmonary nodule", "Right upper lobe opacity near the liver dome", "calcified  granuloma", "rib lesion next to a nodule", "Pleural thickening, hilar node",
+    "nodule of skin and bowel", "left kidney, ground glass change", "hilar node", "opacity in RUL, apical", "RLL opacity by a vertebra", "granuloma of the breast", " \t ", "bones and lobes", "enlarged lymph nodes",
+)
 
 
 def _predictions(spark, sf):
     li = lines(spark, sf)
     task = F.element_at(F.array(*[F.lit(t) for t in _TASKS]), (F.col("l_linenumber") % 3 + 1).cast("int"))
-    text = F.when(F.col("l_partkey") % 5 == 0, "thyroid nodule").when(F.col("l_partkey") % 5 == 1, "").when(F.col("l_partkey") % 5 == 2, "lung nodule in RUL").when(F.col("l_partkey") % 5 == 3, "mass").otherwise("adrenal and pulmonary nodule")
+    text = F.element_at(F.array(*[F.lit(t) for t in _MENTIONS]), (F.col("l_partkey") % len(_MENTIONS) + 1).cast("int"))
     return li.select(
         F.concat(F.lit("p"), F.col("l_orderkey")).alias("sample_id"), F.when(F.col("l_orderkey") % 7 != 0, F.col("l_orderkey").cast("string")).alias("note_id"), text.alias("mention_text"), task.alias("task"),
         F.when(F.col("l_quantity") > 5, F.col("l_returnflag")).alias("label"), F.col("l_discount").alias("confidence"), F.col("l_linenumber").alias("ordinal"),
     )
 
 
-_PREDS = f"""p AS (SELECT concat('p', l_orderkey) AS sample_id, CASE WHEN l_orderkey % 7 <> 0 THEN l_orderkey::VARCHAR END AS note_id, ['thyroid nodule', '', 'lung nodule in RUL', 'mass', 'adrenal and pulmonary nodule'][l_partkey % 5 + 1] AS mention_text,
+_PREDS = f"""p AS (SELECT concat('p', l_orderkey) AS sample_id, CASE WHEN l_orderkey % 7 <> 0 THEN l_orderkey::VARCHAR END AS note_id, [{', '.join(S.q(t) for t in _MENTIONS)}][l_partkey % {len(_MENTIONS)} + 1] AS mention_text,
  ['size', 'density', 'location'][l_linenumber % 3 + 1] AS task, CASE WHEN l_quantity > 5 THEN l_returnflag END AS label, l_linenumber AS ordinal FROM ({LINES_SQL}) li),
  f AS (SELECT sample_id, arg_min(coalesce(note_id, '-'), ordinal) AS note_id, arg_min(mention_text, ordinal) AS mention_text FROM p GROUP BY 1),
  l AS (SELECT sample_id, task, label FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, task ORDER BY ordinal DESC) AS r FROM p) x WHERE r = 1),
@@ -668,13 +681,21 @@ def prediction_merge(spark, sf):
     return m.select("sample_id", F.coalesce("note_id", F.lit("-")).alias("note_id"), "mention_text", *[F.col(t)["label"].alias(t) for t in _TASKS])
 
 
-@query(f"""WITH {_PREDS}, r AS (SELECT m.*, o_custkey FROM m LEFT JOIN orders ON o_orderkey::VARCHAR = note_id AND o_orderkey % 5 <> 0)
- SELECT coalesce(CASE WHEN note_id = '-' THEN 'missing_note_id' WHEN o_custkey IS NULL THEN 'note_id_not_in_case_bundle' WHEN mention_text = '' THEN 'empty_mention_text' WHEN mention_text = 'thyroid nodule' THEN 'non_pulmonary_mention_filtered'
- WHEN mention_text = 'mass' THEN 'no_pulmonary_nodule_cue' WHEN coalesce(size, density, location) IS NULL THEN 'no_direct_fact' END, 'accepted') AS reason, count(*) AS n FROM r GROUP BY 1""")
+# the reason by hand: what each text of _MENTIONS is, in order
+_REASONS = (
+    "non_pulmonary_mention_filtered", "empty_mention_text", None, "no_pulmonary_nodule_cue", None, None, None, "non_pulmonary_mention_filtered", None,
+    None, None, "non_pulmonary_mention_filtered", "no_pulmonary_nodule_cue", "no_pulmonary_nodule_cue", "non_pulmonary_mention_filtered", "empty_mention_text", "non_pulmonary_mention_filtered", "non_pulmonary_mention_filtered",
+)
+
+
+@query(f"""WITH {_PREDS}, r AS (SELECT m.*, o_custkey FROM m LEFT JOIN orders ON o_orderkey::VARCHAR = note_id AND o_orderkey % 5 <> 0),
+ w AS (SELECT * FROM (VALUES {', '.join(f"({S.q(t)}, {S.q(r) if r else 'NULL'})" for t, r in zip(_MENTIONS, _REASONS, strict=True))}) v(mention_text, why))
+ SELECT mention_text, coalesce(CASE WHEN note_id = '-' THEN 'missing_note_id' WHEN o_custkey IS NULL THEN 'note_id_not_in_case_bundle' WHEN why IS NOT NULL THEN why
+ WHEN coalesce(size, density, location) IS NULL THEN 'no_direct_fact' END, 'accepted') AS reason, count(*) AS n FROM r JOIN w USING (mention_text) GROUP BY ALL""")
 def dead_letter(spark, sf):
     case = _table(spark, sf, "orders").filter("o_orderkey % 5 <> 0").select(F.col("o_orderkey").cast("string").alias("note_id"), F.col("o_custkey").alias("case_id"))
     r = adapter.routed(adapter.merge_tasks(_predictions(spark, sf), _TASKS), case)
-    return r.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+    return r.groupBy("mention_text", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_CAND}, n AS (SELECT case_id, count(*) AS c, count(size_mm) AS s, count(density) AS d, count(*) FILTER (WHERE size_mm IS NOT NULL AND density IS NOT NULL) AS b FROM cand GROUP BY 1)
