@@ -22,11 +22,11 @@ def last_per_key(rows: DataFrame, key: str, value: str, ordinal: str) -> DataFra
     return rows.groupBy(key).agg(F.max_by(value, ordinal).alias(value))
 
 
-def merge_tasks(predictions: DataFrame, tasks: list[str]) -> DataFrame:
-    """sample_id with its identity (of the first record seen) and each task's last record (label, confidence).
+def merge_tasks(predictions: DataFrame, tasks: list[str], fields: tuple[str, ...] = ("label", "confidence")) -> DataFrame:
+    """sample_id with its identity (of the first record seen) and each task's last record (its fields).
 
     predictions: sample_id, note_id, mention_text, task, label, confidence, ordinal. One shuffle; a full outer join of tasks by pivoting."""
-    of = lambda t: F.max_by(F.when(F.col("task") == t, F.struct("label", "confidence")), F.when(F.col("task") == t, F.col("ordinal"))).alias(t)
+    of = lambda t: F.max_by(F.when(F.col("task") == t, F.struct(*fields)), F.when(F.col("task") == t, F.col("ordinal"))).alias(t)
     return predictions.groupBy("sample_id").agg(F.min_by(F.struct("note_id", "mention_text"), "ordinal").alias("id"), *[of(t) for t in tasks]).select("sample_id", "id.*", *tasks)
 
 
@@ -52,6 +52,59 @@ def routed(merged: DataFrame, note_to_case: DataFrame) -> DataFrame:
     return j.withColumn("reason", reason).drop("p")
 
 
+def density_name(value: Column) -> Column:
+    """A density in the form that candidates have."""
+    t = F.translate(F.lower(F.trim(value)), "- ", "__")
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in DENSITY_ALIASES.items() for x in kv]), t), t)
+
+
+def mention_facts(merged: DataFrame) -> DataFrame:
+    """merged (density_stage1, density_stage2, size, location: structs of label, confidence, size also size_mm) with the facts of each mention:
+    the density where the first stage says that there is one, the size where there is one, the location where it is a lobe,
+    each with its confidence, and of all the greatest."""
+    known = lambda c, values: F.when(c.isin(*values), c)
+    density = F.when(F.col("density_stage1.label") == "explicit_density", known(density_name(F.col("density_stage2.label")), DENSITIES))
+    sized = F.col("size.label") == "has_size"
+    out = merged.withColumn("density", density).withColumn("size_mm", F.when(sized, F.col("size.size_mm"))).withColumn("lobe", known(F.col("location.label"), LOBES))
+    out = out.withColumn("has_size", F.when(F.col("size").isNotNull(), F.coalesce(sized, F.lit(False))))
+    best = F.greatest(*[F.col(f"{t}.confidence") for t in ("density_stage1", "density_stage2", "size", "location")])
+    sure = F.when(best.isNull(), "unknown").when(best >= 0.9, "high").when(best >= 0.7, "medium").otherwise("low")
+    out = out.withColumn("confidence_value", best).withColumn("confidence", sure)
+    return out.withColumn("missing_flags", F.flatten(F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.array(*[F.lit(x) for x in names])) for c, names in (
+        ("size_mm", ("size_mm", "size_text")), ("density", ("density_category", "density_text")), ("lobe", ("location_lobe", "location_text")))]))))
+
+
+def note_aggregates(facts: DataFrame) -> DataFrame:
+    """One candidate a note put together of several mentions; notes whose facts come from one mention have none.
+
+    The largest size is chosen first; its mention is preferred for density and lobe, else the surest of each, then the
+    greatest value. facts: case_id, note_id, sample_id, ordinal, mention_text, size_mm, density, lobe and size_confidence, density_confidence,
+    lobe_confidence. One shuffle: the size's own density and lobe travel with it."""
+    rank = lambda *cs: F.struct(*[F.coalesce(c, F.lit(d)).alias(f"r{i}") for i, (c, d) in enumerate(cs)], (-F.col("ordinal")).alias("o"))
+    best = lambda f: F.max_by(F.struct(F.col(f).alias("v"), "sample_id", "mention_text", F.col(f"{f}_confidence").alias("c")), F.when(F.col(f).isNotNull(), rank((F.col(f"{f}_confidence"), 0.0), (F.col(f), ""))))
+    size = F.struct(F.col("size_mm").alias("v"), "sample_id", "mention_text", F.col("size_confidence").alias("c"), *[F.col(x).alias(x) for x in ("density", "lobe", "density_confidence", "lobe_confidence")])
+    g = facts.groupBy("case_id", "note_id").agg(
+        F.max_by(size, F.when(F.col("size_mm").isNotNull(), rank((F.nullif("size_mm", F.lit(0.0)), -1.0), (F.col("size_confidence"), 0.0)))).alias("s"), best("density").alias("d0"), best("lobe").alias("l0")
+    )
+
+    def chosen(f: str, other: str) -> Column:
+        own = F.struct(F.col(f"s.{f}").alias("v"), F.col("s.sample_id").alias("sample_id"), F.col("s.mention_text").alias("mention_text"), F.col(f"s.{f}_confidence").alias("c"))
+        return F.when(F.col(f"s.{f}").isNotNull(), own).otherwise(F.when(F.col(f"{other}.v").isNotNull(), F.col(other)))
+
+    g = g.withColumn("s", F.when(F.col("s.v").isNotNull(), F.col("s"))).withColumn("d", chosen("density", "d0")).withColumn("l", chosen("lobe", "l0"))
+    sources = F.array_sort(F.array_distinct(F.array_compact(F.array("s.sample_id", "d.sample_id", "l.sample_id"))))
+    texts = F.filter(F.array_compact(F.array("s.mention_text", "d.mention_text", "l.mention_text")), lambda x: x != "")
+    return g.withColumn("sources", sources).filter(F.size("sources") > 1).select(
+        "case_id", "note_id", F.concat("note_id", F.lit(":aggregate")).alias("sample_id"), F.col("s.v").alias("size_mm"), F.col("d.v").alias("density"), F.col("l.v").alias("lobe"),
+        F.greatest("s.c", "d.c", "l.c").alias("confidence"), "sources", F.array_join(texts, " | ").alias("evidence_span"),
+    )
+
+
+def aggregate_risk(notes: Column, mentions: Column) -> Column:
+    """Risk of a candidate put together of so many notes and mentions (arrays)."""
+    return F.when(F.size(F.array_distinct(notes)) > 1, "high").when(F.size(F.array_distinct(mentions)) > 1, "medium").otherwise("low")
+
+
 def ranked_candidates(rows: DataFrame) -> DataFrame:
     """Candidates of a note (case_id, note_id, sample_id, size_mm, density, confidence) with candidate_rank.
 

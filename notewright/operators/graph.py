@@ -9,9 +9,10 @@ projection, not an iteration. The graph must be acyclic; the compiler refuses ot
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -71,6 +72,24 @@ def condition(spec: dict) -> tuple[Column, Column]:
     return F.coalesce(test, F.lit(False)), lost
 
 
+def condition_text(spec: dict) -> str:
+    """A condition in words, alike for equal conditions."""
+    op, fact = spec.get("op"), spec.get("fact")
+    if op == "always":
+        return op
+    if op in ("all", "any"):
+        return f"{op}({'; '.join(condition_text(c) for c in spec.get('conditions', []))})"
+    if op == "range":
+        return f"{spec.get('gte')} <= {fact} < {spec.get('lt')}"
+    said = {"exists": "", "missing": "", "in": spec.get("values"), "missing_or_in": spec.get("values")} | dict.fromkeys(("equals", "lt", "lte", "gt", "gte"), spec.get("value"))
+    return f"{fact} {op} {said[op]}".rstrip() if op in said else json.dumps(spec, ensure_ascii=False, sort_keys=True)
+
+
+def load_graph(spark: SparkSession, path: str) -> dict:
+    """A graph from one JSON document, wherever Spark can read it."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
 @dataclass
 class Compiled:
     """Every path from the entry to a terminal, as (edges tried and failed, edges taken, nodes, terminal)."""
@@ -118,11 +137,13 @@ class Compiled:
     def trace(self, path: Column) -> Column:
         texts = lambda f: F.try_element_at(F.array(*[F.array(*[F.lit(x) for x in f(p)]) if f(p) else F.array().cast("array<string>") for p in self.paths]), path)
         failed = lambda p: [e["edge_id"] for e, want in p[0] if not want]
+        said = lambda p: [e.get("condition_text") or condition_text(e["condition"]) for e, want in p[0] if want]
         return F.struct(
             F.try_element_at(F.array(*[F.lit(p[3]) for p in self.paths]), path).alias("terminal_node"),
             texts(lambda p: p[2]).alias("visited_nodes"),
             texts(lambda p: p[1]).alias("matched_edges"),
             texts(failed).alias("failed_edges"),
+            texts(said).alias("matched_conditions"),
         )
 
     def attribute(self, name: str, terminal: Column, kind: str) -> Column:
@@ -264,7 +285,7 @@ def traverse(candidates: DataFrame, graph: dict | None = None) -> DataFrame:
     gap = g.attribute("missing_info", F.col("terminal_node"), "string")
     return t.select(
         *[c for c in candidates.columns if c != "lung_rads_category"],
-        "terminal_node", F.col("g.visited_nodes").alias("visited_nodes"), F.col("g.matched_edges").alias("matched_edges"), F.col("g.failed_edges").alias("failed_edges"),
+        "terminal_node", F.col("g.visited_nodes").alias("visited_nodes"), F.col("g.matched_edges").alias("matched_edges"), F.col("g.failed_edges").alias("failed_edges"), F.col("g.matched_conditions").alias("matched_conditions"),
         "lung_rads_category", "abstained", reason.alias("abstention_reason"),
         F.coalesce(lookup(F.col("lung_rads_category"), SEVERITY), F.lit(-1)).alias("severity"),
         F.coalesce("level", F.lit("insufficient_data")).alias("level"), F.coalesce("action", F.lit(NOTES["no_facts"])).alias("action"), "interval", "modality",
@@ -296,6 +317,6 @@ def execute(nodules: DataFrame, cases: DataFrame, graph: dict | None = None) ->
     return out.select(
         "case_id", F.col("d.level").alias("recommendation_level"), F.col("d.action").alias("recommendation_action"), F.col("d.interval").alias("followup_interval"), F.col("d.modality").alias("followup_modality"),
         F.col("d.lung_rads_category").alias("lung_rads_category"), abstained.alias("abstained"), F.col("d.abstention_reason").alias("abstention_reason"), F.col("d.terminal_node").alias("terminal_node"),
-        F.col("d.visited_nodes").alias("visited_nodes"), F.col("d.matched_edges").alias("matched_edges"), F.col("d.failed_edges").alias("failed_edges"), F.col("d.triggered_rules").alias("triggered_rules"),
+        F.col("d.visited_nodes").alias("visited_nodes"), F.col("d.matched_edges").alias("matched_edges"), F.col("d.failed_edges").alias("failed_edges"), F.col("d.matched_conditions").alias("matched_conditions"), F.col("d.triggered_rules").alias("triggered_rules"),
         gaps.alias("missing_information"), F.col("d.evidence_notes").alias("evidence_notes"), quality.alias("evidence_quality"), F.col("d.size_mm").alias("size_mm"), "nodule_count", "actionable_count",
     )

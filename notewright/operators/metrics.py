@@ -38,10 +38,41 @@ def per_class(rows: DataFrame, truth: str, predicted: str, labels: list[str]) ->
 
 
 def summary(rows: DataFrame, truth: str, predicted: str, labels: list[str]) -> DataFrame:
-    """One row: accuracy, macro_f1 over all labels listed, weighted_f1."""
-    c = per_class(rows, truth, predicted, labels)
-    acc = rows.agg(rate(F.col(truth) == F.col(predicted)).alias("accuracy"))
-    return acc.crossJoin(c.agg(F.avg("f1").alias("macro_f1"), F.coalesce(F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")), F.lit(0.0)).alias("weighted_f1")))
+    """One row: accuracy, macro_f1 over all labels listed, weighted_f1; rows are read once."""
+    t, p = F.col(truth), F.col(predicted)
+    counts = [c for i, x in enumerate(labels) for c in (F.count_if((t == x) & (p == x)).alias(f"tp{i}"), F.count_if(p == x).alias(f"p{i}"), F.count_if(t == x).alias(f"t{i}"))]
+    one = rows.agg(rate(t == p).alias("accuracy"), *counts)
+    f1 = [F.coalesce(F.try_divide(2.0 * F.col(f"tp{i}"), F.col(f"p{i}") + F.col(f"t{i}")), F.lit(0.0)) for i in range(len(labels))]
+    support = sum(F.col(f"t{i}") for i in range(len(labels)))
+    weighted = sum(f * F.col(f"t{i}") for i, f in enumerate(f1))
+    return one.select("accuracy", (sum(f1) / len(labels)).alias("macro_f1"), F.coalesce(F.try_divide(weighted, support), F.lit(0.0)).alias("weighted_f1"))
+
+
+def percentiles(rows: DataFrame, column: str, shares: dict[str, float], keys: list[str] = (), ranges: int = 1024) -> DataFrame:
+    """keys and, by name, the values at those shares of the rows, between two neighbours in proportion.
+
+    Exact and in two steps: distinct values with their counts, ranked by ranges and within them. No task or
+    aggregation state holds all values of a key."""
+    keys = list(keys)
+    d = rows.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("q_v")).agg(F.count("*").alias("q_c"))
+    span = d.groupBy(*keys).agg(F.min("q_v").alias("q_lo"), F.max("q_v").alias("q_hi"), F.sum("q_c").alias("q_n"))
+    same = lambda a, b, cs: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cs]
+    on = same("d", "s", keys)
+    d = d.alias("d").join(span.alias("s"), on=on) if on else d.crossJoin(F.broadcast(span))
+    d = d.select(*[F.col(f"d.{c}" if on else c).alias(c) for c in keys], "q_v", "q_c", "q_n", F.coalesce(F.floor(F.try_divide(F.col("q_v") - F.col("q_lo"), F.col("q_hi") - F.col("q_lo")) * ranges), F.lit(0)).alias("q_b"))
+    b = d.groupBy(*keys, "q_b").agg(F.sum("q_c").alias("q_bc"))
+    b = b.select(*keys, "q_b", F.coalesce(F.sum("q_bc").over(Window.partitionBy(*keys).orderBy("q_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("q_b0"))
+    on = same("d", "b", [*keys, "q_b"])
+    inner = F.sum("q_c").over(Window.partitionBy(*[F.col(f"d.{c}") for c in keys], F.col("d.q_b")).orderBy("q_v"))
+    r = d.alias("d").join(b.alias("b"), on=on).select(*[F.col(f"d.{c}").alias(c) for c in keys], "q_v", "q_n", (F.col("q_b0") + inner).alias("q_to"), F.col("q_c"))
+    r = r.withColumn("q_from", F.col("q_to") - F.col("q_c"))
+    out = []
+    for name, share in shares.items():
+        at = (F.col("q_n") - 1) * F.lit(float(share))
+        value = lambda p: F.max(F.when((F.col("q_from") <= p) & (p < F.col("q_to")), F.col("q_v")))
+        low, high, part = value(F.floor(at)), value(F.ceil(at)), F.max(at - F.floor(at))
+        out.append((low + (high - low) * part).alias(name))
+    return r.groupBy(*keys).agg(*out)
 
 
 def score_curve(rows: DataFrame, truth: str, score: str) -> DataFrame:
@@ -73,12 +104,13 @@ def best_threshold(rows: DataFrame, truth: str, score: str) -> DataFrame:
     return c.agg(F.when(both, F.max_by("score", F.struct("f1", -F.col("score")))).otherwise(0.5).alias("threshold"), F.when(both, F.max("f1")).alias("f1"))
 
 
-def regression(rows: DataFrame, truth: str, predicted: str, tolerance: float = 1.0) -> DataFrame:
-    """One row: n, mae, exact and within-tolerance rates, median and largest error."""
-    e = F.abs(F.col(truth) - F.col(predicted))
-    return rows.filter(F.col(truth).isNotNull() & F.col(predicted).isNotNull()).agg(
-        F.count("*").alias("n"), F.avg(e).alias("mae"), rate(e == 0).alias("exact"), rate(e <= tolerance).alias("within"), F.median(e).alias("median_error"), F.max(e).alias("max_error")
-    )
+def regression(rows: DataFrame, truth: str, predicted: str, tolerance: float = 1.0, *, missing: float | None = None) -> DataFrame:
+    """One row: n, mae, exact and within-tolerance rates, median and largest error. Rows without a prediction are left out, or predict missing."""
+    p = F.col(predicted) if missing is None else F.coalesce(predicted, F.lit(missing))
+    e = rows.filter(F.col(truth).isNotNull() & p.isNotNull()).select(F.abs(F.col(truth) - p).alias("e"))
+    one = e.agg(F.count("*").alias("n"), F.avg("e").alias("mae"), rate(F.col("e") == 0).alias("exact"), rate(F.col("e") <= tolerance).alias("within"), F.max("e").alias("max_error"))
+    median = percentiles(e, "e", {"median_error": 0.5})
+    return one.crossJoin(F.broadcast(median)).select("n", "mae", "exact", "within", "median_error", "max_error")
 
 
 def temperature(rows: DataFrame, truth: str, logit: str, grid: list[float]) -> DataFrame:
@@ -115,7 +147,12 @@ def missing_fields(rows: DataFrame, array: str = "missing_information") -> DataF
 
 def numeric_summary(rows: DataFrame, column: str, keys: list[str] = ()) -> DataFrame:
     c = F.col(column)
-    return rows.groupBy(*keys).agg(F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.round(F.avg(c), 4).alias("mean"), F.median(c).alias("median"), F.percentile(c, F.lit(0.9)).alias("p90"))
+    one = rows.groupBy(*keys).agg(F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.round(F.avg(c), 4).alias("mean"))
+    of = percentiles(rows, column, {"median": 0.5, "p90": 0.9}, keys)
+    if not keys:
+        return one.crossJoin(F.broadcast(of))
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    return one.alias("a").join(of.alias("b"), on, "left").select("a.*", "b.median", "b.p90")
 
 
 def label_stats(rows: DataFrame, split: str, quality: str) -> DataFrame:

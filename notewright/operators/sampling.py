@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,38 +16,47 @@ def draw(seed: int, *keys: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
 
 
+def ranked(rows: DataFrame, by: list[str], key: str, *, seed: int = 42, order: list[Column] | None = None, digits: int | None = None) -> DataFrame:
+    """rows with s_rank, from 1 in each group of by in hash order of key, and s_n, the rows of the group.
+
+    Ranks are counted in two steps, by leading hex digits and within them, so that no task holds a whole group: with the
+    digits that the number of rows asks for (65,536 rows a range, or as given) a group may be all rows."""
+    h = rows.withColumn("s_h", draw(seed, F.col(key)))
+    if digits is None:
+        digits = max(1, math.ceil(math.log(max(rows.count(), 1) / 65_536, 16)))
+    h = h.withColumn("s_b", F.substring("s_h", 1, digits))
+    size = h.groupBy(*by, "s_b").agg(F.count("*").alias("s_c"))
+    w = Window.partitionBy(*by)
+    before = size.select(*by, "s_b", F.coalesce(F.sum("s_c").over(w.orderBy("s_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s_before"), F.sum("s_c").over(w).alias("s_n"))
+    before = before.select(*[F.col(c).alias(f"s_by_{c}") for c in by], F.col("s_b").alias("s_b2"), "s_before", "s_n")
+    same = F.col("s_b") == F.col("s_b2")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"s_by_{c}"))
+    inner = F.row_number().over(Window.partitionBy(*by, "s_b").orderBy("s_h", *(order or [F.col(key)])))
+    out = h.join(before, same).withColumn("s_rank", F.col("s_before") + inner)
+    return out.drop("s_h", "s_b", "s_b2", "s_before", *[f"s_by_{c}" for c in by])
+
+
 def subject_split(rows: DataFrame, key: str, *, seed: int = 42, train: float = TRAIN, val: float = VAL) -> DataFrame:
-    """key, split: distinct keys in random order, cut at the floors of their shares; with three or more no split is empty.
-
-    Ranks are counted in two steps, by leading hex digits and within them, so that no task holds all keys."""
-    keys = rows.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("h", draw(seed, F.col(key)))
-    keys = keys.withColumn("b", F.substring("h", 1, 2))
-    size = keys.groupBy("b").agg(F.count("*").alias("c"))
-    before = size.withColumn("before", F.sum("c").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.withColumn("n", F.sum("c").over(Window.partitionBy()))  # at most 256 rows
-    ranked = keys.join(F.broadcast(before), "b").withColumn("r", F.coalesce("before", F.lit(0)) + F.row_number().over(Window.partitionBy("b").orderBy("h", key)))
-    n, many = F.col("n"), F.col("n") >= 3
+    """key, split: distinct keys in random order, cut at the floors of their shares; with three or more no split is empty."""
+    keys = rows.select(key).filter(F.col(key).isNotNull()).distinct()
+    r = ranked(keys, [], key, seed=seed)
+    n, many = F.col("s_n"), F.col("s_n") >= 3
     at = F.greatest(F.floor(n * train), F.when(many, 1).otherwise(0))
     to = at + F.greatest(F.floor(n * val), F.when(many, 1).otherwise(0))
     to = F.when(many, F.least(to, n - 1)).otherwise(to)
     at = F.when(many, F.least(at, to - 1)).otherwise(at)
-    split = F.when(F.col("r") <= at, "train").when(F.col("r") <= to, "val").otherwise("test")
-    return ranked.select(key, split.alias("split"))
+    split = F.when(F.col("s_rank") <= at, "train").when(F.col("s_rank") <= to, "val").otherwise("test")
+    return r.select(key, split.alias("split"))
 
 
 def label_split(groups: DataFrame, key: str, label: str, *, seed: int = 42, train: float = TRAIN, val: float = VAL) -> DataFrame:
     """key, label, split by label: one group trains, two train and test, more are cut at rounded shares."""
-    w = Window.partitionBy(label)
-    g = groups.select(key, label).withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy(draw(seed, F.col(key)), key)))
-    at = F.greatest(F.bround(F.col("n") * train), F.lit(1))
-    to = F.least(at + F.greatest(F.bround(F.col("n") * val), F.lit(1)), F.col("n") - 1)
-    split = (
-        F.when(F.col("n") == 1, "train")
-        .when(F.col("n") == 2, F.when(F.col("r") == 1, "train").otherwise("test"))
-        .when(F.col("r") <= F.least(at, to - 1), "train")
-        .when(F.col("r") <= to, "val")
-        .otherwise("test")
-    )
+    g = ranked(groups.select(key, label), [label], key, seed=seed)
+    n, r = F.col("s_n"), F.col("s_rank")
+    at = F.greatest(F.bround(n * train), F.lit(1))
+    to = F.least(at + F.greatest(F.bround(n * val), F.lit(1)), n - 1)
+    split = F.when(n == 1, "train").when(n == 2, F.when(r == 1, "train").otherwise("test")).when(r <= F.least(at, to - 1), "train").when(r <= to, "val").otherwise("test")
     return g.select(key, label, split.alias("split"))
 
 
@@ -68,20 +80,17 @@ def leakage(rows: DataFrame, key: str, split: str = "split") -> DataFrame:
 
 
 def strata_sample(rows: DataFrame, stratum: str, key: str, quotas: dict[str, int], *, seed: int = 42) -> DataFrame:
-    """Up to a quota of rows of each stratum, in hash order. Quotas are small, so a rank filter keeps few rows a task."""
+    """Up to a quota of rows of each stratum, in hash order; strata without a quota are left out."""
     want = F.try_element_at(F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv]), F.col(stratum))
-    w = Window.partitionBy(stratum).orderBy(draw(seed, F.col(key)), key)
-    return rows.withColumn("s_rank", F.row_number().over(w)).filter(F.col("s_rank") <= F.coalesce(want, F.lit(0))).drop("s_rank")
+    return ranked(rows.filter(F.col(stratum).isin(*quotas)), [stratum], key, seed=seed).filter(F.col("s_rank") <= want).select(*rows.columns)
 
 
 def proportional_sample(rows: DataFrame, stratum: str, key: str, size: int, *, seed: int = 42) -> DataFrame:
     """About size rows, each stratum by its share and at least one, then cut to size in order of rank and hash."""
-    counts = rows.groupBy(stratum).agg(F.count("*").alias("s_n"))
-    total = counts.agg(F.sum("s_n").alias("s_all"))
-    want = counts.crossJoin(F.broadcast(total)).withColumn("s_want", F.greatest(F.lit(1), F.bround(F.lit(size) * F.col("s_n") / F.col("s_all")))).select(stratum, "s_want")
-    w = Window.partitionBy(stratum).orderBy("s_h", key)
-    ranked = rows.withColumn("s_h", draw(seed, F.col(key))).withColumn("s_rank", F.row_number().over(w))
-    return ranked.join(want, stratum).filter("s_rank <= s_want").orderBy("s_rank", "s_h", key).limit(size).drop("s_h", "s_rank", "s_want")
+    total = rows.count()
+    want = F.greatest(F.lit(1), F.bround(F.lit(size) * F.col("s_n") / F.lit(max(total, 1))))
+    r = ranked(rows, [stratum], key, seed=seed).filter(F.col("s_rank") <= want)
+    return r.orderBy("s_rank", draw(seed, F.col(key)), key).limit(size).select(*rows.columns)
 
 
 def oversampled(rows: DataFrame, score: str, key: str, size: int, *, factor: int = 3, seed: int = 42) -> DataFrame:
@@ -92,17 +101,100 @@ def oversampled(rows: DataFrame, score: str, key: str, size: int, *, factor: int
 def greedy_strata(rows: DataFrame, key: str, strata: list[tuple[str, Column, list[Column]]], quota: int, size: int) -> DataFrame:
     """Rows chosen stratum by stratum, quota of each, best first, none twice; then filled to size in order of key.
 
-    strata: name, predicate, order. Chosen rows are at most size, so what is taken out of the pool is small."""
-    chosen = None
+    strata: name, predicate, order. What is chosen is at most quota rows a stratum and goes through the driver, so each
+    stratum's plan reads rows once."""
+    spark, schema = rows.sparkSession, rows.withColumn("stratum", F.lit("")).schema
+    chosen: list = []
+    left = lambda: rows.join(F.broadcast(spark.createDataFrame(chosen, schema).select(key)), key, "left_anti") if chosen else rows
     for name, test, order in strata:
-        pool = rows.filter(test)
-        if chosen is not None:
-            pool = pool.join(F.broadcast(chosen.select(key)), key, "left_anti")
-        picked = pool.orderBy(*order, key).limit(quota).withColumn("stratum", F.lit(name))
-        chosen = picked if chosen is None else chosen.unionByName(picked)
-    chosen = chosen.limit(size)
-    rest = rows.join(F.broadcast(chosen.select(key)), key, "left_anti").orderBy(key).withColumn("stratum", F.lit("fill"))
-    return chosen.unionByName(rest.limit(size)).orderBy(F.col("stratum") == "fill", key).limit(size)
+        chosen += left().filter(test).orderBy(*order, key).limit(quota).withColumn("stratum", F.lit(name)).select(*schema.names).collect()
+    chosen = chosen[:size]
+    if len(chosen) < size:
+        chosen += left().orderBy(key).limit(size - len(chosen)).withColumn("stratum", F.lit("fill")).select(*schema.names).collect()
+    return spark.createDataFrame(chosen, schema)
+
+
+def recommendation_eval(facts: DataFrame, size: int, *, key: str = "note_id", seed: int = 42) -> DataFrame:
+    """Notes by what they can be evaluated on (a cue, a size, neither): a third of size each of the first two at most, the rest of the last."""
+    has = lambda c: F.exists("nodules", lambda n: c(n))
+    cue = has(lambda n: F.coalesce(n["recommendation_cue"] != "", F.lit(False)))
+    sized = has(lambda n: n["size_mm"].isNotNull())
+    kind = F.when(cue, "explicit_cue").when(sized, "rule_derived").otherwise("insufficient_data")
+    rows = facts.select(key, "subject_id", kind.alias("eval_type"), cue.alias("has_recommendation_cue"), sized.alias("has_size"))
+    n = {r.eval_type: r["count"] for r in rows.groupBy("eval_type").count().collect()}
+    quota = {k: min(n.get(k, 0), size // 3) for k in ("explicit_cue", "rule_derived")}
+    quota["insufficient_data"] = min(n.get("insufficient_data", 0), size - sum(quota.values()))
+    return strata_sample(rows, "eval_type", key, quota, seed=seed)
+
+
+#: What a set of case studies should show, in the order in which cases are looked for.
+CASE_TAGS = ("solid", "ground_glass", "part_solid", "multiple_nodules", "size_missing", "smoking_unknown", "recommendation_cue_present", "recommendation_cue_absent", "high_confidence", "low_confidence", "change_present", "calcified")
+
+
+def case_tags(facts: DataFrame, smoking: DataFrame | None = None) -> DataFrame:
+    """note_id, subject_id, nodule_count, tags (sorted) of notes with nodules. smoking: subject_id, smoking_status_norm, one row a subject."""
+    any_ = lambda f: F.exists("nodules", f)
+    is_ = lambda c, v: any_(lambda n: F.coalesce(n[c] == v, F.lit(False)))
+    cue = lambda n: F.coalesce(n["recommendation_cue"] != "", F.lit(False))
+    rows = facts.filter(F.size("nodules") > 0)
+    if smoking is None:
+        rows = rows.withColumn("s_unknown", F.lit(False))
+    else:
+        rows = rows.join(smoking.select("subject_id", (F.col("smoking_status_norm") == "unknown").alias("s_unknown")), "subject_id", "left")
+    tests = {
+        **{d: is_("density_category", d) for d in ("solid", "ground_glass", "part_solid", "calcified")},
+        "multiple_nodules": F.col("nodule_count") > 1, "size_missing": any_(lambda n: n["size_mm"].isNull()), "smoking_unknown": F.coalesce("s_unknown", F.lit(False)),
+        "recommendation_cue_present": any_(cue), "recommendation_cue_absent": any_(lambda n: ~cue(n)), "high_confidence": is_("confidence", "high"), "low_confidence": is_("confidence", "low"),
+        "change_present": any_(lambda n: F.coalesce(n["change_status"] != "unclear", F.lit(False))),
+    }
+    tags = F.array_sort(F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()])))
+    return rows.select("note_id", "subject_id", "nodule_count", tags.alias("tags"))
+
+
+def case_studies(tagged: DataFrame, size: int = 16, *, order: str = "note_id", seed: int = 42) -> DataFrame:
+    """The first unused note (by order) that shows each tag, then others in hash order up to size; with the tag that a note was chosen for.
+
+    Only the first notes of each tag, as many as there are tags, come to the driver: a tag's note is among them."""
+    schema = tagged.withColumn("chosen_for", F.lit("")).schema
+    spark, used, chosen = tagged.sparkSession, set(), []
+    firsts = {}
+    for tag in CASE_TAGS:
+        firsts[tag] = tagged.filter(F.array_contains("tags", tag)).orderBy(order).limit(len(CASE_TAGS))
+    for tag in CASE_TAGS:
+        for r in firsts[tag].collect():
+            if r["note_id"] not in used:
+                used.add(r["note_id"])
+                chosen.append((*r, tag))
+                break
+    rest = tagged.filter(~F.col("note_id").isin(*used)) if used else tagged
+    if len(chosen) < size:
+        chosen += [(*r, "fill") for r in rest.orderBy(draw(seed, F.col("note_id")), "note_id").limit(size - len(chosen)).collect()]
+    return spark.createDataFrame(chosen, schema)
+
+
+def gold_strata(rows: DataFrame, key: str, strata: list[tuple[str, Column, int]], *, seed: int = 42) -> DataFrame:
+    """rows with stratum: of each stratum in turn its number of rows in hash order, none twice, the last stratum filled up with any."""
+    spark, schema = rows.sparkSession, rows.withColumn("stratum", F.lit("")).schema
+    chosen: list = []
+    for name, test, n in strata:
+        pool = rows.join(F.broadcast(spark.createDataFrame(chosen, schema).select(key)), key, "left_anti") if chosen else rows
+        got = pool.filter(test).orderBy(draw(seed, F.col(key)), key).limit(n).withColumn("stratum", F.lit(name)).select(*schema.names).collect()
+        chosen += got
+    short = sum(n for *_, n in strata) - len(chosen)
+    if short > 0:
+        pool = rows.join(F.broadcast(spark.createDataFrame(chosen, schema).select(key)), key, "left_anti") if chosen else rows
+        chosen += pool.orderBy(draw(seed, F.col(key)), key).limit(short).withColumn("stratum", F.lit("fill")).select(*schema.names).collect()
+    return spark.createDataFrame(chosen, schema)
+
+
+def sampled(rows: DataFrame, key: str, size: int, *, seed: int = 42) -> DataFrame:
+    """size rows in hash order, by key."""
+    return rows.orderBy(draw(seed, F.col(key)), key).limit(size).orderBy(key)
+
+
+def manifest_hash(seed: int, name: str, size: int) -> str:
+    """Twelve hex digits that name a subset."""
+    return hashlib.sha256(f"{seed}-{name}-{size}-phase4_v1".encode()).hexdigest()[:12]
 
 
 def top_counts(rows: DataFrame, column: str, k: int) -> DataFrame:

@@ -178,17 +178,6 @@ def eligibility(spark, sf):
     return s.select("note_id", smoking.eligibility(F.col("st"), F.col("py"), F.col("qy"))["value"].alias("eligibility"))
 
 
-@query()
-def smoking_facts(spark, sf):
-    f = smoking.smoking_facts(discharge(spark, sf))
-    return f.withColumn("missing_flags", F.array_join("missing_flags", "|"))
-
-
-@query()
-def smoking_quality(spark, sf):
-    return metrics.smoking_quality(smoking.smoking_facts(discharge(spark, sf)))
-
-
 # rules, graph, bundles
 
 
@@ -228,12 +217,6 @@ def graph_recommendation(spark, sf):
     return graph.execute(_case_rows(spark, sf), _cases(spark, sf)).select("case_id", "abstention_reason", "lung_rads_category", "abstained")
 
 
-@query()
-def graph_trace(spark, sf):
-    g = graph.execute(_case_rows(spark, sf), _cases(spark, sf))
-    return g.select("case_id", "terminal_node", *[F.array_join(c, ">").alias(c) for c in ("visited_nodes", "matched_edges", "failed_edges", "triggered_rules", "missing_information")], "evidence_quality")
-
-
 @query(f"""WITH {_GRAPH}, top AS (SELECT * FROM (SELECT *, {_TOP} FROM severe) x WHERE r = 1), both_r AS (SELECT g.*, t.category AS flat FROM gres g LEFT JOIN top t ON t.subject_id = g.case_id)
  SELECT count(*) AS cases, count(*) FILTER (WHERE abstention_reason IS NULL) AS actionable, count(*) FILTER (WHERE lung_rads_category IS NOT DISTINCT FROM flat) AS same, count(*) FILTER (WHERE abstention_reason IS NULL AND lung_rads_category = flat) AS same_actionable FROM both_r""")
 def graph_vs_flat(spark, sf):
@@ -256,21 +239,6 @@ def _bundles(spark, sf):
     return bundles.assemble(f, smoke, who)
 
 
-@query()
-def bundle_summary(spark, sf):
-    b = _bundles(spark, sf)
-    return b.select("case_id", "label_quality", "demographics.sex", F.size("radiology_facts").cast("long").alias("notes"), F.size("provenance.radiology_note_ids").cast("long").alias("note_ids"), F.array_join("demographics.missing_flags", "|").alias("missing"), "recommendation_target.ground_truth_source")
-
-
-@query()
-def bundle_validation(spark, sf):
-    b = _bundles(spark, sf)
-    n = bundles.case_nodules(b)
-    cases = b.select("case_id", F.col("smoking_eligibility.eligible_for_high_risk_screening").alias("smoking_eligible"))
-    v = validation.validate(bundles.downgraded(b, rules.recommend(n, cases)), validation.bundle_rules())
-    return v.groupBy("label_quality", "valid").agg(F.count("*").alias("n"))
-
-
 @query(f"""WITH {S.NOTES_CTE} SELECT count(*) AS rows, count(*) FILTER (WHERE NOT regexp_matches(note_id, '^\\d+-RR-\\d+$')) AS bad_ids, count(*) FILTER (WHERE exam LIKE 'MR%') AS not_ct FROM notes""")
 def fact_validation(spark, sf):
     n = notes(spark, sf).withColumn("modality", T.modality(F.col("exam")))
@@ -279,16 +247,6 @@ def fact_validation(spark, sf):
     return checked.agg(F.count("*").alias("rows"), of("note_id").alias("bad_ids"), of("modality").alias("not_ct"))
 
 
-@query()
-def radiology_quality(spark, sf):
-    return metrics.radiology_quality(_facts(spark, sf))
-
-
-@query()
-def recommendation_quality(spark, sf):
-    return metrics.recommendation_quality(rules.recommend(_case_rows(spark, sf), _cases(spark, sf)))
-
-
 # weak supervision
 
 
@@ -575,12 +533,6 @@ def oversample(spark, sf):
     return sampling.oversampled(_customers(spark, sf), "bal", "k", 20).select("k", "bal")
 
 
-@query()
-def greedy_pilot(spark, sf):
-    c = _customers(spark, sf)
-    return sampling.greedy_strata(c, "k", [("rich", F.col("bal") > 5000, [F.desc("bal")]), ("building", F.col("seg") == "BUILDING", [F.asc("bal")]), ("poor", F.col("bal") < 0, [F.asc("bal")])], 5, 20).select("k", "stratum")
-
-
 @query("SELECT p_brand, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_brand LIMIT 10")
 def top_counts(spark, sf):
     return sampling.top_counts(_table(spark, sf, "part"), "p_brand", 10)

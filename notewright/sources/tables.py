@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +53,45 @@ def read_rows(spark: SparkSession, path: str, schema: str | T.StructType) -> Dat
     return text.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def read_discharge(spark: SparkSession, path: str, *, rows: int | None = None, partitions: int | None = None) -> DataFrame:
+    """Discharge notes, whose text is in a column text or note_text; others are strings."""
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    name = "text" if "text" in df.columns else "note_text"
+    df = df.withColumn("subject_id", F.col("subject_id").try_cast("long")).withColumnRenamed(name, "text")
+    df = df.limit(rows) if rows is not None else df
+    return df.repartition(partitions) if partitions else df
+
+
+def read_document(spark: SparkSession, path: str) -> dict:
+    """One JSON document (a manifest, a graph), wherever Spark can read it."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def read_results(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
+    """variant, value: the JSON documents of a folder, a row each, by their names without prefix and suffix."""
+    docs = spark.read.text(path, wholetext=True)
+    return with_file_key(docs, rf"^{re.escape(prefix)}(.*)\.json$", ["variant"]).filter("variant is not null").select("variant", "value")
+
+
+def required_rows(df: DataFrame, fields: list[str], **lineage: str) -> DataFrame:
+    """df with columns of lineage. No rows at all are an error at once, a blank field is one when it is read."""
+    if df.isEmpty():
+        raise ValueError("no rows")
+    ok = F.lit(True)
+    for f in fields:
+        blank = F.trim(F.coalesce(F.col(f).cast("string"), F.lit(""))) == ""
+        ok = ok & F.when(blank, F.raise_error(F.lit(f"blank {f}")).cast("boolean")).otherwise(True)
+    return df.filter(ok).withColumns({k: F.lit(v) for k, v in lineage.items()})
+
+
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], *, force: bool = False) -> DataFrame:
+    """What build makes, written to path the first time and read from there."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if force or not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def unique_by(df: DataFrame, key: str) -> DataFrame:
     """df, which fails when it is read if a key is empty or repeated."""
     n = df.groupBy(key).agg(F.count("*").alias("u_n"))
@@ -91,6 +133,27 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_document(spark: SparkSession, payload: dict, path: str) -> None:
+    """One JSON document, indented, to wherever Spark can write."""
+    spark.createDataFrame([(json.dumps(payload, ensure_ascii=False, indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_csv_union(parts: list[DataFrame], path: str) -> None:
+    """CSV of several tables, with the columns of all in the order in which they are first seen."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    write_csv(out, path)
+
+
+def write_probabilities(df: DataFrame, path: str, *, split: str, source_path: str, truncated: bool = False) -> dict:
+    """sample_id, probability, label of every row as JSON lines; returns the entry of a manifest."""
+    out = df.select("sample_id", F.col("probability").cast("double").alias("probability"), "label", F.lit(split).alias("split"))
+    write_jsonl(out, path)
+    n = df.sparkSession.read.text(path).count()
+    return {"split": split, "path": path, "source_path": source_path, "rows": n, "truncated": truncated}
+
+
 def write_gates(df: DataFrame, path: str) -> None:
     """A row to every gate that it passed, and by split: partitions gate/split."""
     df.withColumn("gate", F.explode("passed_gates")).write.mode("overwrite").partitionBy("gate", "split").parquet(path)

@@ -11,7 +11,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from notewright.plans.queries import QUERIES, SQL
+from notewright.plans.catalog import QUERIES, SQL
 from notewright.sources import tables
 
 SF = "/root/testdata/sf0.001"
