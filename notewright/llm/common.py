@@ -63,3 +63,18 @@ def text_bytes(docs: DataFrame, text_col: str) -> int:
 def block_of(key: Column, text: Column, blocks: int) -> Column:
     """An even block number for a document; a repeated key spreads by its text length."""
     return F.pmod(F.xxhash64(key, F.length(text)), F.lit(blocks)).cast("int")
+
+
+def hot_keys(counts: DataFrame, key: str, n: str, rows: int, share: int = 256) -> list:
+    """Keys that hold one in share of all rows, of which there are at most share: they are worth splitting over tasks."""
+    return [r[0] for r in counts.filter(F.col(n) > max(rows // share, 100)).select(key).limit(share).collect()]
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: list, spread: Column, salts: int = 64) -> DataFrame:
+    """Inner join on key, in which right has few rows a key: left's rows of a hot key are dealt to salts tasks by spread, right's are sent to each."""
+    if not hot:
+        return left.join(right, key)
+    is_hot = F.coalesce(F.col(key).isin(*hot), F.lit(False))
+    a = left.withColumn("nw_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
+    b = right.withColumn("nw_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return a.join(b, [key, "nw_salt"]).drop("nw_salt")
