@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import hot_keys, materialise, salted_join
 from .textkit import _U, mix, parts, raw_texts, sequence_hash, shingle_sets, signed
 
 #: Bins of a sketch; the greatest probability that a pair at the threshold shares no band.
@@ -191,8 +191,10 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     classes = signed_docs.filter("node is not null").groupBy("node").agg(F.min(row).alias("row"), F.first("bands").alias("bands"))
     classes = materialise(classes.select("node", F.col("row.doc_id").alias("least"), F.col("row.text_hash").alias("least_hash"), "bands"), "classes")
     member = classes.select("node", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("size")).filter("size > 1").select("bucket", "lead")
-    member = materialise(member.join(shared, "bucket"), "buckets")
+    shared = materialise(member.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("size")).filter("size > 1"), "shared")
+    # a bucket that very many share goes to many tasks
+    hot = hot_keys(shared, "bucket", "size", classes.count() * (bins // band_rows(percent, bins)))
+    member = materialise(salted_join(member, shared.select("bucket", "lead"), "bucket", hot, F.col("node")), "buckets")
 
     near = member.select("node").distinct().join(classes.select("node", F.col("least").alias("near_id"), "least_hash"), "node")
     texts = docs.join(near, F.col("doc_id").eqNullSafe(F.col("near_id")) & (F.col("text_hash") == F.col("least_hash")))
@@ -206,7 +208,7 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     # buckets that still join several components: search them in full, in blocks
     named = member.select("bucket", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-    spread = named.join(open_, "bucket")
+    spread = salted_join(named, open_, "bucket", hot, F.col("node"))
     # blocks by hash, of one label where it has so many members, else of whole labels
     of_label = spread.groupBy("bucket", "label").agg(F.count("*").alias("size"))
     few = of_label.filter(F.col("size") < BLOCK).groupBy("bucket").agg(F.ceil(F.sum("size") / F.lit(BLOCK)).alias("few"))
