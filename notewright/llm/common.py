@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = getattr(shared_dir, "own", None)
     if own is None:
         own = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="notewright-")
@@ -50,6 +52,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def refuse(df: DataFrame, *names: str) -> None:
+    """Columns that an operator adds may not be there already, nor any that begins with nw_."""
+    if taken := [c for c in df.columns if c.lower() in names or c.lower().startswith("nw_")]:
+        raise ValueError(f"columns {taken} are taken")
+
+
 def crc_remainder(col: Column, mod: int) -> Column:
     """crc32 of the value written as text, modulo mod (null: null)."""
     return F.crc32(col.cast("string").cast("binary")) % mod

@@ -16,7 +16,7 @@ pass of its own.
 Edge cases. Null or wordless texts hold nothing; null or wordless items match nothing.
 A text shorter than an item is compared whole. An item of fewer words than a
 shingle is one shingle. Equal items are all reported. Rows that repeat a doc_id with
-another text are told apart by the text's hash. Other columns pass through; names that begin with nw_ are taken.
+another text are told apart by the text's hash. Other columns pass through; names that begin with nw_ are refused.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import refuse
 from .textkit import _U, Words, gathered, raw_texts, windows
 from .textkit import parts as in_parts
 
@@ -177,6 +178,7 @@ def _found(items, least: float, text_at: int):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """docs with nw_matches: items they hold, the similarity and the words of the best window."""
+    refuse(docs)
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0

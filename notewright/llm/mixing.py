@@ -13,7 +13,7 @@ source, are broadcast if there are at most BROADCAST sources, else joined.
 Edge cases. A null source is a source of its own. Sources without a weight, or of
 weight 0 or null, are left out; if no weight is above 0 the result is empty. Weights need not sum to one. A null id
 is hashed as the empty string. Rows that repeat an id get equal counts. Other columns
-pass through; names that begin with nw_ are taken, as are copy and shuffle_key.
+pass through; copy, shuffle_key and names that begin with nw_ are refused.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import refuse
+
 BROADCAST = 20_000
 
 
@@ -45,6 +47,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, *, power: flo
 
     weights: source, weight. Without them a source weighs as its number of documents to
     the power given."""
+    refuse(docs, "copy", "shuffle_key")
     sizes = docs.groupBy(F.col(source_col).alias("nw_source")).agg(F.count("*").cast("double").alias("nw_n"))
     if weights is None:
         target = sizes.withColumn("nw_w", F.pow("nw_n", F.lit(power)))

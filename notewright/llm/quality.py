@@ -13,7 +13,8 @@ texts of all rows.
 Edge cases. Null text: empty; empty texts have statistics of 0 and a score. Without
 labelled rows the score is 0.5, with one class only that class's share (bounded away
 from 0 and 1). A null label is no label; of repeated labels the least counts. Statistics
-use the text alone.
+use the text alone. Rows that repeat an id are scored each for itself; other columns pass through, names that
+begin with nw_ are refused.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import refuse
+
 #: Labelled rows used to fit; trees and their depth; lasso weight; quantiles tried as thresholds.
 SAMPLE, TREES, DEPTH, LASSO, CUTS = 20_000, 40, 3, 2e-3, 48
 THRESHOLD = 0.3
@@ -200,6 +203,7 @@ def quality_scores(docs: DataFrame, model: RuleEnsemble, *, id_col: str = "doc_i
     """docs with nw_score and nw_predicted; one projection.
 
     The statistics are the one element of an array that the rules run over, so that each is computed once a row."""
+    refuse(docs)
     stats = F.struct(*[c.alias(k) for k, c in statistics(F.col(text_col)).items()])
     scored = docs.withColumn("nw_score", F.transform(F.array(stats), model.score_column)[0])
     return scored.withColumn("nw_predicted", F.when(F.col("nw_score") >= threshold, 1).otherwise(0))

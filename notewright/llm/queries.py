@@ -1,4 +1,8 @@
-"""The corpus queries with production parameters, and their SQL where SQL can say the same."""
+"""The corpus queries with production parameters, and their SQL where SQL can say the same.
+
+Each reads its whole table and gives its operator's edge cases as they are stated there: null and empty texts have a
+row, rows that repeat a doc_id are rows of their own, other columns are not looked at, an empty table gives none.
+"""
 
 from __future__ import annotations
 
