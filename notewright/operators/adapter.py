@@ -15,6 +15,7 @@ SURELY_PULMONARY = r"\b(lung|pulmonary|lobe|lingula|pleural|ground[- ]glass)\b"
 #: What a candidate may have.
 DENSITIES = ("solid", "part_solid", "ground_glass", "calcified", "fat_containing")
 LOBES = ("RUL", "RML", "RLL", "LUL", "LLL", "lingula", "bilateral")
+SEVERITY = {"fat_containing": 0, "calcified": 0, "ground_glass": 1, "solid": 2, "part_solid": 3}
 DENSITY_ALIASES = {"partsolid": "part_solid", "groundglass": "ground_glass", "ggo": "ground_glass", "fat": "fat_containing"}
 
 
@@ -169,7 +170,9 @@ def nearest_density(rows: DataFrame) -> DataFrame:
 
 def simulate_strategies(rows: DataFrame) -> DataFrame:
     """strategy, case_id, size_mm, density under same mention, same note, same case, nearest: what each would put together."""
-    best = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(F.coalesce("confidence", F.lit(0.0)), -F.col("ordinal"))))
+    # the surest density, the graver of equals
+    grave = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv]), F.col("density")), F.lit(-1))
+    best = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(F.coalesce("confidence", F.lit(0.0)), grave, -F.col("ordinal"))))
     mention = rows.filter("size_mm is not null and density is not null").groupBy("case_id").agg(F.max_by(F.struct("size_mm", "density"), F.struct("size_mm", -F.col("ordinal"))).alias("x")).select(F.lit("same_mention").alias("strategy"), "case_id", "x.*")
     note = rows.groupBy("case_id", "note_id").agg(F.max("size_mm").alias("size_mm"), best("density").alias("density")).filter("size_mm is not null and density is not null")
     note = note.groupBy("case_id").agg(F.max_by(F.struct("size_mm", "density"), F.struct("size_mm", "note_id")).alias("x")).select(F.lit("same_note").alias("strategy"), "case_id", "x.*")

@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import cues
+from ..functions import patterns as P
 from ..functions import text as T
-from ..operators import adapter, bundles, graph, quality, reports, rules, sampling, schema, smoking, validation, variants
+from ..operators import adapter, bundles, graph, quality, records, reports, rules, sampling, schema, smoking, validation, variants, weak
 from . import sqltext as S
 from .notes import discharge, notes
-from .queries import _CAND, _CUST, _DRAW, _EVAL, _GRAPH, _TOP, _bundles, _candidates, _case_rows, _cases, _customers, _evals, _facts, _table, query
+from .queries import SQL, _CAND, _CUST, _DRAW, _EVAL, _GRAPH, _TOP, _bundles, _candidates, _case_rows, _cases, _customers, _evals, _facts, _labelled, _table, query
 
 # what each kind of discharge note says
 SMOKE = """kind AS (SELECT o_custkey AS subject_id, concat(o_custkey, '-DS-', o_orderkey) AS note_id, o_orderkey AS ordinal, o_custkey AS c, CASE WHEN o_orderkey % 12 = 11 THEN -1 WHEN o_orderkey % 10 = 0 AND o_orderkey % 4 = 0 THEN 10 ELSE o_orderkey % 10 END AS k FROM orders),
@@ -570,3 +571,86 @@ def gold_inclusion(spark, sf):
     g = _table(spark, sf, "orders").select(k.alias("k"), F.when(k % 3 == 0, "Yes ").when(k % 3 == 1, "no").alias("gold_is_pulmonary_target"), F.when(k % 2 == 0, "0").otherwise("1").alias("needs_review"))
     there = _table(spark, sf, "lineitem").filter("l_quantity > 30").select(F.col("l_orderkey").alias("k"))
     return reports.found_and_missing(reports.pulmonary_gold(g), there, "k").select("k", "included", "found")
+
+
+# weak labels from functions to gates, records
+
+
+def _weak_sql(task: str, confidence: dict[str, float], abstain: str = "-") -> str:
+    w = P.LF_WEIGHTS[task]
+    names = list(confidence)
+    score = "[" + ", ".join(f"{confidence[n] * w.get(n, 1.0)}::DOUBLE" for n in names) + "]"
+    return f"""lf AS ({SQL[f'lf_{task}']}), vo AS (SELECT sample_id, i, nullif(string_split(labels, '|')[i], '{abstain}') AS label, {score}[i] AS score FROM lf, unnest(range(1, {len(names) + 1})) t(i)),
+ va AS (SELECT sample_id, label, sum(score) AS score, min(i) AS first, count(*) AS n FROM vo WHERE label IS NOT NULL GROUP BY ALL),
+ vb AS (SELECT *, sum(score) OVER (PARTITION BY sample_id) AS total, sum(n) OVER (PARTITION BY sample_id) AS cov, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, first) AS r FROM va),
+ vw AS (SELECT l.sample_id, coalesce(label, '{P.ABSTAIN}') AS label, coalesce(score / total, 0) AS conf, coalesce(cov, 0)::BIGINT AS cov, coalesce(n / cov, 0) AS agr FROM (SELECT sample_id FROM lf) l LEFT JOIN (SELECT * FROM vb WHERE r = 1) x USING (sample_id))"""
+
+
+_PASSED = "concat_ws('|', " + ", ".join(f"CASE WHEN label <> '{P.ABSTAIN}' AND conf >= {c} AND cov >= {n} AND agr >= {a} THEN '{g}' END" for g, c, n, a in P.GATES) + ")"
+_DENSITY_SURE = {"LF-D1": 1.0, "LF-D2": 0.75, "LF-D3": 0.85, "LF-D4": 0.9, "LF-D5": 0.85}
+_SIZE_SURE = {"LF-S1": 1.0, "LF-S2": 0.9, "LF-S3": 0.8, "LF-S4": 0.7, "LF-S5": 0.9}
+
+
+def _voted(spark, sf, task):
+    return records.training_records(weak.aggregate_votes(_labelled(spark, sf, task), task), task)
+
+
+@query(f"WITH {_weak_sql('density', _DENSITY_SURE)} SELECT sample_id, label AS density_label, round(conf, 4) AS confidence, cov AS coverage, {_PASSED} AS passed, coalesce(nullif(string_split({_PASSED}, '|')[-1], ''), 'REJECTED') AS gate_level FROM vw")
+def weak_density_labels(spark, sf):
+    v = _voted(spark, sf, "density")
+    return v.select("sample_id", "density_label", F.col("ws_confidence").alias("confidence"), F.col("lf_coverage").cast("long").alias("coverage"), F.array_join("passed_gates", "|").alias("passed"), "gate_level")
+
+
+@query(f"WITH {_weak_sql('size', _SIZE_SURE)} SELECT sample_id, label = 'true' AS has_size, round(conf, 4) AS confidence, {_PASSED} AS passed FROM vw")
+def weak_size_labels(spark, sf):
+    return _voted(spark, sf, "size").select("sample_id", "has_size", F.col("ws_confidence").alias("confidence"), F.array_join("passed_gates", "|").alias("passed"))
+
+
+@query("""SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN 'RUL' WHEN 1 THEN 'no_location' ELSE 'unclear' END AS plain, CASE o_orderkey % 5 WHEN 0 THEN 'RUL' WHEN 1 THEN 'no_location' WHEN 2 THEN 'lingula' WHEN 3 THEN 'no_location' ELSE 'unclear' END AS spelled,
+ CASE o_orderkey % 3 WHEN 0 THEN 'solid' ELSE 'unclear' END AS density, CASE o_orderkey % 4 WHEN 0 THEN 'explicit' WHEN 1 THEN 'silver' WHEN 2 THEN 'weak' ELSE 'silver' END AS quality, CASE o_orderkey % 2 WHEN 0 THEN 'abstain:x' ELSE 'category:None' END AS label_key FROM orders""")
+def label_normalisation(spark, sf):
+    k = F.col("o_orderkey")
+    place = F.when(k % 5 == 0, "RUL").when(k % 5 == 2, " Lingula ").when(k % 5 == 3, "").when(k % 5 == 4, "apex")
+    d = F.when(k % 3 == 0, "solid").when(k % 3 == 1, "subsolid")
+    said = lambda *rest: F.when((k % 4).isin(*rest), "t")
+    q = records.mention_quality(F.when(k % 4 == 1, "unclear").otherwise("solid"), said(0, 1), F.when(k % 4 == 0, 1.0), said(0, 3), F.when(k % 4 == 0, "RUL"), said(0))
+    return _table(spark, sf, "orders").select(
+        k.alias("k"), records.location_label(place).alias("plain"), records.location_label(place, spelled=True).alias("spelled"), records.density_label(d).alias("density"), q.alias("quality"),
+        records.label_key(F.when(k % 2 == 0, "x").otherwise(""), F.lit("")).alias("label_key"),
+    )
+
+
+@query(f"""WITH {_GRAPH}, fl AS (SELECT * FROM (SELECT subject_id, density_category, size_mm AS fs, category AS fc, {_TOP} FROM severe) x WHERE r = 1), j AS (SELECT g.*, fs, fc, coalesce(density_category IS NULL OR density_category = 'unclear', false) AS vague FROM gres g LEFT JOIN fl ON subject_id = case_id)
+ SELECT CASE WHEN abstention_reason = 'missing_nodule_density' AND fs IS NOT NULL THEN 'case_bundle_density_missing_or_unclear__cdsg_abstains__flat_solid_fallback' WHEN abstention_reason = 'missing_nodule_size' AND fs IS NOT NULL THEN 'case_bundle_size_missing__cdsg_abstains' WHEN abstention_reason IS NOT NULL THEN 'both_insufficient_but_abstention_metadata_differs'
+ WHEN fc IS DISTINCT FROM lung_rads_category AND vague THEN 'dominant_selection_delta_from_flat_density_fallback' WHEN fc IS DISTINCT FROM lung_rads_category THEN 'category_delta_from_graph_or_modifier' ELSE 'same_category' END AS mismatch, count(*) AS n FROM j GROUP BY 1""")
+def mismatch_classes(spark, sf):
+    rows, cases = _case_rows(spark, sf), _cases(spark, sf)
+    side = lambda df, name: df.select("case_id", F.struct(*[c for c in df.columns if c != "case_id"]).alias(name))
+    j = side(rules.recommend(rows, cases), "flat").join(side(graph.execute(rows, cases), "graph"), "case_id")
+    m = records.mismatch("flat", "graph")
+    kind = F.when(m.isin("terminal_template_delta", "missing_info_policy_delta", "metadata_or_schema_delta"), "same_category").otherwise(m)
+    return j.groupBy(kind.alias("mismatch")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_GRAPH}, t AS (SELECT count(*) AS n, count(*) FILTER (WHERE abstention_reason IS NULL) AS a FROM gres) SELECT 'total_cases' AS metric, n, n AS denominator, 1.0::DOUBLE AS rate FROM t UNION ALL SELECT 'actionable_count', a, n, round(a / n, 9) FROM t UNION ALL SELECT 'abstention_count', n - a, n, round((n - a) / n, 9) FROM t
+ UNION ALL SELECT 'visited_nodes_nonempty_count', n, n, 1.0 FROM t UNION ALL SELECT 'actionable_visited_nodes_nonempty_count', a, a, 1.0 FROM t""")
+def coverage_table(spark, sf):
+    return _rounded(records.coverage_table(graph.execute(_case_rows(spark, sf), _cases(spark, sf)), ["visited_nodes"]))
+
+
+@query(f"""WITH {_EVAL}, x AS (SELECT e.*, CASE WHEN id % 7 < 4 THEN 'E' || id % 7 ELSE '' END AS exam FROM e), c AS (SELECT exam, count(*) AS n FROM x GROUP BY 1 ORDER BY n DESC, exam LIMIT 3), b AS (SELECT x.*, coalesce(c.exam, 'OTHER') AS bucket FROM x LEFT JOIN c USING (exam)),
+ f AS (SELECT bucket, l, 2.0 * count(*) FILTER (WHERE truth = l AND pred = l) / nullif(count(*) FILTER (WHERE truth = l) + count(*) FILTER (WHERE pred = l), 0) AS f1 FROM b, (VALUES ('A'), ('N'), ('R')) v(l) GROUP BY ALL)
+ SELECT bucket, any_value(n) AS n, any_value(acc) AS accuracy, round(avg(coalesce(f1, 0)), 9) AS macro_f1 FROM f JOIN (SELECT bucket, count(*) AS n, round(avg((truth = pred)::INT), 9) AS acc FROM b GROUP BY 1) g USING (bucket) GROUP BY 1""")
+def exam_group_evaluation(spark, sf):
+    i = F.col("id") % 7
+    e = _evals(spark, sf).withColumn("exam", F.when(i < 4, F.concat(F.lit("E"), i)).otherwise(F.lit("")))
+    return _rounded(records.exam_groups(e, "exam", "truth", "pred", ["A", "N", "R"], 3))
+
+
+@query(f"""WITH {S.MENTIONS}, u AS (SELECT note_id, 1 AS s, k, mention FROM mf UNION ALL SELECT note_id, 2, k, mention FROM mi), g AS (SELECT u.note_id, s, u.k, mention, concat_ws(chr(10) || chr(10), 'FINDINGS: ' || x.findings, 'IMPRESSION: ' || x.impression) AS ft FROM u JOIN sections x USING (note_id)),
+ p AS (SELECT *, position(lower(mention) IN lower(ft)) AS pz FROM g) SELECT concat(note_id, '__', row_number() OVER (PARTITION BY note_id ORDER BY s, k)) AS sample_id, trim(substring(ft, greatest(pz - 30, 1)::INT, (pz + length(mention) + 30 - greatest(pz - 30, 1))::INT), ' ' || chr(10)) AS text_window, coalesce({S.location('mention')}, 'no_location') AS silver_location_lobe FROM p""")
+def gold_records(spark, sf):
+    from ..operators import radiology
+
+    m = radiology.numbered_mentions(notes(spark, sf).withColumnRenamed("exam", "exam_name"))
+    return records.gold_records(m, 30).select("sample_id", "text_window", "silver_location_lobe")
