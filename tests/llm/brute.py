@@ -171,3 +171,85 @@ def contaminated(docs, items, k=5, least=0.8):
                 if both and both / union >= least:
                     out[d, i] = max(out.get((d, i), 0), both / union)
     return out
+
+
+def live_tokens(rows, base, max_owners, max_repos, entropy_least=3.5):
+    """rows: (id, text, owner). Per row: spans beyond the base that are live, and all candidates with their verdict."""
+
+    def entropy(s):
+        return -sum(c / len(s) * math.log2(c / len(s)) for c in collections.Counter(s).values())
+
+    found = []
+    for i, t, owner in rows:
+        t, mine = t or "", []
+        spans = base(t)
+        for k, a, b in spans:
+            m = re.search(r"[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)$", t[a:b]) if k == "assign" else None
+            mine.append((k, a, b, m[1] if m else t[a:b]))
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", t):
+            v = m[0]
+            if re.search("[0-9]", v) and re.search("[A-Za-z]", v) and entropy(v) >= entropy_least and not any(a < m.end() and m.start() < b for _, a, b in spans):
+                mine.append(("live", m.start(), m.end(), v))
+        found.append((i, owner, mine))
+    owners, repos = collections.defaultdict(set), collections.defaultdict(set)
+    for i, owner, mine in found:
+        for *_, v in mine:
+            if owner is not None:
+                owners[v].add(owner)
+            repos[v].add(i)
+    live = lambda v: len(owners[v]) <= max_owners and len(repos[v]) <= max_repos
+    rank = {"assign": 0, "access": 1, "hex": 2, "live": 3}
+    out = {}
+    for i, _, mine in found:
+        mine = sorted(mine, key=lambda x: (x[1], rank[x[0]]))
+        out[i] = (
+            ",".join(f"{k}:{a}:{b}" for k, a, b, v in mine if k != "live" or live(v)),
+            ",".join(f"{k}:{a}:{b}:{'live' if live(v) else 'example'}" for k, a, b, v in mine),
+        )
+    return out
+
+
+def disclosing(rows, base, support, generalise, remove, shingle=5, percent=80):
+    """rows: (id, text), texts distinct. id -> spans (kind, start, end) of terms that reveal a value that base finds in the text."""
+    normal = {"email": str.lower, "ip": str, "card": lambda v: re.sub("[ -]", "", v), "phone": lambda v: re.sub("[^0-9]", "", v)}
+    held, terms, df = {}, {}, collections.Counter()
+    for i, t in rows:
+        t = t or ""
+        spans = base(t)
+        held[i] = {normal[k](t[a:b]) for k, a, b in spans}
+        ws = [(m.start(), m.end(), lower(m[0])) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        df.update({w for *_, w in ws})
+        terms[i] = [(a, b, w) for a, b, w in ws if not any(x < b and a < y for _, x, y in spans)]
+    group = {i: c for (i, _), (_, _, c) in zip(rows, groups(rows, shingle, percent), strict=True)}
+    of = collections.defaultdict(list)
+    for i, es in held.items():
+        for e in es:
+            of[e].append(i)
+    n, out = len(rows), collections.defaultdict(dict)
+    for e, ids in of.items():
+        if len({group[i] for i in ids}) < support or len(ids) >= n:
+            continue
+        both, proof = collections.Counter(), collections.defaultdict(set)
+        for i in ids:
+            for w in {w for *_, w in terms[i]}:
+                both[w] += 1
+                proof[w].add(group[i])
+        for w, k in both.items():
+            ratio = 1 - math.log2(k / df[w]) / math.log2(len(ids) / n)
+            if len(proof[w]) >= support and ratio >= generalise:
+                kind = "remove" if ratio >= remove else "general"
+                for i in ids:
+                    out[i][w] = max(out[i].get(w, ""), kind)
+    return {i: sorted((out[i][w], a, b) for a, b, w in terms[i] if w in out[i]) for i, _ in rows}
+
+
+def text_statistics(t):
+    """The statistics of the quality classifier."""
+    t = t or ""
+    raw, ws = t.encode(), words(t)
+    share = lambda a, b: a / b if b else 0.0
+    marks = {"pipe": "|", "bang": "!", "hash": "#", "dollar": "$", "percent": "%", "and": "&", "star": "*", "stop": ".", "comma": ",", "at": "@", "less": "<", "brace": "{", "slash": "/", "under": "_", "line": "\n"}
+    return {k: share(t.count(c), len(raw)) for k, c in marks.items()} | {
+        "words": math.log1p(len(ws)), "word_size": share(len(raw), len(ws)), "distinct": share(len(set(ws)), len(ws)), "upper": share(sum("A" <= c <= "Z" for c in t), len(raw)),
+        "digit": share(sum("0" <= c <= "9" for c in t), len(raw)), "beyond_ascii": share(len(raw) - len(t), len(raw)),
+    }
