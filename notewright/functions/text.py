@@ -5,6 +5,8 @@ A text argument is a Column. Builders that give a value and its evidence return
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,14 +48,23 @@ def nonempty(text: Column) -> Column:
     return F.nullif(strip(text), F.lit(""))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used: a lambda's variable is not inlined."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def first_case(cases: list[tuple[Column, Column, Column]], kind: str = "string", otherwise: Column | None = None) -> Column:
+    """(value, span) of the first case (hit, value, span) that holds; one CASE, so that each test runs once."""
+    pair = lambda v, s: F.struct(v.cast(kind).alias("value"), s.cast("string").alias("span"))
+    out = F
+    for hit, value, span in cases:
+        out = out.when(hit, pair(value, span))
+    return out.otherwise(pair(F.lit(None) if otherwise is None else otherwise, F.lit(None)))
+
+
 def first_of(text: Column, rules) -> Column:
     """(value, span) of the first (pattern, value) rule that matches."""
-    value = span = None
-    for pattern, label in rules:
-        hit = has(text, pattern)
-        value = F.when(hit, F.lit(label)) if value is None else value.when(hit, F.lit(label))
-        span = F.when(hit, found(text, pattern)) if span is None else span.when(hit, found(text, pattern))
-    return F.struct(value.alias("value"), span.alias("span"))
+    return first_case([(has(text, pattern), F.lit(label), found(text, pattern)) for pattern, label in rules])
 
 
 def sections(text: Column) -> Column:
@@ -65,11 +76,14 @@ def sections(text: Column) -> Column:
         F.regexp_replace(F.lower(F.substring_index(p, _END, 1)), r"\(s\)", "").alias("key"),
         nonempty(F.substring_index(p, _END, -1)).alias("body"),
     )
-    entries = F.transform(parts, entry)
-    last = lambda key: F.try_element_at(F.filter(entries, lambda e: e["key"] == key), F.lit(-1))["body"]
-    fields = {s: last(s) for s in P.SECTIONS}
-    fields["impression"] = F.coalesce(fields["impression"], last("recommendation"))
-    return F.struct(*[c.alias(k) for k, c in fields.items()])
+    last = lambda es, key: F.try_element_at(F.filter(es, lambda e: e["key"] == key), F.lit(-1))["body"]
+
+    def fields(es: Column) -> Column:
+        out = {k: last(es, k) for k in P.SECTIONS}
+        out["impression"] = F.coalesce(out["impression"], last(es, "recommendation"))
+        return F.struct(*[c.alias(k) for k, c in out.items()])
+
+    return bound(F.transform(parts, entry), fields)
 
 
 def sentences(text: Column) -> Column:
@@ -81,33 +95,32 @@ def sentences(text: Column) -> Column:
 def mentions(text: Column) -> Column:
     """Sentences that begin with a nodule word, each with those that go on about it."""
     kind = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
+    judged = F.transform(sentences(text), lambda s: F.struct(s.alias("s"), has(s, P.MENTION_START).alias("starts"), has(s, P.MENTION_GOES_ON).alias("goes_on")))
 
-    def step(acc: Column, s: Column) -> Column:
-        starts, goes_on = has(s, P.MENTION_START), has(s, P.MENTION_GOES_ON)
+    def step(acc: Column, x: Column) -> Column:
         closed = F.when(acc["open"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"]))
-        stays = ~starts & goes_on & acc["open"].isNotNull()
+        stays = ~x["starts"] & x["goes_on"] & acc["open"].isNotNull()
         return F.struct(
             F.when(stays, acc["done"]).otherwise(closed).alias("done"),
-            F.when(starts, s).when(stays, F.concat_ws(" ", acc["open"], s)).alias("open"),
+            F.when(x["starts"], x["s"]).when(stays, F.concat_ws(" ", acc["open"], x["s"])).alias("open"),
         )
 
     end = lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"]))
-    return F.aggregate(sentences(text), kind, step, end)
+    # most notes speak of no nodule and are not cut
+    return F.when(has(text, P.MENTION_START), F.aggregate(judged, kind, step, end)).otherwise(F.array().cast("array<string>"))
 
 
 def size(text: Column, rules=P.SIZES) -> Column:
     """(value in mm, span)."""
-    value = span = None
+    cases = []
     for _, pattern, how, unit in rules:
         n, pattern = pattern.count(P.NUMBER), pattern.replace(r"\s", SPACE)
         numbers = [F.regexp_extract(text, ci(pattern), i + 1).try_cast("double") for i in range(n)]
         one = numbers[0] if n == 1 else (numbers[0] + numbers[1]) / 2.0 if how == "mean" else F.greatest(*numbers)
-        hit = has(text, pattern)
-        value = F.when(hit, one * unit) if value is None else value.when(hit, one * unit)
-        span = F.when(hit, found(text, pattern)) if span is None else span.when(hit, found(text, pattern))
+        cases.append((has(text, pattern), one * unit, found(text, pattern)))
     # most texts have no unit after a number and are not tried by every pattern
-    unit = has(text, rf"[0-9.]{SPACE}*-?{SPACE}*[cm]m\b")
-    return F.struct(F.when(unit, value).alias("value"), F.when(unit, span).alias("span"))
+    none = ~has(text, rf"[0-9.]{SPACE}*-?{SPACE}*[cm]m\b")
+    return first_case([(none, F.lit(None), F.lit(None)), *cases], "double")
 
 
 def density(text: Column) -> Column:
@@ -115,10 +128,7 @@ def density(text: Column) -> Column:
     calc = has(text, P.CALCIFIED) & ~has(text, P.NOT_CALCIFIED)
     solid = has(text, P.SOLID) & ~has(text, P.NOT_SOLID)
     cases = [(has(text, P.PART_SOLID), "part_solid", P.PART_SOLID), (has(text, P.GROUND_GLASS), "ground_glass", P.GROUND_GLASS), (calc, "calcified", P.CALCIFIED), (solid, "solid", P.SOLID)]
-    value = span = F
-    for hit, label, pattern in cases:
-        value, span = value.when(hit, F.lit(label)), span.when(hit, found(text, pattern))
-    return F.struct(value.when(F.length(text) > 0, F.lit("unclear")).alias("value"), span.alias("span"))
+    return first_case([(hit, F.lit(label), found(text, pattern)) for hit, label, pattern in cases], otherwise=F.when(F.length(text) > 0, "unclear"))
 
 
 def location(text: Column) -> Column:
@@ -137,7 +147,7 @@ def morphology(text: Column) -> Column:
 def cue(text: Column) -> Column:
     """Sentences with a recommendation cue, joined; null without one."""
     hits = F.filter(sentences(text), lambda s: has(s, P.CUE))
-    return F.when(F.size(hits) > 0, F.array_join(hits, " "))
+    return F.when(has(text, P.CUE), F.nullif(F.array_join(hits, " "), F.lit("")))
 
 
 def lung_rads(text: Column) -> Column:
@@ -229,11 +239,7 @@ def smoking_status(text: Column) -> Column:
     rules += [(has(text, p), "former_smoker", found(text, p)) for p in P.FORMER]
     rules += [(has(text, p) & ~has(text, P.NOT_CURRENT), "current_smoker", found(text, p)) for p in P.CURRENT]
     rules += [(has(text, P.TOBACCO_USE), "current_smoker", found(text, P.TOBACCO_USE)), (has(text, P.TOBACCO), "unknown", found(text, P.TOBACCO))]
-    none = deidentified(text)
-    value, span = F.when(none, F.lit("unknown")), F.when(none, F.lit(None).cast("string"))
-    for hit, label, s in rules:
-        value, span = value.when(hit, F.lit(label)), span.when(hit, s)
-    return F.struct(value.otherwise("unknown").alias("value"), span.alias("span"))
+    return first_case([(deidentified(text), F.lit("unknown"), F.lit(None)), *[(hit, F.lit(label), s) for hit, label, s in rules]], otherwise=F.lit("unknown"))
 
 
 def amount(text: Column) -> Column:
