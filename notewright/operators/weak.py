@@ -19,16 +19,19 @@ LFS: dict[str, dict[str, Callable[[], Column]]] = {"density": {}, "size": {}, "l
 
 
 def labelling_function(task: str, name: str, confidence: float):
-    """Registers a builder of (label, span[, confidence]) columns for a task."""
+    """Registers a builder of a struct (value, span[, sure]) for a task. The struct is computed once a row."""
 
     def keep(build):
         def column() -> Column:
-            got = build()
-            label, span = got[0], got[1]
-            sure = got[2] if len(got) > 2 else F.lit(confidence)
-            return F.struct(
-                F.lit(name).alias("lf_name"), label.cast("string").alias("label"), F.when(label.isNull(), F.lit(0.0)).otherwise(sure).cast("double").alias("confidence"), F.when(label.isNotNull(), span).alias("evidence_span")
-            )
+            pair, sure = build(), F.lit(confidence)
+            if isinstance(pair, tuple):
+                pair, sure = pair
+
+            def output(x: Column) -> Column:
+                silent = x["value"].isNull()
+                return F.struct(F.lit(name).alias("lf_name"), x["value"].cast("string").alias("label"), F.when(silent, F.lit(0.0)).otherwise(sure(x) if callable(sure) else sure).cast("double").alias("confidence"), F.when(~silent, x["span"]).alias("evidence_span"))
+
+            return T.bound(pair, output)
 
         LFS.setdefault(task, {})[name] = column
         return build
@@ -40,6 +43,15 @@ def _mention() -> Column:
     return F.coalesce(F.col("mention_text"), F.lit(""))
 
 
+def _pair(value: Column, span: Column) -> Column:
+    return F.struct(value.alias("value"), span.alias("span"))
+
+
+def _found(span: Column, label: str) -> Column:
+    """The label where there is a span."""
+    return T.bound(span, lambda s: _pair(F.when(s.isNotNull(), label), s))
+
+
 def _lone_solid(text: Column) -> Column:
     """The text with part-solid wordings taken out, so that solid is looked for in the rest."""
     return F.regexp_replace(text, T.ci(P.LF_PART_SOLID_SPAN), "\u0001")
@@ -48,25 +60,18 @@ def _lone_solid(text: Column) -> Column:
 def _dense(text: Column) -> Column:
     """A word for dense in the first sentence that speaks of calcification and has one."""
     hits = F.filter(T.sentences(text), lambda s: T.has(s, P.LF_CALCIFICATION) & T.has(s, P.LF_DENSE))
-    return T.found(F.try_element_at(hits, F.lit(1)), P.LF_DENSE)
+    return F.when(T.has(text, P.LF_CALCIFICATION) & T.has(text, P.LF_DENSE), T.found(F.try_element_at(hits, F.lit(1)), P.LF_DENSE))
 
 
-def _densities(text: Column, rules) -> list[tuple[str, Column]]:
-    """(label, all matches) of each rule, then of dense calcification."""
-    out = []
-    for label, pattern in rules:
-        where = _lone_solid(text) if label == "solid" and pattern == P.SOLID else text
-        out.append((label, F.coalesce(F.regexp_extract_all(where, F.lit("(" + T.ci(pattern) + ")"), F.lit(1)), F.array().cast("array<string>"))))
-    return [*out, ("calcified", F.array_compact(F.array(_dense(text))))]
+def _where(text: Column, label: str, pattern: str) -> Column:
+    return _lone_solid(text) if label == "solid" and pattern == P.SOLID else text
 
 
-def _first_density(text: Column, rules) -> tuple[Column, Column]:
+def _first_density(text: Column, rules) -> Column:
+    """(value, span) of the gravest density that the rules, or dense calcification, find."""
+    cases = [(label, T.has(_where(text, label, p), p), T.found(_where(text, label, p), p)) for label, p in rules] + [("calcified", _dense(text).isNotNull(), _dense(text))]
     rank = ("part_solid", "ground_glass", "calcified", "solid")
-    ordered = sorted(_densities(text, rules), key=lambda x: rank.index(x[0]))
-    label, span = F, F
-    for name, hits in ordered:
-        label, span = label.when(F.size(hits) > 0, F.lit(name)), span.when(F.size(hits) > 0, F.try_element_at(hits, F.lit(1)))
-    return label, span
+    return T.first_case([(hit, F.lit(label), span) for label, hit, span in sorted(cases, key=lambda x: rank.index(x[0]))])
 
 
 @labelling_function("density", "LF-D1", 1.0)
@@ -82,102 +87,102 @@ def _d2():
 @labelling_function("density", "LF-D3", 0.85)
 def _d3():
     spans = [T.found(_mention(), rf"\b{n.replace(' ', chr(92) + 's+')}\b(?:\W+\w+){{0,3}}\W+{P.LF_DENSITY_WORD}") for n in P.LF_NEGATORS]
-    span = F.coalesce(*spans, T.found(_mention(), P.LF_NONCALCIFIED))
-    return F.when(span.isNotNull(), "unclear"), span
+    # each negated density has a density word, which most mentions lack
+    return _found(F.coalesce(F.when(T.has(_mention(), P.LF_DENSITY_WORD), F.coalesce(*spans)), T.found(_mention(), P.LF_NONCALCIFIED)), "unclear")
 
 
 @labelling_function("density", "LF-D4", 0.9)
 def _d4():
-    found = _densities(_mention(), P.LF_PRIMARY + P.LF_FUZZY)[:-1] + _densities(_mention(), ())
-    labels = F.array_distinct(F.array_compact(F.array(*[F.when(F.size(h) > 0, F.lit(n)) for n, h in found])))
-    return F.when(F.size(labels) >= 2, "unclear"), F.array_join(F.array_distinct(F.concat(*[h for _, h in found])), " | ")
+    rules = [*P.LF_PRIMARY, *P.LF_FUZZY]
+    tests = [(label, T.has(_where(_mention(), label, p), p)) for label, p in rules] + [("calcified", _dense(_mention()).isNotNull())]
+    hits = [F.coalesce(F.regexp_extract_all(_where(_mention(), label, p), F.lit("(" + T.ci(p) + ")"), F.lit(1)), F.array().cast("array<string>")) for label, p in rules] + [F.array_compact(F.array(_dense(_mention())))]
+    several = F.size(F.array_distinct(F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests])))) >= 2
+    return T.first_case([(several, F.lit("unclear"), F.array_join(F.array_distinct(F.concat(*hits)), " | "))])
 
 
 def impression_density(full_text: Column) -> Column:
-    """(label, span) of the first sentence of a note's impression that speaks of a nodule and has a density."""
+    """(value, span) of the first sentence of a note's impression that speaks of a nodule and has a density."""
     body = F.regexp_extract(F.coalesce(full_text, F.lit("")), r"(?is)IMPRESSION\s*:\s*(.*)", 1)
-
-    def judged(s: Column) -> Column:
-        label, span = _first_density(s, P.LF_PRIMARY)
-        return F.struct(label.alias("label"), span.alias("span"))
-
     named = F.filter(T.sentences(body), lambda s: T.has(s, P.LF_MENTION))
-    return F.try_element_at(F.filter(F.transform(named, judged), lambda x: x["label"].isNotNull()), F.lit(1))
+    return F.try_element_at(F.filter(F.transform(named, lambda s: _first_density(s, P.LF_PRIMARY)), lambda x: x["value"].isNotNull()), F.lit(1))
 
 
 @labelling_function("density", "LF-D5", 0.85)
 def _d5():
-    return F.when(F.lower("section") == "findings", F.col("impression_density")["label"]), F.col("impression_density")["span"]
+    got = F.col("impression_density")
+    return _pair(F.when(F.lower("section") == "findings", got["value"]), got["span"])
 
 
 @labelling_function("size", "LF-S1", 1.0)
 def _s1():
-    span = T.size(_mention(), P.SIZES_STRICT)["span"]
-    return F.when(span.isNotNull(), "true"), span
+    return _found(T.size(_mention(), P.SIZES_STRICT)["span"], "true")
 
 
 @labelling_function("size", "LF-S2", 0.9)
 def _s2():
-    span = F.coalesce(*[T.found(_mention(), p) for p in P.LF_SIZE_TYPOS])
-    return F.when(span.isNotNull(), "true"), span
+    return _found(F.coalesce(*[T.found(_mention(), p) for p in P.LF_SIZE_TYPOS]), "true")
 
 
 @labelling_function("size", "LF-S3", 0.8)
 def _s3():
     both = lambda s: T.has(s, P.LF_NUMBER) & T.has(s, P.LF_SIZE_CONTEXT)
     in_sentence = F.try_element_at(F.filter(T.sentences(_mention()), both), F.lit(1))
-    return F.when(in_sentence.isNotNull() | both(_mention()), "true"), F.coalesce(in_sentence, T.nonempty(_mention()))
+    # a sentence with both is in a mention with both
+    return T.first_case([(both(_mention()), F.lit("true"), F.coalesce(in_sentence, T.nonempty(_mention())))])
 
 
 @labelling_function("size", "LF-S4", 0.7)
 def _s4():
-    span = T.found(_mention(), P.LF_SIZE_WORDS)
-    return F.when(span.isNotNull(), "true"), span
+    return _found(T.found(_mention(), P.LF_SIZE_WORDS), "true")
 
 
 @labelling_function("size", "LF-S5", 0.9)
 def _s5():
     none = ~T.has(_mention(), r"\d") & ~T.has(_mention(), P.LF_SIZE_WORDS) & ~T.has(_mention(), P.LF_SIZE_CONTEXT)
-    return F.when(none, "false"), T.nonempty(_mention())
+    return T.first_case([(none, F.lit("false"), T.nonempty(_mention()))])
 
 
 @labelling_function("location", "LF-L1", 1.0)
 def _l1():
-    got = T.first_of(_mention(), P.LF_LOCATIONS)
-    return got["value"], got["span"]
+    return T.first_of(_mention(), P.LF_LOCATIONS)
 
 
 @labelling_function("location", "LF-L2", 0.85)
 def _l2():
-    hits = [(T.found(_mention(), p), label, side) for p, label, side in P.LOBES]
-    lobes = F.array_sort(F.array_compact(F.array(*[F.when(s.isNotNull(), F.struct(F.locate("\u0001", F.regexp_replace(_mention(), T.ci(p), "\u0001")).alias("at"), F.lit(label).alias("label"), F.lit(side).alias("side"), s.alias("text"))) for (s, label, side), (p, _, _) in zip(hits, P.LOBES, strict=True)])))
-    two = F.size(F.array_distinct(F.transform(lobes, lambda x: x["side"]))) >= 2
-    label = F.when(F.size(lobes) > 1, F.when(two, F.lit("bilateral")).otherwise(F.try_element_at(lobes, F.lit(1))["label"]))
-    return label, F.array_join(F.transform(lobes, lambda x: x["text"]), ", "), F.when(two, F.lit(0.85)).otherwise(F.lit(0.7))
+    one = lambda p, label, side: F.when(T.has(_mention(), p), F.struct(F.locate("\u0001", F.regexp_replace(_mention(), T.ci(p), "\u0001")).alias("at"), F.lit(label).alias("label"), F.lit(side).alias("side"), T.found(_mention(), p).alias("text")))
+    lobes = F.array_sort(F.array_compact(F.array(*[one(*x) for x in P.LOBES])))
+
+    def judged(found: Column) -> Column:
+        two = F.size(F.array_distinct(F.transform(found, lambda x: x["side"]))) >= 2
+        label = F.when(F.size(found) > 1, F.when(two, F.lit("bilateral")).otherwise(F.try_element_at(found, F.lit(1))["label"]))
+        return F.struct(label.alias("value"), F.array_join(F.transform(found, lambda x: x["text"]), ", ").alias("span"), F.when(two, F.lit(0.85)).otherwise(F.lit(0.7)).alias("sure"))
+
+    return T.bound(lobes, judged), lambda x: x["sure"]
 
 
 @labelling_function("location", "LF-L3", 0.9)
 def _l3():
-    span = F.coalesce(*[T.found(_mention(), p) for p in P.LF_BILATERAL])
-    return F.when(span.isNotNull(), "bilateral"), span
+    return _found(F.coalesce(*[T.found(_mention(), p) for p in P.LF_BILATERAL]), "bilateral")
 
 
 @labelling_function("location", "LF-L4", 0.75)
 def _l4():
     lobe = F.coalesce(*[T.found(_mention(), p) for p, _, _ in P.LOBES])
     span = F.coalesce(*[T.found(_mention(), p) for p in P.LF_SIDES])
-    return F.when(lobe.isNull() & span.isNotNull(), "unclear"), span
+    return T.first_case([(lobe.isNull() & span.isNotNull(), F.lit("unclear"), span)])
 
 
 @labelling_function("location", "LF-L5", 0.7)
 def _l5():
     full, own = F.coalesce(F.col("full_text"), F.lit("")), T.first_of(_mention(), P.LF_LOCATIONS)["value"]
     at = F.expr("locate(lower(coalesce(mention_text, '')), lower(coalesce(full_text, '')))")
-    end = at + F.length(_mention())
-    around = F.concat(F.substring(full, F.greatest(at - 200, F.lit(1)), F.least(at - 1, F.lit(200))), F.substring(full, end, F.lit(200)))
-    got = T.first_of(around, P.LF_LOCATIONS)
-    ok = own.isNull() & (F.length(_mention()) > 0) & (at > 0)
-    return F.when(ok, got["value"]), got["span"]
+
+    def near(at: Column) -> Column:
+        around = F.concat(F.substring(full, F.greatest(at - 200, F.lit(1)), F.least(at - 1, F.lit(200))), F.substring(full, at + F.length(_mention()), F.lit(200)))
+        return F.when(at > 0, T.bound(around, lambda t: T.first_of(t, P.LF_LOCATIONS)))
+
+    got = T.bound(F.when(own.isNull() & (F.length(_mention()) > 0), at).otherwise(F.lit(0)), near)
+    return _pair(got["value"], got["span"])
 
 
 def label_rows(mentions: DataFrame, task: str) -> DataFrame:
@@ -193,23 +198,32 @@ def vote(details: Column, weights: dict[str, float] | None = None, sources: list
     """Struct label, confidence, lf_coverage, lf_agreement, supporting_lfs, all_votes, evidence_spans.
 
     Ties go to the label that was voted for first."""
-    active = F.filter(details, lambda x: x["label"].isNotNull() & (x["lf_name"].isin(sources) if sources else F.lit(True)))
     w = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else None
-    scored = F.transform(active, lambda x: F.struct(x["label"].alias("label"), (x["confidence"] * (F.coalesce(F.try_element_at(w, x["lf_name"]), F.lit(1.0)) if weights else F.lit(1.0))).alias("score")))
-    labels = F.array_distinct(F.transform(active, lambda x: x["label"]))
-    votes = F.transform(labels, lambda lab: F.struct(lab.alias("label"), F.aggregate(F.filter(scored, lambda s: s["label"] == lab), F.lit(0.0), lambda a, s: a + s["score"]).alias("score")))
-    top = F.aggregate(votes, F.struct(F.lit(None).cast("string").alias("label"), F.lit(-1.0).alias("score")), lambda a, v: F.when(v["score"] > a["score"], v).otherwise(a))
-    total = F.aggregate(votes, F.lit(0.0), lambda a, v: a + v["score"])
-    mine = F.filter(active, lambda x: x["label"] == top["label"])
-    return F.struct(
-        F.coalesce(top["label"], F.lit(P.ABSTAIN)).alias("label"),
-        F.coalesce(F.try_divide(F.greatest(top["score"], F.lit(0.0)), total), F.lit(0.0)).alias("confidence"),
-        F.size(active).alias("lf_coverage"),
-        F.coalesce(F.try_divide(F.size(mine), F.size(active)), F.lit(0.0)).alias("lf_agreement"),
-        F.transform(mine, lambda x: x["lf_name"]).alias("supporting_lfs"),
-        votes.alias("all_votes"),
-        F.filter(F.transform(mine, lambda x: x["evidence_span"]), lambda s: F.coalesce(s != "", F.lit(False))).alias("evidence_spans"),
-    )
+    active = F.filter(details, lambda x: x["label"].isNotNull() & (x["lf_name"].isin(sources) if sources else F.lit(True)))
+
+    def weighed(active: Column) -> Column:
+        score = lambda x: x["confidence"] * (F.coalesce(F.try_element_at(w, x["lf_name"]), F.lit(1.0)) if weights else F.lit(1.0))
+        sum_of = lambda lab: F.aggregate(active, F.lit(0.0), lambda a, x: a + F.when(x["label"] == lab, score(x)).otherwise(F.lit(0.0)))
+        votes = F.transform(F.array_distinct(F.transform(active, lambda x: x["label"])), lambda lab: F.struct(lab.alias("label"), sum_of(lab).alias("score")))
+        return T.bound(votes, lambda v: T.bound(topped(v), lambda top: outcome(active, v, top)))
+
+    def topped(votes: Column) -> Column:
+        start = F.struct(F.lit(None).cast("string").alias("label"), F.lit(-1.0).alias("score"), F.lit(0.0).alias("total"))
+        step = lambda a, v: F.struct(F.when(v["score"] > a["score"], v["label"]).otherwise(a["label"]).alias("label"), F.greatest(v["score"], a["score"]).alias("score"), (a["total"] + v["score"]).alias("total"))
+        return F.aggregate(votes, start, step)
+
+    def outcome(active: Column, votes: Column, top: Column) -> Column:
+        return T.bound(F.filter(active, lambda x: x["label"] == top["label"]), lambda mine: F.struct(
+            F.coalesce(top["label"], F.lit(P.ABSTAIN)).alias("label"),
+            F.coalesce(F.try_divide(F.greatest(top["score"], F.lit(0.0)), top["total"]), F.lit(0.0)).alias("confidence"),
+            F.size(active).alias("lf_coverage"),
+            F.coalesce(F.try_divide(F.size(mine), F.size(active)), F.lit(0.0)).alias("lf_agreement"),
+            F.transform(mine, lambda x: x["lf_name"]).alias("supporting_lfs"),
+            votes.alias("all_votes"),
+            F.filter(F.transform(mine, lambda x: x["evidence_span"]), lambda s: F.coalesce(s != "", F.lit(False))).alias("evidence_spans"),
+        ))
+
+    return T.bound(active, weighed)
 
 
 def gates(label: Column, confidence: Column, coverage: Column, agreement: Column) -> Column:

@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: One row for each order line number; the rest of a repeated one is not of interest here.
+#: One row for each order line number; the rest of a repeated one is not of interest here. Flags are one character: as numbers they are aggregated by hash.
 LINES = """SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity, min(l_discount) AS l_discount,
- min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM {lineitem} GROUP BY l_orderkey, l_linenumber"""
+ chr(min(ascii(l_returnflag))) AS l_returnflag, chr(min(ascii(l_linestatus))) AS l_linestatus FROM {lineitem} GROUP BY l_orderkey, l_linenumber"""
 EXAM = """CASE l_linenumber % 6 WHEN 0 THEN 'CT HEAD W/O CONTRAST' WHEN 1 THEN 'CT CHEST W/CONTRAST' WHEN 2 THEN 'CT LOW DOSE LUNG SCREENING'
  WHEN 3 THEN 'CTA CHEST' WHEN 4 THEN 'CHEST CT W/O CONTRAST' ELSE 'MR ABDOMEN AND PELVIS' END"""
 SIZE = """CASE (l_orderkey + l_linenumber) % 9 WHEN 0 THEN '' WHEN 1 THEN concat(p_size, ' mm ') WHEN 2 THEN concat(p_size % 4, '.', l_linenumber, ' cm ')
