@@ -5,6 +5,8 @@ A text argument is a Column. Builders that give a value and its evidence return
 
 from __future__ import annotations
 
+import functools
+import re._parser as re_parser
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -22,8 +24,50 @@ def ci(pattern: str) -> str:
     return "(?i)" + pattern
 
 
+def _literals(parts) -> set[str] | None:
+    """Of parsed parts of a pattern: words of which any match holds one; None if there are none."""
+    best: set[str] | None = None
+    run = ""
+
+    def better(words: set[str] | None) -> None:
+        nonlocal best
+        if words and (best is None or min(map(len, words)) > min(map(len, best))):
+            best = words
+
+    for op, arg in parts:
+        name = str(op)
+        if name == "LITERAL" and chr(arg).isascii() and chr(arg).isalnum():
+            run += chr(arg).lower()
+            continue
+        better({run} if run else None)
+        run = ""
+        if name == "SUBPATTERN":
+            better(_literals(arg[-1]))
+        elif name == "BRANCH":
+            each = [_literals(x) for x in arg[1]]
+            better(set().union(*each) if all(each) else None)
+        elif name == "MAX_REPEAT" and arg[0] > 0:
+            better(_literals(arg[2]))
+    better({run} if run else None)
+    return best
+
+
+@functools.cache
+def literals(pattern: str) -> tuple[str, ...]:
+    """Up to eight words of three letters or more, in lower case, of which any match of the pattern holds one; else none."""
+    found = _literals(re_parser.parse(pattern)) or set()
+    return tuple(sorted(found)) if len(found) <= 8 and all(len(w) >= 3 for w in found) else ()
+
+
 def has(text: Column, pattern: str) -> Column:
-    return F.coalesce(text.rlike(ci(pattern)), F.lit(False))
+    """Whether the pattern matches, in any case. Where its matches hold one of a few words, the words are looked for first:
+    that is a fraction of the pattern's cost, and most texts have none."""
+    hit = text.rlike(ci(pattern))
+    words = () if any(x in str(text) for x in ("concat", "regexp", "substring")) else literals(pattern)
+    for i, w in enumerate(words):
+        one = F.contains(F.lower(text), F.lit(w))
+        any_ = one if i == 0 else any_ | one
+    return F.coalesce(any_ & hit if words else hit, F.lit(False))
 
 
 def found(text: Column, pattern: str) -> Column:

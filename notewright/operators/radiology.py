@@ -32,11 +32,13 @@ def with_nodule(notes: DataFrame, text: str = "text") -> DataFrame:
     return notes.filter(T.negation_aware_mention(F.col(text)))
 
 
+#: What is read from a mention.
+READ = {"text": lambda m: m, "size": T.size, "density": T.density, "place": T.location, "change": T.change, "shape": T.morphology}
+
+
 def _read(mention: Column) -> Column:
     """What the mention says, each part once."""
-    return F.struct(
-        mention.alias("text"), T.size(mention).alias("size"), T.density(mention).alias("density"), T.location(mention).alias("place"), T.change(mention).alias("change"), T.morphology(mention).alias("shape")
-    )
+    return F.struct(*[f(mention).alias(k) for k, f in READ.items()])
 
 
 def _nodule(x: Column, index: Column, count: Column, rads: Column, cue: Column) -> Column:
@@ -74,9 +76,9 @@ def mention_facts(notes: DataFrame, text: str = "text") -> DataFrame:
 
     Mentions are exploded before they are read, so that every pattern is compiled code over a row's column."""
     rows = _staged(notes, text).select("note_id", "subject_id", "exam_name", "cue", "rads", "nodule_count", F.posexplode("found").alias("i", "m"))
-    read = F.inline(F.array(F.struct(*[_read(F.col("m"))[k].alias(k) for k in ("text", "size", "density", "place", "change", "shape")])))
-    # a generator, unlike a projection, is not merged with what uses it: every pattern runs once
-    rows = rows.select("note_id", "subject_id", "exam_name", "cue", "rads", "nodule_count", "i", read)
+    # a step for each field: generated code is cut by steps, and one method with all patterns is too long to be compiled
+    for k, f in READ.items():
+        rows = rows.withColumn(k, f(F.col("m")))
     x = {k: F.col(k) for k in ("text", "size", "density", "place", "change", "shape")}
     rows = rows.select("note_id", "subject_id", "exam_name", _nodule(x, F.col("i") + 1, F.col("nodule_count"), F.col("rads"), F.col("cue")).alias("n")).select("note_id", "subject_id", "exam_name", "n.*")
     return rows.withColumn("missing_flags", T.missing(**{k: F.col(k) for k in NODULE_FIELDS}))
