@@ -11,13 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokens
 from .ann import nearest_neighbours
 from .common import crc_remainder, table
 from .decontaminate import decontaminate
+from .divergence import source_divergence
 from .line_dedup import line_dedup
 from .lm_score import lm_scores
 from .mixing import mix_sources
 from .near_dedup import near_duplicate_groups
+from .packing import pack_examples
 from .pii import pii_spans
 from .quality import quality_scores, train_quality
 from .secret_scan import secret_scan
@@ -25,6 +28,13 @@ from .sql import SQL  # noqa: F401
 from .substring_dedup import substring_dedup
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file, the same on every machine of a cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -72,6 +82,18 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), crc_remainder(F.col("doc_id"), 7) == 2)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_examples(table(spark, sf_dir, "documents"), tokenizer=vocabulary("word_bpe_49k.json"), length=2048, digest=True)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"), byte_level=vocabulary("byte_bpe_50k.json"), pieces=vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_substring_dedup": op2_substring_dedup,
@@ -83,4 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
     "op10_near_dedup": op10_near_dedup,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_packing": op12_packing,
+    "op13_token_alignment": op13_token_alignment,
 }
\ No newline at end of file

@@ -70,4 +70,15 @@ OP7 = f"""WITH dw AS (SELECT doc_id, {_words(f'translate(text, {UPPER}, {LOWER})
  f AS (SELECT doc_id, list(item_id ORDER BY item_id) AS ids, max(sim) AS sim FROM sim GROUP BY doc_id)
  SELECT doc_id, ids IS NOT NULL AS contaminated, coalesce(ids, []::BIGINT[]) AS item_ids, round(sim, 9) AS similarity FROM documents LEFT JOIN f USING (doc_id)"""
 
-SQL = {"op2_substring_dedup": OP2, "op3_line_dedup": OP3, "op6_mixing": OP6, "op7_decontaminate": OP7, "op10_near_dedup": OP10}
+OP11 = f"""WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+ w AS (SELECT rid, lang, source, unnest(regexp_extract_all(translate(text, {UPPER}, {LOWER}), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+ kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT rid) >= 3), g AS (SELECT DISTINCT lang, source FROM d),
+ c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL), m AS MATERIALIZED (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, kept.n AS nl FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+ p AS MATERIALIZED (SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER s + count(*) OVER s)::HUGEINT AS p, 1 + 1000000000::HUGEINT * (nl + 1) // (sum(nl) OVER s + count(*) OVER s)::HUGEINT AS q FROM m WINDOW s AS (PARTITION BY lang, source)),
+ pv AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ pr AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source),
+ tm AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+ r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM pr UNION ALL SELECT * FROM tm))
+ SELECT * FROM r WHERE part = 'pair' OR rank <= 200"""
+
+SQL = {"op2_substring_dedup": OP2, "op3_line_dedup": OP3, "op6_mixing": OP6, "op7_decontaminate": OP7, "op10_near_dedup": OP10, "op11_source_divergence": OP11}
