@@ -253,3 +253,55 @@ def text_statistics(t):
         "words": math.log1p(len(ws)), "word_size": share(len(raw), len(ws)), "distinct": share(len(set(ws)), len(ws)), "upper": share(sum("A" <= c <= "Z" for c in t), len(raw)),
         "digit": share(sum("0" <= c <= "9" for c in t), len(raw)), "beyond_ascii": share(len(raw) - len(t), len(raw)),
     }
+
+
+def divergence(rows, least=3, top=200):
+    """rows: (text, lang, source). (lang, source, part, item, value, rank)."""
+    rows = [tuple(x or "" for x in r) for r in rows]
+    billion = 10**9
+    count, docs = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for t, lang, source in rows:
+        terms = [lower(x) for x in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t)]
+        count[lang, source].update(terms)
+        docs[lang].update(set(terms))
+    out = []
+    for lang in {r[1] for r in rows}:
+        kept = [t for t, n in docs[lang].items() if n >= least]
+        groups = {s: c for (la, s), c in count.items() if la == lang}
+
+        def shares(c, kept=kept):
+            total = sum(c[t] for t in kept) + len(kept)
+            return {t: 1 + billion * (c[t] + 1) // total for t in kept}
+
+        p = {s: shares(c) for s, c in groups.items()}
+        q = shares(sum(groups.values(), collections.Counter()))
+        f = lambda a, b: (a - b) ** 2 // b
+        for s in groups:
+            pairs = [(sum(f(p[s][t], p[o][t]) for t in kept), o) for o in groups if o != s]
+            terms = [(f(p[s][t], q[t]), t) for t in kept if groups[s][t] and p[s][t] > q[t]]
+            for part, some in (("pair", pairs), ("term", terms)):
+                some.sort(key=lambda x: (-x[0], x[1].encode()))
+                out += [(lang, s, part, item, v, r) for r, (v, item) in enumerate(some, 1) if part == "pair" or r <= top]
+    return sorted(out)
+
+
+def alignment(rows, tokens):
+    """rows: (id, text); tokens(text) -> (ids of A, their bytes, ids of B, their bytes). (id, n_a, n_b, groups, links, best, sum, sha256)."""
+    count, per = collections.Counter(), []
+    for i, t in rows:
+        a, a_bytes, b, b_bytes = tokens(t) if t else ([], [], [], [])
+        want = f" {t}".encode()
+        if b"".join(a_bytes) != want or b"".join(b_bytes) != want:
+            a = b = a_bytes = b_bytes = []
+        spans = lambda bs: [(sum(map(len, bs[:k])), sum(map(len, bs[: k + 1]))) for k in range(len(bs))]
+        sa, sb = spans(a_bytes), spans(b_bytes)
+        links = [(a[x], b[y]) for x in range(len(a)) for y in range(len(b)) if sa[x][0] < sb[y][1] and sb[y][0] < sa[x][1]]
+        count.update(links)
+        cut = sorted({e for _, e in sa} & {e for _, e in sb})
+        group = lambda ids, ss: [",".join(str(x) for x, (_, e) in zip(ids, ss, strict=True) if lo < e <= hi) for lo, hi in zip([0, *cut], cut)]
+        shown = ";".join(f"{x}|{y}" for x, y in zip(group(a, sa), group(b, sb), strict=True))
+        per.append((i, len(a), len(b), len(cut), links, hashlib.sha256(shown.encode()).hexdigest() if a else "", shown))
+    best = collections.defaultdict(int)
+    for (_, y), n in count.items():
+        best[y] = max(best[y], n)
+    return [(i, n_a, n_b, g, len(ls), sum(count[x] == best[x[1]] for x in ls), sum(count[x] for x in ls), sha) for i, n_a, n_b, g, ls, sha, _ in per]
