@@ -136,7 +136,7 @@ def case_tags(facts: DataFrame, smoking: DataFrame | None = None) -> DataFrame:
     any_ = lambda f: F.exists("nodules", f)
     is_ = lambda c, v: any_(lambda n: F.coalesce(n[c] == v, F.lit(False)))
     cue = lambda n: F.coalesce(n["recommendation_cue"] != "", F.lit(False))
-    rows = facts.filter(F.size("nodules") > 0)
+    rows = facts.filter(F.col("nodule_count") > 0)
     if smoking is None:
         rows = rows.withColumn("s_unknown", F.lit(False))
     else:
@@ -151,24 +151,42 @@ def case_tags(facts: DataFrame, smoking: DataFrame | None = None) -> DataFrame:
     return rows.select("note_id", "subject_id", "nodule_count", tags.alias("tags"))
 
 
+def cover_candidates(tagged: DataFrame, tags: tuple[str, ...], keep: int, *, key: str, order: str, seed: int) -> DataFrame:
+    """tagged rows that a cover of at most keep rows may need, with c_mask (tags as bits), c_kind, c_at (their order) and c_rank.
+
+    Rows fold into classes of equal tags; of a class the first keep by order (kind first), and of all rows the first keep in hash order
+    (kind fill). Ranks are cut in each task before the shuffle, so that what is sent and what comes back is bounded by
+    classes and keep, whatever the rows."""
+    mask = sum((F.when(F.array_contains("tags", t), F.lit(1 << i)).otherwise(F.lit(0)) for i, t in enumerate(tags)), F.lit(0))
+    ways = F.array(
+        F.struct(F.lit("first").alias("c_kind"), F.col("c_mask").alias("c_class"), F.col(order).cast("string").alias("c_at")),
+        F.struct(F.lit("fill").alias("c_kind"), F.lit(-1).alias("c_class"), draw(seed, F.col(key)).alias("c_at")),
+    )
+    rows = tagged.withColumn("c_mask", mask).select("*", F.inline(ways))
+    w = Window.partitionBy("c_kind", "c_class").orderBy("c_at", key)
+    return rows.withColumn("c_rank", F.row_number().over(w)).filter(F.col("c_rank") <= keep).drop("c_class")
+
+
 def case_studies(tagged: DataFrame, size: int = 16, *, order: str = "note_id", seed: int = 42) -> DataFrame:
-    """The first unused note (by order) that shows each tag, then others in hash order up to size; with the tag that a note was chosen for.
+    """The first unused note (by order, as text) that shows each tag, then others in hash order up to size; with the tag that a note was chosen for.
 
-    Only the first notes of each tag, as many as there are tags, come to the driver: a tag's note is among them."""
+    One job; at most size + len(CASE_TAGS) notes for each of the classes of notes with equal tags come to the driver."""
     schema = tagged.withColumn("chosen_for", F.lit("")).schema
-    spark, used, chosen = tagged.sparkSession, set(), []
-    firsts = {}
-    for tag in CASE_TAGS:
-        firsts[tag] = tagged.filter(F.array_contains("tags", tag)).orderBy(order).limit(len(CASE_TAGS))
-    for tag in CASE_TAGS:
-        for r in firsts[tag].collect():
-            if r["note_id"] not in used:
+    spark, keep = tagged.sparkSession, size + len(CASE_TAGS)
+    rows = cover_candidates(tagged, CASE_TAGS, keep, key="note_id", order=order, seed=seed).collect()
+    by = {kind: sorted((r for r in rows if r["c_kind"] == kind), key=lambda r: (r["c_at"], r["note_id"])) for kind in ("first", "fill")}
+    used, chosen = set(), []
+
+    def choose(pool, reason: str, n: int) -> None:
+        for r in pool:
+            if n and r["note_id"] not in used:
                 used.add(r["note_id"])
-                chosen.append((*r, tag))
-                break
-    rest = tagged.filter(~F.col("note_id").isin(*used)) if used else tagged
-    if len(chosen) < size:
-        chosen += [(*r, "fill") for r in rest.orderBy(draw(seed, F.col("note_id")), "note_id").limit(size - len(chosen)).collect()]
+                chosen.append((*[r[c] for c in tagged.columns], reason))
+                n -= 1
+
+    for i, tag in enumerate(CASE_TAGS):
+        choose((r for r in by["first"] if r["c_mask"] >> i & 1), tag, 1)
+    choose(by["fill"], "fill", size - len(chosen))
     return spark.createDataFrame(chosen, schema)
 
 

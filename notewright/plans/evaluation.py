@@ -243,7 +243,19 @@ def case_tags(spark, sf):
     return sampling.case_tags(_facts(spark, sf)).select("note_id", F.array_join("tags", "|").alias("tags"))
 
 
-@query()
+def _cover_sql() -> str:
+    """One step for each tag: its first note that no earlier step has taken; then the others by hash."""
+    tags = sampling.CASE_TAGS
+    step = lambda i, t: f"c{i} AS (SELECT note_id, '{t}' AS chosen_for FROM tg2 WHERE list_contains(tags, '{t}')" + "".join(f" AND note_id NOT IN (SELECT note_id FROM c{j})" for j in range(i)) + " ORDER BY note_id LIMIT 1)"
+    steps = ",\n ".join(step(i, t) for i, t in enumerate(tags))
+    taken = " UNION ALL ".join(f"SELECT * FROM c{i}" for i in range(len(tags)))
+    return f"""WITH {SMOKE}, {_CASE_TAGS}, sm AS (SELECT subject_id, arg_min(status, ordinal) AS status FROM smoke GROUP BY 1), nd AS (SELECT DISTINCT note_id, subject_id FROM nodules),
+ tg2 AS MATERIALIZED (SELECT tg.note_id, list_sort(list_concat([x for x, i in names if coalesce(has[i], false)], CASE WHEN status = 'unknown' THEN ['smoking_unknown'] ELSE [] END)) AS tags FROM tg JOIN nd USING (note_id) LEFT JOIN sm USING (subject_id)),
+ {steps}, tk AS (SELECT note_id, chosen_for FROM ({taken})), fl AS (SELECT note_id, 'fill' AS chosen_for FROM tg2 WHERE note_id NOT IN (SELECT note_id FROM tk) ORDER BY md5(concat('42|', note_id)), note_id LIMIT (SELECT 16 - count(*) FROM tk))
+ SELECT note_id, array_to_string(tags, '|') AS tags, chosen_for FROM tg2 JOIN (SELECT * FROM tk UNION ALL SELECT * FROM fl) USING (note_id)"""
+
+
+@query(_cover_sql())
 def case_study_set(spark, sf):
     tags = sampling.case_tags(_facts(spark, sf), bundles.first_per_subject(smoking.smoking_facts(discharge(spark, sf))))
     return sampling.case_studies(tags, 16).select("note_id", F.array_join("tags", "|").alias("tags"), "chosen_for")
@@ -332,11 +344,11 @@ def schema_validation(spark, sf):
 # results and errors
 
 
-_RES = "r AS (SELECT l_returnflag AS method, l_linestatus AS task, (l_suppkey % 5)::INT AS seed, (l_partkey % 100) / 100.0::DOUBLE AS value FROM lineitem WHERE l_linenumber = 1 AND l_orderkey < 2000)"
+_RES = "r AS (SELECT l_returnflag AS method, l_linestatus AS task, (l_suppkey % 5)::INT AS seed, (l_partkey % 100) / 100.0::DOUBLE AS value FROM lineitem)"
 
 
 def _results(spark, sf):
-    li = _table(spark, sf, "lineitem").filter("l_linenumber = 1 and l_orderkey < 2000")
+    li = _table(spark, sf, "lineitem")
     return li.select(F.col("l_returnflag").alias("method"), F.col("l_linestatus").alias("task"), (F.col("l_suppkey") % 5).cast("int").alias("seed"), ((F.col("l_partkey") % 100) / 100.0).alias("value"))
 
 
@@ -580,7 +592,7 @@ def _weak_sql(task: str, confidence: dict[str, float], abstain: str = "-") -> st
     w = P.LF_WEIGHTS[task]
     names = list(confidence)
     score = "[" + ", ".join(f"{confidence[n] * w.get(n, 1.0)}::DOUBLE" for n in names) + "]"
-    return f"""lf AS ({SQL[f'lf_{task}']}), vo AS (SELECT sample_id, i, nullif(string_split(labels, '|')[i], '{abstain}') AS label, {score}[i] AS score FROM lf, unnest(range(1, {len(names) + 1})) t(i)),
+    return f"""lf AS MATERIALIZED ({SQL[f'lf_{task}']}), vs AS MATERIALIZED (SELECT sample_id, string_split(labels, '|') AS ls FROM lf), vo AS (SELECT sample_id, i, nullif(ls[i], '{abstain}') AS label, {score}[i] AS score FROM vs, unnest(range(1, {len(names) + 1})) t(i)),
  va AS (SELECT sample_id, label, sum(score) AS score, min(i) AS first, count(*) AS n FROM vo WHERE label IS NOT NULL GROUP BY ALL),
  vb AS (SELECT *, sum(score) OVER (PARTITION BY sample_id) AS total, sum(n) OVER (PARTITION BY sample_id) AS cov, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, first) AS r FROM va),
  vw AS (SELECT l.sample_id, coalesce(label, '{P.ABSTAIN}') AS label, coalesce(score / total, 0) AS conf, coalesce(cov, 0)::BIGINT AS cov, coalesce(n / cov, 0) AS agr FROM (SELECT sample_id FROM lf) l LEFT JOIN (SELECT * FROM vb WHERE r = 1) x USING (sample_id))"""
