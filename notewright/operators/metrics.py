@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import RANGES, limits, running
+
 
 def rate(hit: Column, of: Column | None = None) -> Column:
     """Share of rows where hit holds among those where of does; 0 if there are none."""
@@ -48,23 +50,15 @@ def summary(rows: DataFrame, truth: str, predicted: str, labels: list[str]) -> D
     return one.select("accuracy", (sum(f1) / len(labels)).alias("macro_f1"), F.coalesce(F.try_divide(weighted, support), F.lit(0.0)).alias("weighted_f1"))
 
 
-def percentiles(rows: DataFrame, column: str, shares: dict[str, float], keys: list[str] = (), ranges: int = 1024) -> DataFrame:
+def percentiles(rows: DataFrame, column: str, shares: dict[str, float], keys: list[str] = (), ranges: int = RANGES) -> DataFrame:
     """keys and, by name, the values at those shares of the rows, between two neighbours in proportion.
 
     Exact and in two steps: distinct values with their counts, ranked by ranges and within them. No task or
     aggregation state holds all values of a key."""
     keys = list(keys)
-    d = rows.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("q_v")).agg(F.count("*").alias("q_c"))
-    span = d.groupBy(*keys).agg(F.min("q_v").alias("q_lo"), F.max("q_v").alias("q_hi"), F.sum("q_c").alias("q_n"))
-    same = lambda a, b, cs: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cs]
-    on = same("d", "s", keys)
-    d = d.alias("d").join(span.alias("s"), on=on) if on else d.crossJoin(F.broadcast(span))
-    d = d.select(*[F.col(f"d.{c}" if on else c).alias(c) for c in keys], "q_v", "q_c", "q_n", F.coalesce(F.floor(F.try_divide(F.col("q_v") - F.col("q_lo"), F.col("q_hi") - F.col("q_lo")) * ranges), F.lit(0)).alias("q_b"))
-    b = d.groupBy(*keys, "q_b").agg(F.sum("q_c").alias("q_bc"))
-    b = b.select(*keys, "q_b", F.coalesce(F.sum("q_bc").over(Window.partitionBy(*keys).orderBy("q_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("q_b0"))
-    on = same("d", "b", [*keys, "q_b"])
-    inner = F.sum("q_c").over(Window.partitionBy(*[F.col(f"d.{c}") for c in keys], F.col("d.q_b")).orderBy("q_v"))
-    r = d.alias("d").join(b.alias("b"), on=on).select(*[F.col(f"d.{c}").alias(c) for c in keys], "q_v", "q_n", (F.col("q_b0") + inner).alias("q_to"), F.col("q_c"))
+    there = rows.filter(F.col(column).isNotNull())
+    d = there.groupBy(*keys, F.col(column).cast("double").alias("q_v")).agg(F.count("*").alias("q_c"))
+    r = running(d, "q_v", {"q_to": "q_c"}, keys=keys, cuts=limits(there, column, ranges), totals={"q_n": "q_c"})
     r = r.withColumn("q_from", F.col("q_to") - F.col("q_c"))
     out = []
     for name, share in shares.items():
@@ -76,16 +70,9 @@ def percentiles(rows: DataFrame, column: str, shares: dict[str, float], keys: li
 
 
 def score_curve(rows: DataFrame, truth: str, score: str) -> DataFrame:
-    """score, tp, fp counted from the highest score down, and totals pos, neg: one row a distinct score.
-
-    The running sums go over distinct scores in two steps, within ranges of scores and over the ranges."""
+    """score, p, n, tp, fp counted from the highest score down, and totals pos, neg: one row a distinct score, in ranges of about as many rows."""
     d = rows.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(truth)).alias("p"), F.count_if(~F.col(truth)).alias("n"))
-    d = d.withColumn("b", F.floor(F.col("score") * 256))
-    b = d.groupBy("b").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
-    over = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
-    b = b.select("b", F.coalesce(F.sum("bp").over(over), F.lit(0)).alias("p0"), F.coalesce(F.sum("bn").over(over), F.lit(0)).alias("n0"), F.sum("bp").over(Window.partitionBy()).alias("pos"), F.sum("bn").over(Window.partitionBy()).alias("neg"))
-    w = Window.partitionBy("b").orderBy(F.desc("score"))
-    return d.join(b, "b").select("score", "p", "n", (F.col("p0") + F.sum("p").over(w)).alias("tp"), (F.col("n0") + F.sum("n").over(w)).alias("fp"), "pos", "neg")
+    return running(d, "score", {"tp": "p", "fp": "n"}, descending=True, cuts=limits(rows, score), totals={"pos": "p", "neg": "n"})
 
 
 def ranking(rows: DataFrame, truth: str, score: str) -> DataFrame:
@@ -159,32 +146,3 @@ def label_stats(rows: DataFrame, split: str, quality: str) -> DataFrame:
     """split (null: all), quality, n, by grouping sets in one pass."""
     return rows.groupingSets([[split, quality], [quality]], split, quality).agg(F.count("*").alias("n"))
 
-
-def radiology_quality(facts: DataFrame) -> DataFrame:
-    """One row of rates over notes and their nodules (facts: nodule_count, sections, nodules)."""
-    n = facts.select(F.explode("nodules").alias("n")).select("n.*")
-    clear = lambda c: F.coalesce(F.col(c) != "unclear", F.lit(False))
-    notes = facts.agg(F.count("*").alias("notes"), rate(F.col("nodule_count") > 0).alias("notes_with_nodule"), F.avg("nodule_count").alias("mean_nodules"), rate(F.col("sections.findings").isNotNull()).alias("with_findings"))
-    return notes.crossJoin(
-        n.agg(
-            F.count("*").alias("nodules"), rate(F.col("size_mm").isNotNull()).alias("size_rate"), rate(clear("density_category")).alias("density_rate"), rate(clear("location_lobe")).alias("location_rate"),
-            rate(F.col("change_status").isNotNull()).alias("change_rate"), rate(F.col("confidence") == "high").alias("high_confidence"),
-        )
-    )
-
-
-def smoking_quality(facts: DataFrame) -> DataFrame:
-    """One row of rates with their own denominators: all, known status, former smokers."""
-    known, former = F.col("smoking_status_norm") != "unknown", F.col("smoking_status_norm") == "former_smoker"
-    return facts.agg(
-        F.count("*").alias("notes"), rate(known).alias("known_rate"), rate(F.col("pack_year_value").isNotNull(), known).alias("pack_year_rate"), rate(F.col("quit_years_value").isNotNull(), former).alias("quit_rate"),
-        rate(F.col("eligible_for_high_risk_screening") == "eligible").alias("eligible_rate"), rate(F.col("evidence_quality") == "none").alias("no_evidence_rate"),
-    )
-
-
-def recommendation_quality(recs: DataFrame) -> DataFrame:
-    level = F.col("recommendation_level")
-    return recs.agg(
-        F.count("*").alias("cases"), rate(level != "insufficient_data").alias("actionable_rate"), rate(level.isin("diagnostic_workup", "tissue_sampling")).alias("urgent_rate"),
-        rate(F.col("followup_interval").isNotNull()).alias("interval_rate"), rate(F.col("guideline_anchor").isNotNull()).alias("anchor_rate"), F.avg(F.size("missing_information")).alias("mean_missing"),
-    )
