@@ -116,27 +116,47 @@ def ranked_candidates(rows: DataFrame) -> DataFrame:
     return rows.withColumn("candidate_rank", F.row_number().over(w))
 
 
-def selected_value(rows: DataFrame, field: str) -> DataFrame:
-    """case_id, note_id, the value of field with most confidence (ties: greatest id), and alternatives (sorted, piped) where values conflict."""
-    g = rows.filter(F.col(field).isNotNull()).groupBy("case_id", "note_id").agg(
-        F.max_by(field, F.struct(F.coalesce("confidence", F.lit(0.0)), "sample_id")).alias("value"), F.array_sort(F.collect_set(F.col(field).cast("string"))).alias("all"), F.count("*").alias("mentions")
-    )
-    return g.select("case_id", "note_id", F.lit(field).alias("field"), F.col("value").cast("string").alias("value"), (F.size("all") > 1).alias("conflict"), F.array_join("all", "|").alias("alternatives"), "mentions")
-
-
-def conflicts(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """Conflicting values of all fields of a note, with their risk, what resolves them and whether to review; fields are unpivoted, so there is one shuffle.
-
-    rows: case_id, note_id, sample_id, confidence and the fields."""
-    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v"), F.col(f).cast("double" if f == "size_mm" else "string").cast("string").alias("o")) for f in fields])
-    long = rows.select("case_id", "note_id", "sample_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.inline(each)).filter("v is not null")
-    size = F.col("field") == "size_mm"
-    # the largest size; of others the surest
-    rank = F.struct(F.when(size, F.col("v").try_cast("double")).otherwise(F.col("confidence")).alias("a"), F.when(size, F.col("confidence")).alias("b"), F.when(~size, F.col("v")).alias("c"))
-    g = long.groupBy("case_id", "note_id", "field").agg(F.max_by("v", rank).alias("selected"), F.array_sort(F.collect_set("v")).alias("all"), F.array_sort(F.collect_set("sample_id")).alias("mentions"))
-    g = g.filter(F.size("all") > 1)
-    r = conflict_risk(F.col("field"), F.size("all"), F.size("mentions"))
-    return g.select("case_id", "note_id", "field", "selected", F.array_join("all", "|").alias("alternatives"), F.array_join("mentions", "|").alias("source_mentions"), F.size("all").alias("n_alternatives"), r.alias("r")).select("*", "r.*").drop("r")
+def _usable(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """Fields unpivoted: case_id, note_id, mention, sample_id, confidence, place (order of mentions), field, v, number; without null, empty and unclear values.
+
+    A mention is named by mention_id if there is one, else by sample_id; its order is ordinal, else sample_id."""
+    have = set(rows.columns)
+    mention = F.coalesce(F.nullif(F.col("mention_id"), F.lit("")), F.col("sample_id")) if "mention_id" in have else F.col("sample_id")
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v"), F.col(f).try_cast("double").alias("number")) for f in fields])
+    long = rows.select("case_id", "note_id", mention.alias("mention"), "sample_id", F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"), F.col("ordinal" if "ordinal" in have else "sample_id").alias("place"), F.inline(each))
+    return long.filter(F.col("v").isNotNull() & ~F.col("v").isin("", "unclear"))
+
+
+def selected_values(rows: DataFrame, fields: list[str], preferred: DataFrame | None = None) -> DataFrame:
+    """case_id, note_id, field, value, mention, conflict, alternatives (sorted, piped), source_mentions (sorted, piped), mentions (how many), all.
+
+    The preferred mention's value counts, if it has one (of several rows of that mention the surest); else the largest size (0 is none), and of other fields the
+    surest value, the greatest text of equals. preferred: case_id, note_id, preferred, one row a note. rows: case_id, note_id, sample_id, confidence, the fields,
+    and, if there, mention_id and ordinal. All fields are in one shuffle."""
+    long = _usable(rows, fields)
+    if preferred is not None:
+        of = preferred.select(F.col("case_id").alias("p_case"), F.col("note_id").alias("p_note"), F.nullif(F.col("preferred"), F.lit("")).alias("preferred"))
+        long = long.join(of, F.col("case_id").eqNullSafe(F.col("p_case")) & F.col("note_id").eqNullSafe(F.col("p_note")), "left").drop("p_case", "p_note")
+    else:
+        long = long.withColumn("preferred", F.lit(None).cast("string"))
+    liked, size, sure = F.coalesce(F.col("mention") == F.col("preferred"), F.lit(False)), F.col("field") == "size_mm", F.col("confidence")
+    large = F.coalesce(F.nullif(F.col("number"), F.lit(0.0)), F.lit(-1.0))
+    ranked = long.withColumns({"r_a": liked, "r_b": F.when(~liked & size, large).otherwise(sure), "r_c": F.when(~liked & size, sure), "r_d": F.when(~liked & ~size, F.col("v"))})
+    # of equals the first mention: the others' order is turned round by rank
+    best = F.struct("r_a", "r_b", "r_c", "r_d")
+    groups = ["case_id", "note_id", "field"]
+    first = ranked.groupBy(*groups, "r_a", "r_b", "r_c", "r_d").agg(F.min_by(F.struct("v", "mention"), "place").alias("x"), F.collect_set("v").alias("vs"), F.collect_list("mention").alias("ms"), F.collect_set("sample_id").alias("ss"))
+    g = first.groupBy(*groups).agg(F.max_by("x", best).alias("x"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("vs")))).alias("all"), F.array_sort(F.flatten(F.collect_list("ms"))).alias("ms"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ss")))).alias("samples"))
+    return g.select(
+        *groups, F.col("x.v").alias("value"), F.col("x.mention").alias("mention"), (F.size("all") > 1).alias("conflict"), F.array_join("all", "|").alias("alternatives"), F.array_join("ms", "|").alias("source_mentions"), F.size("ms").cast("long").alias("mentions"), "all", "samples",
+    )
+
+
+def conflicts(rows: DataFrame, fields: list[str], preferred: DataFrame | None = None) -> DataFrame:
+    """Conflicting values of all fields of a note, the selected one (selected_values), their risk, what resolves them and whether to review."""
+    g = selected_values(rows, fields, preferred).filter("conflict")
+    r = conflict_risk(F.col("field"), F.size("all"), F.size("samples"))
+    return g.select("case_id", "note_id", "field", F.col("value").alias("selected"), "alternatives", F.array_join("samples", "|").alias("source_mentions"), F.size("all").alias("n_alternatives"), r.alias("r")).select("*", "r.*").drop("r")
 
 
 def conflict_risk(field: Column, alternatives: Column, mentions: Column) -> Column:

@@ -26,9 +26,39 @@ def load_schemas(spark: SparkSession, folder: str) -> dict[str, dict]:
     return out
 
 
+#: Keywords with a meaning here: those whose values are schemas by name, lists of schemas, schemas, or none of these; and annotations, which have none.
+_NAMED = {"properties", "$defs", "definitions"}
+_LISTS = {"allOf", "anyOf", "oneOf"}
+_SCHEMAS = {"items", "not", "if", "then", "else", "additionalProperties"}
+_PLAIN = {"$ref", "type", "enum", "const", "pattern", "minLength", "maxLength", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minItems", "maxItems", "uniqueItems", "required"}
+_NOTES = {"$schema", "$id", "$comment", "title", "description", "format", "default", "examples", "deprecated", "readOnly", "writeOnly"}
+
+
+def refuse_unknown(schema: dict | bool, at: str = "#") -> None:
+    """An error for a keyword that would be ignored, wherever it stands in the schema."""
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at} is no schema")
+    if unknown := sorted(set(schema) - _NAMED - _LISTS - _SCHEMAS - _PLAIN - _NOTES):
+        raise ValueError(f"keywords {unknown} at {at} are not supported")
+    for k in _NAMED & set(schema):
+        for name, sub in schema[k].items():
+            refuse_unknown(sub, f"{at}/{k}/{name}")
+    for k in _LISTS & set(schema):
+        for i, sub in enumerate(schema[k]):
+            refuse_unknown(sub, f"{at}/{k}/{i}")
+    for k in _SCHEMAS & set(schema):
+        refuse_unknown(schema[k], f"{at}/{k}")
+    if isinstance(schema.get("additionalProperties"), dict):
+        raise ValueError(f"additionalProperties at {at} can only be true or false")
+
+
 class Compiler:
     def __init__(self, schema: dict, store: dict[str, dict] | None = None):
         self.root, self.store = schema, store or {}
+        for s in [schema, *self.store.values()]:
+            refuse_unknown(s)
 
     def _resolved(self, schema: dict, root: dict) -> tuple[dict, dict]:
         while "$ref" in schema:
@@ -59,13 +89,17 @@ class Compiler:
                 out.append(self._said(path, there & ~value.rlike(schema["pattern"]), F.concat(shown, F.lit(f" does not match {schema['pattern']!r}"))))
             if "minLength" in schema:
                 out.append(self._said(path, F.length(value) < schema["minLength"], F.concat(shown, F.lit(" should be non-empty" if schema["minLength"] == 1 else " is too short"))))
+            if "maxLength" in schema:
+                out.append(self._said(path, F.length(value) > schema["maxLength"], F.concat(shown, F.lit(" is too long"))))
         if isinstance(kind, S.NumericType):
-            for name, broken, words in (("minimum", lambda v: value < v, "less than the minimum of"), ("maximum", lambda v: value > v, "greater than the maximum of"), ("exclusiveMinimum", lambda v: value <= v, "less than or equal to the minimum of")):
+            for name, broken, words in (("minimum", lambda v: value < v, "less than the minimum of"), ("maximum", lambda v: value > v, "greater than the maximum of"), ("exclusiveMinimum", lambda v: value <= v, "less than or equal to the minimum of"), ("exclusiveMaximum", lambda v: value >= v, "greater than or equal to the maximum of"), ("multipleOf", lambda v: F.pmod(value, F.lit(v)) != 0, "not a multiple of")):
                 if name in schema:
                     out.append(self._said(path, broken(schema[name]), F.concat(shown, F.lit(f" is {words} {schema[name]}"))))
         if isinstance(kind, S.ArrayType):
             if "minItems" in schema:
                 out.append(self._said(path, there & (F.size(value) < schema["minItems"]), F.lit("[] should be non-empty" if schema["minItems"] == 1 else "is too short")))
+            if "maxItems" in schema:
+                out.append(self._said(path, there & (F.size(value) > schema["maxItems"]), F.lit("is too long")))
             if schema.get("uniqueItems"):
                 out.append(self._said(path, F.size(F.array_distinct(value)) < F.size(value), F.lit("has non-unique elements")))
             if "items" in schema:

@@ -569,10 +569,18 @@ def candidate_rank(spark, sf):
     return adapter.ranked_candidates(_candidates(spark, sf)).select("sample_id", "candidate_rank")
 
 
-@query(f"""WITH {_CAND}, g AS (SELECT case_id, note_id, list_sort(list(DISTINCT density)) AS a, count(*) AS mentions, arg_max(density, (coalesce(confidence, 0), sample_id)) AS value FROM cand WHERE density IS NOT NULL GROUP BY ALL)
- SELECT case_id, note_id, value, len(a) > 1 AS conflict, array_to_string(a, '|') AS alternatives, mentions FROM g""")
+# a note's preferred mention is its first, of every second case; some densities are unclear or empty
+@query(f"""WITH {_CAND}, x AS (SELECT case_id, note_id, sample_id, ordinal, coalesce(confidence, 0)::DOUBLE AS sure, size_mm, CASE WHEN density IS NULL AND ordinal % 3 = 0 THEN 'unclear' WHEN density IS NULL AND ordinal % 3 = 1 THEN '' ELSE density END AS d,
+  case_id % 2 = 0 AND ordinal = min(ordinal) OVER (PARTITION BY case_id, note_id) AS liked FROM cand),
+ s AS (SELECT *, 'size_mm' AS field, size_mm::VARCHAR AS v, row_number() OVER (PARTITION BY case_id, note_id ORDER BY liked DESC, CASE WHEN size_mm = 0 THEN -1 ELSE size_mm END DESC, sure DESC, ordinal) AS r FROM x WHERE size_mm IS NOT NULL),
+ t AS (SELECT *, 'density_category' AS field, d AS v, row_number() OVER (PARTITION BY case_id, note_id ORDER BY liked DESC, sure DESC, d DESC, ordinal) AS r FROM x WHERE d IN ('solid', 'part_solid', 'ground_glass')), u AS (FROM s UNION ALL FROM t)
+ SELECT case_id, note_id, field, any_value(v) FILTER (WHERE r = 1) AS value, any_value(sample_id) FILTER (WHERE r = 1) AS mention, count(DISTINCT v) > 1 AS conflict, string_agg(DISTINCT v, '|' ORDER BY v) AS alternatives, string_agg(sample_id, '|' ORDER BY sample_id) AS source_mentions, count(*) AS mentions FROM u GROUP BY ALL""")
 def conflict_select(spark, sf):
-    return adapter.selected_value(_candidates(spark, sf), "density").drop("field")
+    c = _candidates(spark, sf)
+    k = F.col("ordinal") % 3
+    rows = c.withColumn("density_category", F.coalesce("density", F.when(k == 0, "unclear").when(k == 1, "")))
+    first = c.filter("case_id % 2 = 0").groupBy("case_id", "note_id").agg(F.min_by("sample_id", "ordinal").alias("preferred"))
+    return adapter.selected_values(rows, ["size_mm", "density_category"], first).drop("all", "samples")
 
 
 @query(f"""WITH {_CAND}, u AS (SELECT case_id, note_id, 'size_mm' AS field, size_mm::VARCHAR AS v, size_mm AS a, coalesce(confidence, 0) AS b, '' AS c, sample_id FROM cand WHERE size_mm IS NOT NULL
