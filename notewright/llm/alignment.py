@@ -9,7 +9,7 @@ Scale. Each text is read and tokenised once, by distinct units (see tokens.py),
 about BLOCK bytes of text sends one row for each distinct id pair, not for each overlap; counts are summed by pair and
 come back to the block by the same rows. The most frequent pair is in each block once. The highest count of a B id is
 broadcast: one row for each id of the vocabulary. Texts and token sequences are not shuffled; a document travels once,
-as the sorted unit numbers of its block.
+as the sorted unit numbers of its block. A worker holds the units of a block, and of earlier ones up to KEPT.
 
 Edge cases. Texts that are null, empty, or of which either tokenizer changes a byte have no tokens: zeros, and the empty
 string for groups. Special tokens' strings are plain text. Rows that repeat an id are rows of their own; a text of any length
@@ -29,8 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .textkit import gathered, raw_texts
-from .tokens import Kept, flattened, numbered, ragged, sums
+from .textkit import gathered, parts, raw_texts
+from .tokens import Kept, flattened, numbered, ragged, sums, union
 
 #: Bytes of text in a block.
 BLOCK = 8 << 20
@@ -67,24 +67,29 @@ class Pair:
         self.shown = [s for i in range(len(entry)) for s in (b"%d," % i, b"%d|" % i)] + [s for i in range(self.n_b) for s in (b"%d," % i, b"%d;" % i)]
         self.kept = Kept(self.made)
 
-    def ids(self, new: list[bytes]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-        """Ids of both of units that begin with white space, and whether both give the unit's bytes (else there are no ids)."""
+    def ids(self, new: list[bytes]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray]:
+        """Ids of both of units that begin with white space, each as one array and lengths, and whether both give the unit's bytes (else there are no ids)."""
         text = [u.decode() for u in new]
         a = [e.ids for e in self.a.encode_batch_fast(text, add_special_tokens=False)]
         b = self.b.encode([t[1:] if t[0] == " " else t for t in text], num_threads=1)
         # the model puts a space in front, which only a unit with a line end there lacks
         b = [ids if t[0] == " " else ids[1:] if ids[:1] == [self.space] else [] for t, ids in zip(text, b, strict=True)]
-        ok = np.ones(len(new), bool)
-        for i, u in enumerate(new):
-            if b"".join(map(self.bytes_a.__getitem__, a[i])) != u or b"".join(map(self.bytes_b.__getitem__, b[i])) != u:
-                ok[i], a[i], b[i] = False, [], []
-        return a, b, ok
+        ok, size = np.ones(len(new), bool), np.fromiter(map(len, new), np.int64, len(new))
+        flat = [flattened(a), flattened(b)]
+        for (x, n), given, length in zip(flat, (self.bytes_a, self.bytes_b), (self.len_a, self.len_b), strict=True):
+            ok &= sums(length[x], np.append(0, np.cumsum(n))) == size
+            if ok.all() and b"".join(map(given.__getitem__, x.tolist())) != b"".join(new):
+                ok[:] = False
+        if not ok.all():  # look at each
+            for i, u in enumerate(new):
+                ok[i] = b"".join(map(self.bytes_a.__getitem__, a[i])) == u == b"".join(map(self.bytes_b.__getitem__, b[i]))
+            flat = [flattened([ids if good else [] for ids, good in zip(side, ok.tolist(), strict=True)]) for side in (a, b)]
+        return *flat, ok
 
     def made(self, new: list[bytes]):
-        a, b, ok = self.ids(new)
-        (a, n_a), (b, n_b) = flattened(a), flattened(b)
+        (a, n_a), (b, n_b), ok = self.ids(new)
         end_a, end_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
-        ends = np.union1d(end_a, end_b)
+        ends = union(end_a, end_b)
         own_a, own_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
         both = (end_a[own_a] == ends) & (end_b[own_b] == ends)
         closed = ends[both]
@@ -132,7 +137,8 @@ class _Block:
         number = np.concatenate([d[3] for d in self.docs])
         own, index, n = np.unique(number, return_inverse=True, return_counts=True)
         at = np.append(0, np.cumsum([len(d[3]) for d in self.docs]))
-        lists = [np.diff(index[x:y], prepend=0) for x, y in zip(at, at[1:], strict=False)]
+        deltas = np.diff(index, prepend=0)
+        deltas[at[:-1][at[:-1] < len(index)]] = index[at[:-1][at[:-1] < len(index)]]
         codes, links, length = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         counts = codes
         if len(own):
@@ -140,12 +146,12 @@ class _Block:
             codes, links = np.unique(kept.flat["links"][ragged(kept.start["links"][own], length)], return_inverse=True)
             counts = np.bincount(links, weights=np.repeat(n, length)).astype(np.int64)
         none = [None] * len(self.docs)
-        of = lambda x, t: pa.array([*none, x.tolist()], pa.list_(t))
+        of = lambda x, t: pa.ListArray.from_arrays(pa.array([0] * (len(none) + 1) + [len(x)], pa.int32()), pa.array(x, t))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([blk] * (len(self.docs) + 1), pa.int64()), pa.array([False] * len(self.docs) + [True]), pa.array([*[d[0] for d in self.docs], None], kind),
                 *[pa.array([*[d[1][i] for d in self.docs], None], pa.int64()) for i in range(len(_FACTS))], pa.array([*[d[2] for d in self.docs], None], pa.string()),
-                pa.array([*lists, None], pa.list_(pa.int32())), of(codes, pa.int64()), of(counts, pa.int64()), of(links, pa.int32()), of(length, pa.int32()),
+                pa.ListArray.from_arrays(pa.array(np.append(at, at[-1]), pa.int32()), pa.array(deltas, pa.int32())), of(codes, pa.int64()), of(counts, pa.int64()), of(links, pa.int32()), of(length, pa.int32()),
             ],
             names=["blk", "whole", "doc_id", *_FACTS, "groups_sha256", "units", "codes", "counts", "links", "lengths"],
         )
@@ -155,7 +161,7 @@ def _aligned(byte_level: str, pieces: str, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, task, made = pair(byte_level, pieces), TaskContext.get().partitionId(), 0
         now = _Block(both)
-        for batch in batches:
+        for batch in parts(batches):
             raw, kind = raw_texts(batch.column(1)), batch.schema.field(0).type
             ids = batch.column(0).to_pylist()
             for a, b in gathered(raw):
@@ -229,7 +235,7 @@ def token_groups(docs: DataFrame, *, byte_level: str, pieces: str, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair(byte_level, pieces)
-        for batch in batches:
+        for batch in parts(batches):
             out = []
             for raw in raw_texts(batch.column(1)):
                 both.kept.trim()

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .textkit import gathered, raw_texts
+from .textkit import gathered, parts, raw_texts
 from .tokens import ragged
 
 BILLION = 1_000_000_000
@@ -68,7 +68,7 @@ def _terms(raw: list[bytes]) -> tuple[np.ndarray, pa.BinaryArray, np.ndarray]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, occurrences, documents); with the term '' for the group itself."""
-    for batch in batches:
+    for batch in parts(batches, 5000):
         raw = raw_texts(batch.column(2))
         langs, sources = (np.asarray(c.dictionary_encode().indices) for c in batch.columns[:2])
         groups, group = np.unique(langs.astype(np.int64) << 32 | sources, return_inverse=True)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import gathered, raw_texts
+from .textkit import gathered, parts, raw_texts
 from .tokens import Kept, flattened, numbered, ragged
 
 LENGTH, SEGMENTS, END = 2048, 1024, 1
@@ -193,7 +193,7 @@ def _packed(tokenizer: str, length: int, segments: int, loss: int, pool: int, di
             return pa.RecordBatch.from_arrays([pa.array(doc, kind), *longs, shown], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
         kind = None
-        for batch in batches:
+        for batch in parts(batches):
             kind, doc = batch.schema.field(0).type, batch.column(0).to_pylist()
             raw, prompt = raw_texts(batch.column(1)), raw_texts(batch.column(2))
             for a, b in gathered([x + y for x, y in zip(prompt, raw, strict=True)]):

@@ -8,7 +8,9 @@ whatever their number, and what was made of a unit is kept for the worker's next
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,11 @@ import pyarrow as pa
 #: Bytes of one text that are cut into units at a time.
 CHUNK = 4 << 20
 #: Units that a worker keeps from one block to the next.
-KEPT = 300_000
+KEPT = 200_000
+#: New units that are tokenised at a time.
+AT_ONCE = 20_000
+# Spark runs a task on each core; a tokenizer's own threads would only wait for each other
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _CUT = np.zeros(256, bool)
 _CUT[[0x0A, 0x20]] = True
@@ -63,8 +69,10 @@ def units(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     np.cumsum([len(x) for x in parts], out=edge[1:])
     if not data:
         return np.zeros(0, np.int32), np.zeros(len(parts) + 1, np.int64), []
-    inner = cuts(np.frombuffer(data, np.uint8))
-    start = np.union1d(inner, edge[:-1][edge[:-1] < len(data)])
+    begins = np.zeros(len(data) + 1, bool)
+    begins[cuts(np.frombuffer(data, np.uint8))] = True
+    begins[edge] = True
+    start = np.flatnonzero(begins[:-1])
     offsets = np.append(start, len(data)).astype(np.int32)
     array = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
     return np.asarray(array.indices), np.searchsorted(start, edge), array.dictionary.to_pylist()
@@ -101,10 +109,10 @@ class Kept:
     def numbers(self, distinct: list[bytes]) -> np.ndarray:
         """Each unit's index in the arrays, to which new units are added."""
         new = [u for u in distinct if u not in self.at]
-        if new:
-            columns, lists = self.make(new)
-            for u in new:
-                self.at[u] = len(self.at)
+        for i in range(0, len(new), AT_ONCE):
+            some = new[i : i + AT_ONCE]
+            columns, lists = self.make(some)
+            self.at.update(zip(some, range(len(self.at), len(self.at) + len(some)), strict=True))
             join = lambda old, x: x if old is None else np.concatenate((old, x))
             for k, x in columns.items():
                 self.columns[k] = join(self.columns.get(k), x)
@@ -118,7 +126,14 @@ class Kept:
 def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Lists of numbers as one array and their lengths."""
     length = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((x for ids in lists for x in ids), np.int64, int(length.sum())), length
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(length.sum())), length
+
+
+def union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """np.union1d of two arrays in order, by merging them."""
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    return both[np.append(True, both[1:] != both[:-1])] if len(both) else both
 
 
 def numbered(kept: Kept, texts: list[bytes]) -> list[np.ndarray]:
