@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import workdir
+from .features import DampedCounts
 from .metrics import summary, temperature
 
 VOCABULARY = 10_000
@@ -21,16 +26,31 @@ def balanced(rows: DataFrame, label: str) -> DataFrame:
     return rows.join(c, F.col(label).eqNullSafe(F.col("b_label"))).drop("b_label")
 
 
-def tfidf_classifier(train: DataFrame, text: str, label: str, *, kind: str = "logistic", vocabulary: int = VOCABULARY, weight: str | None = "weight", iterations: int = 50) -> PipelineModel:
-    """Word and word-pair frequencies, weighted by rarity, normalised; then a logistic regression or linear SVMs, one against the rest."""
-    words = RegexTokenizer(inputCol=text, outputCol="m_words", pattern=r"\W+", minTokenLength=2)
-    pairs = NGram(n=2, inputCol="m_words", outputCol="m_pairs")
-    counts = [CountVectorizer(inputCol=f"m_{k}", outputCol=f"m_{k}_n", vocabSize=vocabulary // 2) for k in ("words", "pairs")]
-    rest = [VectorAssembler(inputCols=["m_words_n", "m_pairs_n"], outputCol="m_n"), IDF(inputCol="m_n", outputCol="m_idf"), Normalizer(inputCol="m_idf", outputCol="features")]
-    index = StringIndexer(inputCol=label, outputCol="m_label", handleInvalid="keep", stringOrderType="alphabetAsc")
+def _text_stages(text: str, vocabulary: int, pairs: bool, damped: bool) -> list:
+    """From words, and word pairs, to normalised weights by rarity in the column features; the vocabulary's parts are equal."""
+    stages = [RegexTokenizer(inputCol=text, outputCol="m_words", pattern=r"\W+", minTokenLength=2)]
+    kinds = ("words", "pairs") if pairs else ("words",)
+    stages += [NGram(n=2, inputCol="m_words", outputCol="m_pairs")] if pairs else []
+    stages += [CountVectorizer(inputCol=f"m_{k}", outputCol=f"m_{k}_n", vocabSize=vocabulary // len(kinds)) for k in kinds]
+    stages += [VectorAssembler(inputCols=[f"m_{k}_n" for k in kinds], outputCol="m_n")]
+    stages += [DampedCounts(inputCol="m_n", outputCol="m_tf")] if damped else []
+    return [*stages, IDF(inputCol="m_tf" if damped else "m_n", outputCol="m_idf"), Normalizer(inputCol="m_idf", outputCol="features")]
+
+
+def _solver(kind: str, weight: str | None, iterations: int, reg: float):
     used = {"weightCol": weight} if weight else {}
-    model = LogisticRegression(labelCol="m_label", maxIter=iterations, regParam=0.001, **used) if kind == "logistic" else OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=0.001), labelCol="m_label", **used)
-    return Pipeline(stages=[words, pairs, *counts, *rest, index, model]).fit(train.withColumn(text, F.coalesce(text, F.lit(""))))
+    if kind == "logistic":
+        return LogisticRegression(labelCol="m_label", maxIter=iterations, regParam=reg, **used)
+    if kind == "svm":
+        return OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=reg), labelCol="m_label", **used)
+    raise ValueError(f"no solver {kind}")
+
+
+def tfidf_classifier(train: DataFrame, text: str, label: str, *, kind: str = "logistic", vocabulary: int = VOCABULARY, weight: str | None = "weight", iterations: int = 50, reg: float = 0.001, pairs: bool = True, damped: bool = False) -> PipelineModel:
+    """Word and word-pair frequencies (damped: 1 + ln of them), weighted by rarity, normalised; then a logistic regression or linear SVMs, one against the rest."""
+    index = StringIndexer(inputCol=label, outputCol="m_label", handleInvalid="keep", stringOrderType="alphabetAsc")
+    stages = [*_text_stages(text, vocabulary, pairs, damped), index, _solver(kind, weight, iterations, reg)]
+    return Pipeline(stages=stages).fit(train.withColumn(text, F.coalesce(text, F.lit(""))))
 
 
 def mlp_classifier(train: DataFrame, text: str, label: str, *, vocabulary: int = VOCABULARY, hidden: int = 64, iterations: int = 50) -> PipelineModel:
@@ -76,13 +96,46 @@ def experiment(train: DataFrame, test: DataFrame, text: str, label: str, labels:
     return scores.withColumns({f"s_{k}": F.lit(str(v)) for k, v in settings.items()})
 
 
-def sweep(train: DataFrame, test: DataFrame, text: str, label: str, labels: list[str], grid: list[dict]) -> DataFrame:
-    """A row for each setting of the grid; the grid is a short list, and each setting is a fit of its own."""
-    out = None
+#: Settings that decide features; the others decide a fit.
+FEATURES = ("vocabulary", "pairs", "damped")
+
+
+def sweep(train: DataFrame, test: DataFrame, text: str, label: str, labels: list[str], grid: list[dict], *, folder: str | None = None, parallel: int = 4) -> DataFrame:
+    """A row for each setting of the grid, as experiment() gives it, in order.
+
+    Features are made once for each distinct choice of FEATURES and written to folder (the shared one, if not given); the fits of the grid read
+    them side by side, each from a thread of its own in a scheduler pool of its own, so that small fits fill the cluster together."""
+    spark = train.sparkSession
+    folder = folder or workdir(spark)
+    index = StringIndexer(inputCol=label, outputCol="m_label", handleInvalid="keep", stringOrderType="alphabetAsc")
+    made: dict[tuple, tuple] = {}
     for settings in grid:
-        one = experiment(train, test, text, label, labels, **settings)
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    return out
+        key = tuple((k, settings[k]) for k in FEATURES if k in settings)
+        if key in made:
+            continue
+        chosen = {"vocabulary": VOCABULARY, "pairs": True, "damped": False} | dict(key)
+        rows = balanced(train, label).withColumn(text, F.coalesce(text, F.lit("")))
+        model = Pipeline(stages=[*_text_stages(text, **chosen), index]).fit(rows)
+        blind = PipelineModel(model.stages[:-1])
+        at = f"{folder}/features-{len(made)}-{uuid.uuid4().hex}"
+        model.transform(rows).select("features", "m_label", "weight").write.parquet(f"{at}/train")
+        blind.transform(test.withColumn(text, F.coalesce(text, F.lit("")))).select("features", F.col(label).alias("y")).write.parquet(f"{at}/test")
+        made[key] = at, model.stages[-1].labels
+
+    def fit(i: int) -> dict:
+        settings = grid[i]
+        at, names = made[tuple((k, settings[k]) for k in FEATURES if k in settings)]
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"sweep-{i}")
+        rest = {"kind": "logistic", "weight": "weight", "iterations": 50, "reg": 0.001} | {k: v for k, v in settings.items() if k not in FEATURES}
+        model = _solver(**rest).fit(spark.read.parquet(f"{at}/train"))
+        said = F.try_element_at(F.array(*[F.lit(x) for x in names]), F.col("prediction").cast("int") + 1)
+        return summary(model.transform(spark.read.parquet(f"{at}/test")).withColumn("said", said), "y", "said", labels).first().asDict()
+
+    with ThreadPool(min(parallel, len(grid))) as pool:
+        scores = pool.map(fit, range(len(grid)))
+    names = list(dict.fromkeys(k for s in grid for k in s))
+    rows = [(*[r[c] for c in ("accuracy", "macro_f1", "weighted_f1")], *[str(s[k]) if k in s else None for k in names]) for r, s in zip(scores, grid, strict=True)]
+    return spark.createDataFrame(rows, "accuracy double, macro_f1 double, weighted_f1 double" + "".join(f", s_{k} string" for k in names))
 
 
 def predicted(model: PipelineModel, rows: DataFrame, text: str) -> DataFrame:

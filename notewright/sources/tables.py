@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import json
 import re
-import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import archive
+
 NOTE_SCHEMA = "note_id string, subject_id long, hadm_id long, note_type string, note_seq long, charttime string, storetime string, text string"
 DETAIL_SCHEMA = "note_id string, subject_id long, field_name string, field_value string, field_ordinal long"
 PATIENT_COLUMNS = ["subject_id", "gender", "anchor_age", "anchor_year", "anchor_year_group", "dod"]
@@ -112,15 +113,11 @@ def read_split(spark: SparkSession, folder: str, splits: list[str], schema: str
     return with_file_key(df, r"^(.*)\.jsonl$", ["source_split"])
 
 
-def read_zip_member(spark: SparkSession, zip_path: str, name: str, to: str, schema: str | T.StructType, columns: list[str] | None = None) -> DataFrame:
-    """The member of that file name with the shortest path, unpacked to the folder to, which all executors must see."""
-    with zipfile.ZipFile(zip_path) as z:
-        found = sorted((m for m in z.namelist() if m.rsplit("/", 1)[-1] == name), key=lambda m: (len(m), m))
-        if not found:
-            raise FileNotFoundError(name)
-        target = Path(to) / name
-        target.write_bytes(z.read(found[0]))
-    df = read_csv(spark, str(target), schema)
+def read_zip_member(spark: SparkSession, zip_path: str, name: str, to: str | None, schema: str | T.StructType, columns: list[str] | None = None) -> DataFrame:
+    """The member of that file name with the shortest path, read on executors (see archive.py); nothing is unpacked, to is not used any more."""
+    for path in archive.archives(zip_path):
+        archive.parts_of(path, name, 0)
+    df = archive.read_member(spark, zip_path, name, schema)
     return df.select(*columns) if columns else df
 
 
@@ -146,12 +143,19 @@ def write_csv_union(parts: list[DataFrame], path: str) -> None:
     write_csv(out, path)
 
 
+def observed(df: DataFrame, write: Callable[[DataFrame], None], **metrics: Column) -> dict:
+    """Writes df and returns metrics of what was written, gathered by the writing tasks that count in the end (one retried counts once); no row is read again."""
+    seen = Observation()
+    write(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]))
+    return seen.get
+
+
 def write_probabilities(df: DataFrame, path: str, *, split: str, source_path: str, truncated: bool = False) -> dict:
-    """sample_id, probability, label of every row as JSON lines; returns the entry of a manifest."""
+    """sample_id, probability, label of every row as JSON lines; returns the entry of a manifest, counted while writing."""
     out = df.select("sample_id", F.col("probability").cast("double").alias("probability"), "label", F.lit(split).alias("split"))
-    write_jsonl(out, path)
-    n = df.sparkSession.read.text(path).count()
-    return {"split": split, "path": path, "source_path": source_path, "rows": n, "truncated": truncated}
+    p = F.col("probability")
+    seen = observed(out, lambda x: write_jsonl(x, path), rows=F.count("*"), missing=F.count_if(p.isNull()), lowest=F.min(p), highest=F.max(p))
+    return {"split": split, "path": path, "source_path": source_path, "truncated": truncated, **seen}
 
 
 def write_gates(df: DataFrame, path: str) -> None:
