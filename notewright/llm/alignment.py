@@ -30,20 +30,13 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 from .textkit import gathered, parts, raw_texts
-from .tokens import Kept, flattened, numbered, ragged, sums, union
+from .tokens import Kept, byte_of_letter, flattened, numbered, ragged, sums, union
 
 #: Bytes of text in a block.
 BLOCK = 8 << 20
 _FACTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
-def _byte_of_letter() -> dict[str, int]:
-    """Byte-level vocabularies write printable bytes as themselves and the others as letters from U+0100 on, in order."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
-
-
 class Pair:
     """Two tokenizers over one text: a byte-level one (tokenizers) and a piece model (sentencepiece) that adds a space in front."""
 
@@ -54,7 +47,7 @@ class Pair:
         self.a = Tokenizer.from_file(byte_level)
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=pieces)
-        letter = _byte_of_letter()
+        letter = byte_of_letter()
         entry = [self.a.id_to_token(i) for i in range(self.a.get_vocab_size())]
         self.bytes_a = [bytes(letter[c] for c in t) if all(c in letter for c in t) else t.encode() for t in entry]
         self.n_b = self.b.get_piece_size()

@@ -19,6 +19,7 @@ own. A null prompt is empty. Other columns are ignored; an empty table gives no
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,29 +30,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textkit import gathered, parts, raw_texts
-from .tokens import Kept, flattened, numbered, ragged
+from .tokens import Kept, byte_of_letter, flattened, letter_cuts, numbered, ragged
 
 LENGTH, SEGMENTS, END = 2048, 1024, 1
+#: Distinct words that a worker keeps.
+WORDS = 500_000
+#: Bytes of text that are tokenised together.
+GATHERED = 6 << 20
 #: Ids of the pool that examples are chosen from.
 POOL = 1 << 20
 
 
+#: Words of letters that the tokenizer only lower-cases: a-z and those of Latin-1.
+_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_PROBES = ("a", "Word", "words", "ÀÉß", "straße", "élan", "x" * 60, "øre", "Tt")
+
+
 class Encoder:
-    """Ids of whole texts by a tokenizer that never joins text over white space."""
+    """Ids of whole texts by a tokenizer that never joins text over white space, nor letters and punctuation.
+
+    The model itself is asked for a word of letters, which spares it the alignment of a text that has nothing to normalise; all else goes through the whole tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), Kept(self.made)
+        self.model = self.tokenizer.model
+        self.letter = str.maketrans({b: c for c, b in byte_of_letter().items()})
+        if any(self.word(w.encode()) != self.tokenizer.encode(w, add_special_tokens=False).ids for w in _PROBES):
+            self.word = lambda u: self.tokenizer.encode(u.decode(), add_special_tokens=False).ids
+
+    def word(self, u: bytes) -> list[int]:
+        u = u.removeprefix(b" ")
+        text = u.decode().lower() if u.isascii() else u.decode().lower().encode().decode("latin-1").translate(self.letter)
+        return [t.id for t in self.model.tokenize(text)]
 
     def made(self, new: list[bytes]):
-        ids, n = flattened([e.ids for e in self.tokenizer.encode_batch_fast([u.decode() for u in new], add_special_tokens=False)])
+        found = [self.word(u) if _WORD.fullmatch(u) else None for u in new]
+        rest = iter(self.tokenizer.encode_batch_fast([u.decode() for u, ids in zip(new, found, strict=True) if ids is None], add_special_tokens=False))
+        ids, n = flattened([next(rest).ids if ids is None else ids for ids in found])
         return {}, {"ids": (ids.astype(np.int32), n)}
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        self.kept.trim()
+        self.kept.trim(WORDS)
+        # white space is dropped, whichever it is; ids of special tokens are those of their strings as they are written
+        texts = [t.replace(b"\n", b" ") if b"<|" in t else t.lower().replace(b"\n", b" ") for t in texts]
         out = []
-        for number in numbered(self.kept, texts):
+        for number in numbered(self.kept, texts, letter_cuts):
             if len(number):
                 kept = self.kept
                 out.append(kept.flat["ids"][ragged(kept.start["ids"][number], kept.length["ids"][number])])
@@ -150,12 +175,13 @@ class Packer:
         while self.waiting:
             now, left, segments, short = [], full.copy(), self.segments, False
             while left[0] and segments:
-                there = self.number > 0
-                if not there.any():
+                k = len(self.pieces)
+                need, there = self.need[:k], self.number[:k] > 0
+                if not self.waiting:
                     short = True
                     break
-                worth = self.need @ (weight * left)
-                fits = there & (self.need <= left).all(1)
+                worth = need @ (weight * left)
+                fits = there & (need[:, 0] <= left[0]) & (need[:, 1] <= left[1])
                 if fits.any():
                     piece = self._take(int(np.argmax(np.where(fits, worth, -1.0))))
                 else:
@@ -181,7 +207,7 @@ class Packer:
         self._clear()
 
 
-def _packed(tokenizer: str, length: int, segments: int, loss: int, pool: int, digest: bool):
+def _packed(tokenizer: str, length: int, segments: int, loss: int, pool: int, digest: bool, with_prompt: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, first, packer = encoder(tokenizer), TaskContext.get().partitionId() << 32, Packer(length, segments, loss)
         end = np.array([END], np.int32)
@@ -193,12 +219,13 @@ def _packed(tokenizer: str, length: int, segments: int, loss: int, pool: int, di
             return pa.RecordBatch.from_arrays([pa.array(doc, kind), *longs, shown], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
         kind = None
-        for batch in parts(batches):
+        for batch in parts(batches, 2000):
             kind, doc = batch.schema.field(0).type, batch.column(0).to_pylist()
-            raw, prompt = raw_texts(batch.column(1)), raw_texts(batch.column(2))
-            for a, b in gathered([x + y for x, y in zip(prompt, raw, strict=True)]):
+            raw = raw_texts(batch.column(1))
+            prompt = raw_texts(batch.column(2)) if with_prompt else []
+            for a, b in gathered([x + y for x, y in zip(prompt, raw, strict=True)] if with_prompt else raw, GATHERED):
                 rows = []
-                for i, before, ids in zip(range(a, b), coder.encode(prompt[a:b]), coder.encode(raw[a:b]), strict=True):
+                for i, before, ids in zip(range(a, b), coder.encode(prompt[a:b]) if with_prompt else [end[:0]] * (b - a), coder.encode(raw[a:b]), strict=True):
                     rows += packer.add(doc[i], np.concatenate((before, ids, end)), len(before))
                 if packer.waiting >= pool:
                     rows += packer.pack(False)
@@ -219,11 +246,11 @@ def pack_examples(
     no id bears loss, its text and an end id."""
     if min(length, segments, length if loss is None else loss) < 1:
         raise ValueError("length, segments and loss must be positive")
-    prompt = F.lit("") if prompt_col is None else F.col(prompt_col)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), prompt.alias("prompt"))
+    prompt = [F.col(prompt_col).alias("prompt")] if prompt_col is not None else []
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *prompt)
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.mapInArrow(
-        _packed(tokenizer, length, segments, length if loss is None else loss, pool, digest),
+        _packed(tokenizer, length, segments, length if loss is None else loss, pool, digest, prompt_col is not None),
         f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids {'long' if digest else 'array<int>'}",
     )
     return out.withColumnRenamed("ids", "ids_crc32") if digest else out

@@ -60,7 +60,26 @@ def chunks(data: bytes, size: int = CHUNK) -> Iterator[bytes]:
     yield data[at:] if at else data
 
 
-def units(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+#: 1 for marks of punctuation, 2 for ASCII letters, more than their sum for all else.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[list(b'.,;:!?()"')] = 1
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = 2
+
+
+def letter_cuts(buf: np.ndarray) -> np.ndarray:
+    """Positions where a unit may begin if words are letters only: those of cuts(), and between an ASCII letter and a mark of punctuation."""
+    kind = _KIND[buf]
+    return np.concatenate((cuts(buf), np.flatnonzero(kind[1:] + kind[:-1] == 3) + 1))
+
+
+def byte_of_letter() -> dict[str, int]:
+    """Byte-level vocabularies write printable bytes as themselves and the others as letters from U+0100 on, in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
+
+
+def units(parts: list[bytes], cut: Callable[[np.ndarray], np.ndarray] = cuts) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """The units of some texts in order, as numbers of distinct units; where each text's begin; the distinct units.
 
     Each text begins a unit; an empty one has none."""
@@ -70,7 +89,7 @@ def units(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     if not data:
         return np.zeros(0, np.int32), np.zeros(len(parts) + 1, np.int64), []
     begins = np.zeros(len(data) + 1, bool)
-    begins[cuts(np.frombuffer(data, np.uint8))] = True
+    begins[cut(np.frombuffer(data, np.uint8))] = True
     begins[edge] = True
     start = np.flatnonzero(begins[:-1])
     offsets = np.append(start, len(data)).astype(np.int32)
@@ -101,9 +120,9 @@ class Kept:
         self.make, self.at = make, {}
         self.columns, self.flat, self.length, self.start = {}, {}, {}, {}
 
-    def trim(self) -> None:
-        """Forget all units if they are more than KEPT; numbers given before are void then."""
-        if len(self.at) > KEPT:
+    def trim(self, most: int | None = None) -> None:
+        """Forget all units if they are more than KEPT (or as given); numbers given before are void then."""
+        if len(self.at) > (KEPT if most is None else most):
             self.__init__(self.make)
 
     def numbers(self, distinct: list[bytes]) -> np.ndarray:
@@ -136,11 +155,11 @@ def union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return both[np.append(True, both[1:] != both[:-1])] if len(both) else both
 
 
-def numbered(kept: Kept, texts: list[bytes]) -> list[np.ndarray]:
+def numbered(kept: Kept, texts: list[bytes], cut: Callable[[np.ndarray], np.ndarray] = cuts) -> list[np.ndarray]:
     """Each text's units, in order, by their index in kept; a single text goes chunk by chunk."""
 
     def of(parts: list[bytes]) -> list[np.ndarray]:
-        index, edge, distinct = units(parts)
+        index, edge, distinct = units(parts, cut)
         number = kept.numbers(distinct)[index] if distinct else np.zeros(0, np.int64)
         return [number[x:y] for x, y in zip(edge, edge[1:], strict=False)]
 
