@@ -1,4 +1,4 @@
 """All queries of the library and their SQL."""
 
-from . import evaluation  # noqa: F401
+from . import evaluation, mechanisms  # noqa: F401
 from .queries import QUERIES, SQL  # noqa: F401
