@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .running import RANGES, limits, running
+from ..session import written
+from .running import RANGES, running
 
 
 def rate(hit: Column, of: Column | None = None) -> Column:
@@ -56,9 +57,9 @@ def percentiles(rows: DataFrame, column: str, shares: dict[str, float], keys: li
     Exact and in two steps: distinct values with their counts, ranked by ranges and within them. No task or
     aggregation state holds all values of a key."""
     keys = list(keys)
-    there = rows.filter(F.col(column).isNotNull())
-    d = there.groupBy(*keys, F.col(column).cast("double").alias("q_v")).agg(F.count("*").alias("q_c"))
-    r = running(d, "q_v", {"q_to": "q_c"}, keys=keys, cuts=limits(there, column, ranges), totals={"q_n": "q_c"})
+    # distinct values are written: what is above runs once, however often they are read
+    d = written(rows.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("q_v")).agg(F.count("*").alias("q_c")), "values")
+    r = running(d, "q_v", {"q_to": "q_c"}, keys=keys, ranges=ranges, totals={"q_n": "q_c"})
     r = r.withColumn("q_from", F.col("q_to") - F.col("q_c"))
     out = []
     for name, share in shares.items():
@@ -72,7 +73,7 @@ def percentiles(rows: DataFrame, column: str, shares: dict[str, float], keys: li
 def score_curve(rows: DataFrame, truth: str, score: str) -> DataFrame:
     """score, p, n, tp, fp counted from the highest score down, and totals pos, neg: one row a distinct score, in ranges of about as many rows."""
     d = rows.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(truth)).alias("p"), F.count_if(~F.col(truth)).alias("n"))
-    return running(d, "score", {"tp": "p", "fp": "n"}, descending=True, cuts=limits(rows, score), totals={"pos": "p", "neg": "n"})
+    return running(written(d, "scores"), "score", {"tp": "p", "fp": "n"}, descending=True, totals={"pos": "p", "neg": "n"})
 
 
 def ranking(rows: DataFrame, truth: str, score: str) -> DataFrame:

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import documents, names
 from ..functions import text as T
-from ..operators import running
+from ..operators import adapter, reports, running, sampling
 from ..session import workdir
 from ..sources import archive, store, tables
+from . import evaluation
 from . import sqltext as S
 from .notes import LINES_SQL, lines, notes
-from .queries import _table, query
+from .queries import SQL, _candidates, _table, query
 
 
 def _at(spark: SparkSession, name: str) -> str:
@@ -183,3 +184,27 @@ def stored_table(spark, sf):
     made = lambda: _table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c")).agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"))
     store.stored(made(), path)
     return tables.unique_by(store.stored(made(), path), "c")
+
+
+# orders and samples
+
+
+@query(f"SELECT case_id, note_id, field, risk, alternatives FROM ({SQL['conflict_risks']}) x ORDER BY CASE risk WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, len(string_split(alternatives, '|')) DESC, case_id, note_id, field LIMIT 20")
+def conflict_examples(spark, sf):
+    """The twenty conflicts to look at first."""
+    found = adapter.conflicts(_candidates(spark, sf).withColumnRenamed("density", "density_category"), ["size_mm", "density_category"])
+    return reports.sorted_conflicts(found).limit(20).select("case_id", "note_id", "field", "risk", "alternatives")
+
+
+@query("SELECT o_orderkey AS k FROM orders ORDER BY md5(concat('42|', o_orderkey::VARCHAR)), o_orderkey LIMIT 100")
+def sampled_rows(spark, sf):
+    return sampling.sampled(_table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")), "k", 100)
+
+
+_RATES = ("positive_rate", *[f"{k}_rate" for k in evaluation._DRIFT_KEYS])
+_APART = " + ".join([*[f"abs(p.{c} - t.{c})" for c in _RATES], *[f"abs(p.{c} - t.{c}) / greatest(abs(t.{c}), 1)" for c in ("chars_mean", "tokens_mean")]])
+
+
+@query(f"WITH p AS ({SQL['drift_profile']}) SELECT p.split, round({_APART}, 5) AS distance FROM p, (SELECT * FROM p WHERE split = 'train') t")
+def drift_distances(spark, sf):
+    return reports.drift_distance(evaluation.drift_profile(spark, sf), "split", "train").select("split", F.round("distance", 5).alias("distance"))

@@ -233,7 +233,8 @@ def abstention_counts(spark, sf):
 
 
 def _bundles(spark, sf):
-    f = _facts(spark, sf)
+    # texts and sections are in the notes: bundles are gathered by subject without them
+    f = _facts(spark, sf).drop("report_text", "sections", "modality", "body_site")
     smoke = bundles.first_per_subject(smoking.smoking_facts(discharge(spark, sf)))
     who = _table(spark, sf, "customer").select(F.col("c_custkey").alias("subject_id"), F.lit(None).cast("int").alias("age"), F.when(F.col("c_custkey") % 2 == 0, "male").otherwise("F").alias("sex"), F.lit(None).cast("string").alias("race"), F.col("c_mktsegment").alias("insurance"), F.lit("customer").alias("source"))
     return bundles.assemble(f, smoke, who)
