@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import documents, names
 from ..functions import text as T
-from ..operators import adapter, reports, running, sampling
+from ..operators import adapter, reports, running, sampling, tasks
 from ..session import workdir
 from ..sources import archive, store, tables
 from . import evaluation
@@ -208,3 +208,69 @@ _APART = " + ".join([*[f"abs(p.{c} - t.{c})" for c in _RATES], *[f"abs(p.{c} - t
 @query(f"WITH p AS ({SQL['drift_profile']}) SELECT p.split, round({_APART}, 5) AS distance FROM p, (SELECT * FROM p WHERE split = 'train') t")
 def drift_distances(spark, sf):
     return reports.drift_distance(evaluation.drift_profile(spark, sf), "split", "train").select("split", F.round("distance", 5).alias("distance"))
+
+
+# tasks
+
+
+_TASK_ROWS = """tr AS (SELECT concat('n', o_custkey) AS note_id, concat('n', o_custkey, '__', o_orderkey) AS sample_id, o_orderkey AS k, CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority END AS mention_text,
+ CASE o_orderkey % 7 WHEN 0 THEN 'Part-Solid' WHEN 1 THEN ' solid ' WHEN 2 THEN 'ggo' WHEN 3 THEN 'calcified' WHEN 4 THEN 'unclear' WHEN 5 THEN 'solid' END AS density_label, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS has_size,
+ CASE o_orderkey % 5 WHEN 0 THEN 'RUL' WHEN 1 THEN 'apex' WHEN 2 THEN 'unclear' WHEN 3 THEN 'lingula' END AS location_label FROM {orders})"""
+
+
+def _task_rows(spark, sf):
+    return spark.sql(f"WITH {_TASK_ROWS} SELECT * FROM tr", orders=_table(spark, sf, "orders"))
+
+
+_TASK_SQL = _TASK_ROWS.format(orders="orders")
+
+
+@query(f"""WITH {_TASK_SQL}, l AS (SELECT sample_id, mention_text, CASE WHEN density_label IN ('solid', 'calcified') THEN density_label ELSE 'unclear' END AS density, CASE WHEN has_size THEN 'has_size' ELSE 'no_size' END AS size,
+  CASE WHEN location_label IN ('RUL', 'lingula', 'unclear') THEN location_label ELSE 'no_location' END AS location FROM tr)
+ SELECT sample_id, coalesce(mention_text, '') AS input, density, CASE density WHEN 'solid' THEN 0 WHEN 'calcified' THEN 3 ELSE 4 END AS density_y, size, CASE size WHEN 'has_size' THEN 1 ELSE 0 END AS size_y, location, CASE location WHEN 'RUL' THEN 0 WHEN 'lingula' THEN 5 WHEN 'unclear' THEN 7 ELSE 8 END AS location_y FROM l""")
+def task_labels(spark, sf):
+    """Label vectors of three tasks, read from a file for each split."""
+    path, rows = _at(spark, "tasks"), _task_rows(spark, sf)
+    out = None
+    for task in ("density", "size", "location"):
+        for i, split in enumerate(tasks.SPLITS):
+            tables.write_jsonl(rows.filter(F.col("k") % 3 == i), f"{path}/{task}_{split}.jsonl")
+        read = tasks.task_splits(spark, path, task, "sample_id string, mention_text string, density_label string, has_size boolean, location_label string")
+        one = read.select("sample_id", "input", F.col("label").alias(task), F.col("y").alias(f"{task}_y"))
+        out = one if out is None else out.join(one.drop("input"), "sample_id")
+    return out
+
+
+@query(f"""WITH {_TASK_SQL}, p AS (SELECT k, (k % 100) / 100.0::DOUBLE AS p FROM tr WHERE k % 2 = 0), x AS (SELECT tr.*, p.p, CASE k % 7 WHEN 0 THEN 'part_solid' WHEN 1 THEN 'solid' WHEN 2 THEN 'ground_glass' WHEN 3 THEN 'calcified' WHEN 4 THEN 'unclear' WHEN 5 THEN 'solid' END AS d FROM tr LEFT JOIN p USING (k))
+ SELECT sample_id, 'size' AS task, CASE WHEN p IS NOT NULL AND p >= 0.4 OR p IS NULL AND coalesce(has_size, false) THEN 'has_size' ELSE 'no_size' END AS predicted_label, CASE WHEN coalesce(has_size, false) THEN 'has_size' ELSE 'no_size' END AS gold_or_constructed_label, CASE WHEN p IS NULL THEN 'constructed_fact_only_no_probability' ELSE 'final_model_probability_file' END AS prediction_source_type, p IS NULL AS model_export_required, p AS probability FROM x
+ UNION ALL SELECT sample_id, 'density_stage1', CASE WHEN d <> 'unclear' THEN 'explicit_density' ELSE 'unclear_or_no_evidence' END, CASE WHEN d <> 'unclear' THEN 'explicit_density' ELSE 'unclear_or_no_evidence' END, 'constructed_fact_not_final_model', true, NULL FROM x
+ UNION ALL SELECT sample_id, 'density_stage2', nullif(d, 'unclear'), d, 'constructed_fact_not_final_model', true, NULL FROM x
+ UNION ALL SELECT sample_id, 'location', CASE WHEN location_label IN ('RUL', 'lingula') THEN location_label END, location_label, 'constructed_fact_not_final_model', true, NULL FROM x""")
+def exported_predictions(spark, sf):
+    rows = _task_rows(spark, sf)
+    p = rows.filter("k % 2 = 0").select("sample_id", F.lit(None).cast("string").alias("label"), ((F.col("k") % 100) / 100.0).alias("probability"))
+    lower = p.withColumn("probability", F.col("probability") - 1)  # another row of the same mention, of less probability
+    out = tasks.exported(rows, "size", "m1", predictions=p.union(lower), threshold=0.4)
+    for task in ("density_stage1", "density_stage2", "location"):
+        out = out.unionByName(tasks.exported(rows, task, "m1"))
+    return out.select("sample_id", "task", "predicted_label", "gold_or_constructed_label", "prediction_source_type", "model_export_required", "probability")
+
+
+@query(f"""WITH {S.MENTIONS} SELECT note_id, k::INT AS k, coalesce(CASE WHEN {S.density('mention')} IN ('solid', 'part_solid', 'ground_glass', 'calcified') THEN {S.density('mention')} END, 'unclear') AS density, CASE WHEN {S.size('mention')} IS NULL THEN 'no_size' ELSE 'has_size' END AS size, coalesce({S.location('mention')}, 'no_location') AS location FROM mf""")
+def rule_predictions(spark, sf):
+    s = notes(spark, sf).select("note_id", T.sections(F.col("text"))["findings"].alias("f")).select("note_id", F.posexplode(T.mentions(F.col("f"))).alias("k", "m"))
+    return s.select("note_id", (F.col("k") + 1).alias("k"), *[tasks.rule_prediction(t, F.col("m")).alias(t) for t in ("density", "size", "location")])
+
+
+@query("""WITH r AS (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'missing_size' WHEN 1 THEN 'None' WHEN 2 THEN '' ELSE 'missing_density' END AS reason, CASE o_orderkey % 3 WHEN 0 THEN ['size', 'density'] WHEN 1 THEN [''] END AS missing FROM orders),
+ t AS (SELECT count(*) FILTER (WHERE reason NOT IN ('None', '')) AS a, count(*) AS n FROM r), c AS (SELECT 'abstention_reason' AS dimension, reason AS label FROM r WHERE reason NOT IN ('None', '') UNION ALL SELECT 'missing_information', coalesce(nullif(m, ''), 'None') FROM (SELECT unnest(missing) AS m FROM r WHERE reason NOT IN ('None', '')))
+ SELECT dimension, label, count(*) AS count, round(count(*) / any_value(a), 9) AS fraction_of_abstentions, round(count(*) / any_value(n), 9) AS fraction_of_total FROM c, t GROUP BY ALL""")
+def abstention_table(spark, sf):
+    k = F.col("o_orderkey")
+    none = F.lit(None).cast("array<string>")
+    rows = _table(spark, sf, "orders").select(
+        F.when(k % 4 == 0, "missing_size").when(k % 4 == 1, "None").when(k % 4 == 2, "").otherwise("missing_density").alias("abstention_reason"),
+        F.when(k % 3 == 0, F.array(F.lit("size"), F.lit("density"))).when(k % 3 == 1, F.array(F.lit(""))).otherwise(none).alias("missing_information"),
+    )
+    out = tasks.abstention_rows(rows)
+    return out.select("dimension", "label", "count", F.round("fraction_of_abstentions", 9).alias("fraction_of_abstentions"), F.round("fraction_of_total", 9).alias("fraction_of_total"))
