@@ -130,7 +130,9 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     salt = F.pmod(F.xxhash64(id_col), F.lit(SALT)).cast("int")
     out = keyed.withColumn("nw_salt", salt).join(hit, (F.col("nw_hash") == F.col("nw_hash2")) & (F.col("nw_salt") == F.col("nw_salt2")), "left")
     ls = F.split(text_col, "\n")
-    left = F.array_join(F.filter(ls, lambda x, i: ~F.array_contains("nw_gone", i)), "\n")
+    # numbers of the lines that stay by a hash set, not by a search for each line
+    stay = lambda xs: F.transform(F.array_except(F.sequence(F.lit(0), F.size(xs) - 1), F.col("nw_gone")), lambda i: F.get(xs, i))
+    left = F.array_join(F.element_at(F.transform(F.array(ls), stay), 1), "\n")
     changed = F.col("nw_gone").isNotNull() & F.col(text_col).isNotNull()
     out = out.withColumn("nw_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(ls)).cast("long"))
     out = out.withColumn("nw_dropped", F.when(changed, F.size("nw_gone")).otherwise(0).cast("long"))

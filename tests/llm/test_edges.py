@@ -119,3 +119,25 @@ def test_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         common.shared_dir(Cluster)
+
+
+def test_lines_are_removed_in_linear_time(spark):
+    """One text of 40,000 recurring lines beside plain ones: what is dropped is found by a set."""
+    many = "\n".join(f"notice of page {i} here" for i in range(40_000))
+    rows = [(0, many)] + [(i, f"{prose(random.Random(i), 40, 9000)}\nnotice of page 7 here") for i in range(1, 15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: (r.nw_lines, r.nw_dropped, r.text) for r in line_dedup(docs).collect()}
+    assert time.time() - start < 60
+    assert got[0] == (40_000, 40_000, "") and all(got[i][1] == 1 and got[i][2] == rows[i][1].split("\n")[0] for i in range(1, 15))
+
+
+def test_a_value_that_half_the_documents_hold(spark):
+    """A common secret and a common term are dealt out; results are those of the plain rule."""
+    rows = [(i, f"token=commonvalue123 page {i} token=own{i:08}x", f"o{i % 9}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secret_scan(docs).select("doc_id", "n_live", "n_example").collect()
+    assert len(got) == 1200 and {(r.n_live, r.n_example) for r in got} == {(1, 1)}
+    people = [(i, f"the report of case {i} {' '.join(f'x{j * 7 + i % 5}' for j in range(20))} the end {'jo@corp.example nickname' + str(i % 3) if i % 40 == 0 else ''}") for i in range(1200)]
+    found = {r.doc_id: r.n_email for r in pii_spans(spark.createDataFrame(people, "doc_id long, text string"), digest=True).collect()}
+    assert len(found) == 1200 and sum(found.values()) == 30
