@@ -9,7 +9,7 @@ beyond the base become spans of kind live; base spans stay either way and carry
 their verdict in n_live and n_example.
 
 Scale. Texts are read once; only candidates travel. A value that a third of the
-corpus holds is counted by partial aggregation and joined with skew handling.
+corpus holds is counted by partial aggregation, and its candidates are dealt to many tasks where they are joined with their counts.
 
 Edge cases. Null text: empty. Null owners or repositories count as none; a value with
 no owner at all is live if it is in few repositories. Rows that repeat an id are rows of their own. Spans are
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import hot_keys, materialise, salted_join
 from .spans import SPAN, SPAN_ARROW, joined_column, key_of, rows_with_spans
 
 KINDS = ("assign", "access", "hex", "live")
@@ -80,7 +80,9 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     one = got.filter("size(base) + size(more) > 0").select("row", "owner", "repo", "no_owner", "no_repo", F.explode(F.concat("base", "more")).alias("x"))
     one = one.select("row", F.when(~F.col("no_owner"), F.col("owner")).alias("owner"), F.when(~F.col("no_repo"), F.col("repo")).alias("repo"), "x", F.col("x.key").alias("key"))
     spread = one.groupBy("key").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos"))
-    judged = one.join(spread, "key").withColumn("live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos))
+    counts = one.groupBy("key").agg(F.count("*").alias("n"))
+    hot = hot_keys(counts, "key", "n", one.count())
+    judged = salted_join(one, spread, "key", hot, F.col("row")).withColumn("live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos))
     span = F.struct(F.col("x.kind").alias("kind"), F.col("x.start").alias("start"), F.col("x.end").alias("end"), "owners", "repos", "live")
     place = F.struct(F.col("x.start").alias("s"), F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("x.kind")).alias("k"), span.alias("x"))
     by_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(place))["x"].alias("found"))
