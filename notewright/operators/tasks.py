@@ -83,7 +83,7 @@ def rule_prediction(task: str, text: Column) -> Column:
     raise ValueError(f"no rules for {task}")
 
 
-#: Columns that a prediction record carries over from its mention, if they are there.
+#: Columns that a prediction record carries over from its mention, if they are there.
 CARRIED = ("subject_id", "mention_text", "source_split", "source_path", "anchor_file", "anchor_source_path", "alignment_key_used", "label_quality")
 
 

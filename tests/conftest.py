@@ -24,3 +24,17 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+#: Modules whose tests run whole queries or fits; `-m "not slow"` leaves them out.
+SLOW = {"test_queries.py", "test_learning.py", "test_evaluation.py"}
+
+
+def pytest_configure(config):
+    config.addinivalue_line("markers", "slow: runs whole queries, fits or corpus operators")
+
+
+def pytest_collection_modifyitems(items):
+    for item in items:
+        if item.path.name in SLOW or item.path.parent.name == "llm":
+            item.add_marker(pytest.mark.slow)

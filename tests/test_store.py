@@ -56,3 +56,26 @@ def test_manifest(spark, tmp_path):
     m = store.write_manifest(parts, str(tmp_path), label="y", seed=3)
     assert m == {"parts": {"train": {"rows": 3, "labelled": 2, "labels": ["x", "y"]}, "test": {"rows": 1, "labelled": 1, "labels": ["y"]}}, "rows": 4, "seed": 3}
     assert json.loads(next((tmp_path / "manifest").glob("part-*")).read_text()) == m
+
+
+def test_written_to_the_shared_folder(spark):
+    """What is written is read back, from spark.checkpoint.dir where that is set; a cluster without one is refused."""
+    import pytest
+
+    from notewright import session
+
+    df = session.written(spark.range(5).select(F.col("id"), F.lit(None).cast("string").alias("s")), "some")
+    assert df.count() == 5 and df.columns == ["id", "s"] and "/some-" in df.inputFiles()[0]
+
+    class Cluster:
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)
+
+        class conf:
+            get = staticmethod(lambda k, d=None: d)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.workdir(Cluster)
+    Cluster.sparkContext.getConf = staticmethod(lambda: {"spark.checkpoint.dir": "store://shared/"})
+    assert session.workdir(Cluster) == "store://shared"
