@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 TRAIN, VAL = 0.70, 0.15
+#: Leading hex digits by which groups are cut for ranks: 65,536 ranges.
+DIGITS = 4
 
 
 def draw(seed: int, *keys: Column) -> Column:
@@ -16,14 +19,12 @@ def draw(seed: int, *keys: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
 
 
-def ranked(rows: DataFrame, by: list[str], key: str, *, seed: int = 42, order: list[Column] | None = None, digits: int | None = None) -> DataFrame:
+def ranked(rows: DataFrame, by: list[str], key: str, *, seed: int = 42, order: list[Column] | None = None, digits: int = DIGITS) -> DataFrame:
     """rows with s_rank, from 1 in each group of by in hash order of key, and s_n, the rows of the group.
 
-    Ranks are counted in two steps, by leading hex digits and within them, so that no task holds a whole group: with the
-    digits that the number of rows asks for (65,536 rows a range, or as given) a group may be all rows."""
+    Ranks are counted in two steps, by leading hex digits and within them, so that no task holds a whole group, though a group may be all rows. The number of
+    digits is the same at every size, so nothing is counted beforehand."""
     h = rows.withColumn("s_h", draw(seed, F.col(key)))
-    if digits is None:
-        digits = max(1, math.ceil(math.log(max(rows.count(), 1) / 65_536, 16)))
     h = h.withColumn("s_b", F.substring("s_h", 1, digits))
     size = h.groupBy(*by, "s_b").agg(F.count("*").alias("s_c"))
     w = Window.partitionBy(*by)
@@ -120,7 +121,8 @@ def recommendation_eval(facts: DataFrame, size: int, *, key: str = "note_id", se
     cue = has(lambda n: F.coalesce(n["recommendation_cue"] != "", F.lit(False)))
     sized = has(lambda n: n["size_mm"].isNotNull())
     kind = F.when(cue, "explicit_cue").when(sized, "rule_derived").otherwise("insufficient_data")
-    rows = facts.select(key, "subject_id", kind.alias("eval_type"), cue.alias("has_recommendation_cue"), sized.alias("has_size"))
+    # narrow rows are written: notes are read for facts once, whatever is asked of the rows afterwards
+    rows = written(facts.select(key, "subject_id", kind.alias("eval_type"), cue.alias("has_recommendation_cue"), sized.alias("has_size")), "evaluated")
     n = {r.eval_type: r["count"] for r in rows.groupBy("eval_type").count().collect()}
     quota = {k: min(n.get(k, 0), size // 3) for k in ("explicit_cue", "rule_derived")}
     quota["insufficient_data"] = min(n.get("insufficient_data", 0), size - sum(quota.values()))
