@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import hot_keys, materialise, salted_join
 from .near_dedup import near_duplicate_groups
 from .spans import joined, key_of
 from .textkit import Words, gathered, parts, raw_texts, signed
@@ -181,8 +181,13 @@ def _disclosing(docs: DataFrame, got: DataFrame, support: int, generalise: float
     terms = texts.join(often.select("text_hash").distinct(), "text_hash", "left_semi").mapInArrow(_terms, "text_hash long, terms array<struct<term:long,start:int,end:int>>")
     terms = materialise(terms.select("text_hash", F.explode("terms").alias("x")).select("text_hash", "x.*"), "terms")
     df = docs.select("text").mapInArrow(_document_frequency, "term long, n long").groupBy("term").agg(F.sum("n").alias("df_t"))
-    df = df.join(terms.select("term").distinct(), "term", "left_semi")
-    near = terms.select("text_hash", "term").distinct().join(df, "term").join(often.filter(F.col("df_e") < total), "text_hash")
+    # a term commoner than this reaches the ratio with no entity, not even in all of the entity's documents
+    most = often.filter(F.col("df_e") < total).agg(F.max("df_e")).first()[0] or 1
+    df = df.filter(F.col("df_t") <= most**generalise * total ** (1 - generalise) * 1.000001)
+    df = materialise(df.join(terms.select("term").distinct(), "term", "left_semi"), "frequency")
+    held = terms.select("text_hash", "term").distinct()
+    hot = hot_keys(df, "term", "df_t", total)
+    near = salted_join(held, df, "term", hot, F.col("text_hash")).join(often.filter(F.col("df_e") < total), "text_hash")
     # even in all documents of the entity a commoner term would not reach the ratio
     ratio = lambda both: 1 - F.log2(both / F.col("df_t")) / F.log2(F.col("df_e") / F.lit(total))
     near = near.filter(ratio(F.least("df_e", "df_t")) >= generalise)
