@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -65,7 +66,9 @@ def test_written_to_the_shared_folder(spark):
     from notewright import session
 
     df = session.written(spark.range(5).select(F.col("id"), F.lit(None).cast("string").alias("s")), "some")
-    assert df.count() == 5 and df.columns == ["id", "s"] and "/some-" in df.inputFiles()[0]
+    at = df.inputFiles()[0]
+    assert df.count() == 5 and df.columns == ["id", "s"] and "/some-" in at and Path(at.removeprefix("file://")).exists()
+    assert session.release(spark) >= 1 and not Path(at.removeprefix("file://")).exists() and session.release(spark) == 0
 
     class Cluster:
         class sparkContext:
