@@ -419,6 +419,22 @@ def test_neighbours_of_repeated_rows(spark):
     assert len(set(np.argsort(d)[:10].tolist()) & {r.vec_id for r in two if r.query_id == 0}) >= 9
 
 
+def test_neighbours_of_queries_unlike_the_rows(spark):
+    """Queries far from all clusters: what clusters need says nothing of them."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 32))[rng.integers(0, 40, 5000)] * 5 + 0.3 * rng.normal(size=(5000, 32))
+    asked = np.arange(0, 5000, 100)
+    x[asked] = rng.normal(size=(50, 32)) * 5
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(5000)], "vec_id long, embedding array<double>")
+    got = nearest_neighbours(df, F.col("vec_id") % 100 == 0).collect()
+    hits = 0
+    for q in asked.tolist():
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert hits >= 0.95 * 10 * len(asked)
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (100, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = sorted(tuple(r) for r in nearest_neighbours(df, F.col("vec_id") % 100 == 0).collect())
