@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,13 +39,18 @@ def ranked(rows: DataFrame, by: list[str], key: str, *, seed: int = 42, order: l
     return out.drop("s_h", "s_b", "s_b2", "s_before", *[f"s_by_{c}" for c in by])
 
 
+def _part(n: Column, share: float) -> Column:
+    """share of n as the decimal that it is written as: 0.7 of 90 is 63, not less."""
+    return n * F.lit(Decimal(str(share)))
+
+
 def subject_split(rows: DataFrame, key: str, *, seed: int = 42, train: float = TRAIN, val: float = VAL) -> DataFrame:
     """key, split: distinct keys in random order, cut at the floors of their shares; with three or more no split is empty."""
     keys = rows.select(key).filter(F.col(key).isNotNull()).distinct()
     r = ranked(keys, [], key, seed=seed)
     n, many = F.col("s_n"), F.col("s_n") >= 3
-    at = F.greatest(F.floor(n * train), F.when(many, 1).otherwise(0))
-    to = at + F.greatest(F.floor(n * val), F.when(many, 1).otherwise(0))
+    at = F.greatest(F.floor(_part(n, train)), F.when(many, 1).otherwise(0))
+    to = at + F.greatest(F.floor(_part(n, val)), F.when(many, 1).otherwise(0))
     to = F.when(many, F.least(to, n - 1)).otherwise(to)
     at = F.when(many, F.least(at, to - 1)).otherwise(at)
     split = F.when(F.col("s_rank") <= at, "train").when(F.col("s_rank") <= to, "val").otherwise("test")
@@ -55,8 +61,8 @@ def label_split(groups: DataFrame, key: str, label: str, *, seed: int = 42, trai
     """key, label, split by label: one group trains, two train and test, more are cut at rounded shares."""
     g = ranked(groups.select(key, label), [label], key, seed=seed)
     n, r = F.col("s_n"), F.col("s_rank")
-    at = F.greatest(F.bround(n * train), F.lit(1))
-    to = F.least(at + F.greatest(F.bround(n * val), F.lit(1)), n - 1)
+    at = F.greatest(F.bround(_part(n, train)), F.lit(1))
+    to = F.least(at + F.greatest(F.bround(_part(n, val)), F.lit(1)), n - 1)
     split = F.when(n == 1, "train").when(n == 2, F.when(r == 1, "train").otherwise("test")).when(r <= F.least(at, to - 1), "train").when(r <= to, "val").otherwise("test")
     return g.select(key, label, split.alias("split"))
 

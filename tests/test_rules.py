@@ -133,6 +133,13 @@ def test_splits(spark):
     assert got == {("a", "train"): 14, ("a", "val"): 3, ("a", "test"): 3, ("b", "train"): 1, ("b", "test"): 1, ("c", "train"): 1}
 
 
+def test_shares_are_decimal(spark):
+    """0.7 * 90 and 0.7 * 45 are a little less than 63 and 31.5 in binary."""
+    rows = spark.range(90).withColumnRenamed("id", "k")
+    assert sampling.subject_split(rows, "k").filter("split = 'train'").count() == 63
+    assert sampling.label_split(rows.filter("k < 45").withColumn("l", F.lit("a")), "k", "l").filter("split = 'train'").count() == 32
+
+
 def test_greedy(spark):
     rows = spark.createDataFrame([(i, i % 3, i % 5) for i in range(30)], "k int, a int, b int")
     got = sampling.greedy_strata(rows, "k", [("zero", F.col("a") == 0, [F.asc("k")]), ("one", F.col("b") == 0, [F.asc("k")])], 3, 10).collect()
