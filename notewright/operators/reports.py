@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cues, text as T
+from ..session import written
 from .audit import filled
 from .metrics import percentiles, rate, seed_summary
 
@@ -132,6 +133,8 @@ def drift_profile(rows: DataFrame, key: str, positive: str, text: str) -> DataFr
     t = F.coalesce(text, F.lit(""))
     chars, words = F.char_length(t).cast("double"), F.regexp_count(t, F.lit(r"\S+")).cast("double")
     x = rows.select(key, F.col(positive).alias("p"), chars.alias("chars"), words.alias("tokens"), *[(f[k] == "yes").alias(k) for k, _ in cues.SIZE_FEATURES])
+    # narrow rows are written: texts are read once, not once more for each percentile
+    x = written(x, "profiled")
     keys = [k for k, _ in cues.SIZE_FEATURES]
     one = x.groupBy(key).agg(
         F.count("*").alias("n"), F.count_if("p").alias("positive"), rate(F.col("p")).alias("positive_rate"), F.avg("chars").alias("chars_mean"), F.avg("tokens").alias("tokens_mean"),

@@ -76,35 +76,47 @@ def _row_matches(density: Column, new: Column, size: Column, component: Column,
     return F.coalesce(hit, F.lit(False))
 
 
-def evaluate(nodules: DataFrame) -> DataFrame:
-    """Adds to rows of nodules: density, category, severity, level, action, interval, modality, anchor, rules, missing, notes.
+KNOWN = ["solid", "part_solid", "ground_glass", "calcified", "fat_containing"]
+#: What spelled() needs of a row that judged() made; all of it is narrow.
+JUDGED = ("size_mm", "density_category", "change_status", "r_density", "r_new", "r_component", "r_row", "r_stable", "r_grown", "r_shrunk", "category", "severity")
 
-    Needs size_mm, density_category, density_text, change_status, change_text, evidence_span, recommendation_cue."""
-    d, known = F.col("density_category"), ["solid", "part_solid", "ground_glass", "calcified", "fat_containing"]
+
+def _pick(k: int) -> Column:
+    return F.try_element_at(F.array(*[F.lit(r[k]) for r in THRESHOLDS]), F.col("r_row"))
+
+
+def judged(nodules: DataFrame) -> DataFrame:
+    """Adds to rows of nodules what their texts and sizes decide: threshold row, modifiers, category, severity."""
+    d, known = F.col("density_category"), KNOWN
     n = nodules.withColumn("r_density", F.when(d.isin(known), d).otherwise("solid")).withColumn("r_new", F.coalesce(F.col("change_status") == "new", F.lit(False)))
     n = n.withColumn("r_component", F.when(F.col("r_density") == "part_solid", T.solid_component(F.col("density_text"), F.col("evidence_span"), F.col("recommendation_cue"))))
     at = F
     for i, row in enumerate(THRESHOLDS):
         at = at.when(_row_matches(F.col("r_density"), F.col("r_new"), F.col("size_mm"), F.col("r_component"), row), F.lit(i + 1))
     n = n.withColumn("r_row", F.when(F.col("size_mm").isNotNull(), at))
-    pick = lambda k: F.try_element_at(F.array(*[F.lit(r[k]) for r in THRESHOLDS]), F.col("r_row"))
-    n = n.withColumn("r_base", pick(5))
+    n = n.withColumn("r_base", _pick(5))
     stable = (F.col("change_status") == "stable") & T.two_years_stable(F.col("change_text"), F.col("evidence_span")) & F.col("r_base").isin("3", "4A")
     grown = (F.col("change_status") == "increased") & F.col("r_base").isin(*STEP_UP)
     n = n.withColumn("r_stable", F.coalesce(stable, F.lit(False))).withColumn("r_grown", F.coalesce(grown, F.lit(False)))
     n = n.withColumn("r_shrunk", F.coalesce((F.col("change_status") == "decreased") & F.col("r_base").isNotNull(), F.lit(False)))
     n = n.withColumn("category", F.when(F.col("r_stable"), "2").when(F.col("r_grown"), lookup(F.col("r_base"), STEP_UP)).otherwise(F.col("r_base")))
+    return n.withColumn("severity", F.coalesce(lookup(F.col("category"), SEVERITY), F.lit(-1)))
+
+
+def spelled(n: DataFrame, keep: list[str]) -> DataFrame:
+    """keep and what is said of judged rows."""
+    d, pick, known = F.col("density_category"), _pick, KNOWN
     action = F.when((F.col("category") == "4A") & F.col("r_new"), "4A+").otherwise(F.col("category"))
     n = n.withColumns({name: lookup(action, {a[0]: a[i] for a in ACTIONS}) for i, name in enumerate(("level", "action", "interval", "modality"), 1)})
     has_size = F.col("size_mm").isNotNull()
     no_part = F.coalesce(pick(4 + 2) == "part_solid_missing_solid_component_conservative_4A", F.lit(False))
     unsure = ~F.coalesce(d.isin(known), F.lit(False))
     return n.select(
-        *nodules.columns,
+        *keep,
         F.col("r_density").alias("density"),
         F.col("r_component").alias("solid_component_mm"),
         "category",
-        F.coalesce(lookup(F.col("category"), SEVERITY), F.lit(-1)).alias("severity"),
+        "severity",
         "level", "action", "interval", "modality",
         pick(7).alias("anchor"),
         F.when(has_size, kept(pick(6), F.when(F.col("r_stable"), "stable_ge_2y_downgrade_to_2"), F.when(F.col("r_grown"), "growth_modifier_upgrade"), F.when(F.col("r_shrunk"), "decrease_modifier_maintain")))
@@ -118,14 +130,23 @@ def evaluate(nodules: DataFrame) -> DataFrame:
     )
 
 
+def evaluate(nodules: DataFrame) -> DataFrame:
+    """Adds to rows of nodules: density, category, severity, level, action, interval, modality, anchor, rules, missing, notes.
+
+    Needs size_mm, density_category, density_text, change_status, change_text, evidence_span, recommendation_cue."""
+    return spelled(judged(nodules), nodules.columns)
+
+
 def recommend(nodules: DataFrame, cases: DataFrame) -> DataFrame:
     """One recommendation per case. nodules: case_id, ordinal and a nodule's fields; cases: case_id and smoking_eligible (null: no smoking facts).
 
-    The dominant nodule is the most severe, then the largest, then the first; it comes from a partial aggregation, not a sort."""
-    e = evaluate(nodules)
+    The dominant nodule is the most severe, then the largest, then the first. Rows are judged and gathered without their
+    texts; only what is dominant is spelled out."""
+    e = judged(nodules)
     best = F.struct("severity", F.coalesce("size_mm", F.lit(-1.0)).alias("s"), (-F.col("ordinal")).alias("o"))
-    fields = ("size_mm", "density", "change_status", "category", "level", "action", "interval", "modality", "anchor", "triggered_rules", "missing_information", "uncertainty_notes")
-    top = e.groupBy("case_id").agg(F.max_by(F.struct(*fields), best).alias("d"), F.count("*").alias("nodule_count"))
+    top = e.groupBy("case_id").agg(F.max_by(F.struct(*JUDGED), best).alias("d"), F.count("*").alias("nodule_count"))
+    top = spelled(top.select("case_id", "nodule_count", "d.*"), ["case_id", "nodule_count", "size_mm", "change_status"])
+    top = top.select("case_id", "nodule_count", F.struct(*[c for c in top.columns if c not in ("case_id", "nodule_count")]).alias("d"))
     out = cases.join(top, "case_id", "left")
     ok = F.col("d.size_mm").isNotNull()
     smoking = F.col("smoking_eligible")

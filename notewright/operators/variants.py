@@ -9,10 +9,19 @@ from ..functions import text as T
 from . import radiology, smoking
 
 
+def _whole(notes: DataFrame, text: str) -> DataFrame:
+    t = F.col(text)
+    return notes.withColumn("found", T.mentions(t)).withColumn("cue", T.cue(t)).withColumn("nodule_count", F.size("found"))
+
+
+def full_text_mentions(notes: DataFrame, text: str = "text") -> DataFrame:
+    """The nodules of full_text_facts, a row each, in the columns of radiology.mention_facts."""
+    return radiology.read_mentions(_whole(notes, text).withColumn("rads", F.lit(None).cast("string")))
+
+
 def full_text_facts(notes: DataFrame, text: str = "text") -> DataFrame:
     """Facts read from the whole report: no sections, no Lung-RADS category, mentions and cue of all of it."""
-    t = F.col(text)
-    staged = notes.withColumn("found", T.mentions(t)).withColumn("cue", T.cue(t)).withColumn("nodule_count", F.size("found"))
+    t, staged = F.col(text), _whole(notes, text)
     none = F.lit(None).cast("string")
     return staged.select(
         *[c for c in notes.columns if c != text], t.alias("report_text"), T.modality(F.col("exam_name")).alias("modality"), T.body_site(F.col("exam_name")).alias("body_site"),

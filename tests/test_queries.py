@@ -126,3 +126,18 @@ def test_streams(spark, tmp_path):
     assert spark.sql("select nodules from facts_out").collect() == facts(df).select("nodules").collect()
     ev = spark.sql("select timestamp'2024-01-01 00:10:00' ts, 'a' event_type, 1.0D value union all select timestamp'2024-01-01 00:20:00', 'a', 2.0D")
     assert [(r.n, r.total) for r in stream.event_windows(ev).collect()] == [(2, 3.0)]
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["graph_vs_flat", "case_subsets", "mismatch_classes", "drift_profile"])
+def test_notes_are_read_once(spark, name):
+    """Mentions are cut before what is written, so no plan of what reads it has their pattern."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "granuloma" not in plan
+
+
+@needs_data
+def test_full_text_mentions_are_read_in_columns(spark):
+    """Patterns of a mention are compiled code over a row's column, not a lambda's."""
+    plan = QUERIES["full_text_variant"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "part\\s*[- ]?solid" in plan and not [x for x in plan.split("lambdafunction")[1:] if "partially" in x.split("explode")[0]]
