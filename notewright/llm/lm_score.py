@@ -19,9 +19,9 @@ What grows. All words and all pairs of words of all training documents count, be
 block of documents sends its distinct words and pairs, in order, in parts by range of hash;
 a part's task adds up all blocks and answers each with the numbers alone, in the same order,
 so a pair costs about seven bytes of shuffle and a pair that no other block has costs none back.
-The spelling is the one thing that is broadcast. Its n-grams are counted in full; where those of ORDER
-bytes are more than ARCS (86,000 in 173 MB of text) the spelling has the longest that are not, at the
-least those of three bytes, of which there are at most 2**24 whatever the corpus.
+The spelling is the one thing that is broadcast. Its n-grams are counted in full. Those of three bytes are
+at most 2**24 whatever the corpus, and with order 3 (op5_lm_score) the model does not depend on their number. A longer
+order is a caller's choice: where its n-grams are more than ARCS (86,000 of four bytes in 173 MB of text), the longest that are not are used.
 
 Edge cases. Null text: empty, only the end is scored. A null doc_id is not held out.
 Without training documents every byte has probability 1/256, the end 1/2, and the base is 0.

@@ -214,6 +214,21 @@ def test_language_model_is_the_automaton(spark, monkeypatch, block, none, arcs,
     assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-9)
 
 
+def test_language_model_query_has_no_switch_by_size(spark, monkeypatch, tmp_path):
+    """op5_lm_score gives the same scores whatever number of n-grams may be broadcast."""
+    import notewright.llm.lm_score as m
+    from notewright.llm.queries import op5_lm_score
+
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 30) + f" new{i}word") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    scores = []
+    for arcs in (m.ARCS, 10):
+        monkeypatch.setattr(m, "ARCS", arcs)
+        scores.append(sorted((r.doc_id, r.score) for r in op5_lm_score(spark, str(tmp_path)).collect()))
+    assert len(scores[0]) == 40 and scores[0] == scores[1]
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables")
 def test_language_model_learns(spark):
     """On texts not learnt from, the model beats word frequencies."""
