@@ -141,22 +141,26 @@ CASE_TAGS = ("solid", "ground_glass", "part_solid", "multiple_nodules", "size_mi
 
 def case_tags(facts: DataFrame, smoking: DataFrame | None = None) -> DataFrame:
     """note_id, subject_id, nodule_count, tags (sorted) of notes with nodules. smoking: subject_id, smoking_status_norm, one row a subject."""
-    any_ = lambda f: F.exists("nodules", f)
-    is_ = lambda c, v: any_(lambda n: F.coalesce(n[c] == v, F.lit(False)))
-    cue = lambda n: F.coalesce(n["recommendation_cue"] != "", F.lit(False))
     rows = facts.filter(F.col("nodule_count") > 0)
     if smoking is None:
         rows = rows.withColumn("s_unknown", F.lit(False))
     else:
         rows = rows.join(smoking.select("subject_id", (F.col("smoking_status_norm") == "unknown").alias("s_unknown")), "subject_id", "left")
+    return rows.select("note_id", "subject_id", "nodule_count", note_tags(F.col("s_unknown")).alias("tags"))
+
+
+def note_tags(smoking_unknown: Column) -> Column:
+    """The tags (sorted) of a note with nodule_count and nodules."""
+    any_ = lambda f: F.exists("nodules", f)
+    is_ = lambda c, v: any_(lambda n: F.coalesce(n[c] == v, F.lit(False)))
+    cue = lambda n: F.coalesce(n["recommendation_cue"] != "", F.lit(False))
     tests = {
         **{d: is_("density_category", d) for d in ("solid", "ground_glass", "part_solid", "calcified")},
-        "multiple_nodules": F.col("nodule_count") > 1, "size_missing": any_(lambda n: n["size_mm"].isNull()), "smoking_unknown": F.coalesce("s_unknown", F.lit(False)),
+        "multiple_nodules": F.col("nodule_count") > 1, "size_missing": any_(lambda n: n["size_mm"].isNull()), "smoking_unknown": F.coalesce(smoking_unknown, F.lit(False)),
         "recommendation_cue_present": any_(cue), "recommendation_cue_absent": any_(lambda n: ~cue(n)), "high_confidence": is_("confidence", "high"), "low_confidence": is_("confidence", "low"),
         "change_present": any_(lambda n: F.coalesce(n["change_status"] != "unclear", F.lit(False))),
     }
-    tags = F.array_sort(F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()])))
-    return rows.select("note_id", "subject_id", "nodule_count", tags.alias("tags"))
+    return F.array_sort(F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()])))
 
 
 def cover_candidates(tagged: DataFrame, tags: tuple[str, ...], keep: int, *, key: str, order: str, seed: int) -> DataFrame:

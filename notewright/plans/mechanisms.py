@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import documents, names
 from ..functions import text as T
 from ..operators import adapter, reports, running, sampling, tasks
+from ..operators.repeats import by_text, dealt, exploded
 from ..session import workdir
 from ..sources import archive, store, tables
 from . import evaluation
@@ -258,8 +259,9 @@ def exported_predictions(spark, sf):
 
 @query(f"""WITH {S.MENTIONS} SELECT note_id, k::INT AS k, coalesce(CASE WHEN {S.density('mention')} IN ('solid', 'part_solid', 'ground_glass', 'calcified') THEN {S.density('mention')} END, 'unclear') AS density, CASE WHEN {S.size('mention')} IS NULL THEN 'no_size' ELSE 'has_size' END AS size, coalesce({S.location('mention')}, 'no_location') AS location FROM mf""")
 def rule_predictions(spark, sf):
-    s = notes(spark, sf).select("note_id", T.sections(F.col("text"))["findings"].alias("f")).select("note_id", F.posexplode(T.mentions(F.col("f"))).alias("k", "m"))
-    return s.select("note_id", (F.col("k") + 1).alias("k"), *[tasks.rule_prediction(t, F.col("m")).alias(t) for t in ("density", "size", "location")])
+    s = by_text(notes(spark, sf).select("note_id", "text"), "text").select("keys", T.sections(F.col("text"))["findings"].alias("f"))
+    s = exploded(s, T.mentions(F.col("f")), "m", ["keys"], "k")
+    return dealt(s.select("keys", (F.col("k") + 1).alias("k"), *[tasks.rule_prediction(t, F.col("m")).alias(t) for t in ("density", "size", "location")]))
 
 
 @query("""WITH r AS (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'missing_size' WHEN 1 THEN 'None' WHEN 2 THEN '' ELSE 'missing_density' END AS reason, CASE o_orderkey % 3 WHEN 0 THEN ['size', 'density'] WHEN 1 THEN [''] END AS missing FROM orders),
