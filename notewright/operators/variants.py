@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import radiology, smoking
+from .cutting import cut
 
 
 def _whole(notes: DataFrame, text: str) -> DataFrame:
@@ -15,8 +16,10 @@ def _whole(notes: DataFrame, text: str) -> DataFrame:
 
 
 def full_text_mentions(notes: DataFrame, text: str = "text") -> DataFrame:
-    """The nodules of full_text_facts, a row each, in the columns of radiology.mention_facts."""
-    return radiology.read_mentions(_whole(notes, text).withColumn("rads", F.lit(None).cast("string")))
+    """The nodules of full_text_facts, a row each, in the columns of radiology.mention_facts; the notes' keys are those that notes has."""
+    keys = [c for c in ("note_id", "subject_id", "exam_name") if c in notes.columns]
+    found = cut(notes.select(*keys, text), (text,), text)
+    return radiology.read_mentions(found.withColumn("nodule_count", F.size("found")).withColumn("rads", F.lit(None).cast("string")))
 
 
 def full_text_facts(notes: DataFrame, text: str = "text") -> DataFrame:
