@@ -21,15 +21,47 @@ def first_per_subject(rows: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     return rows.groupBy("subject_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "subject_id"]), ordinal).alias("r")).select("subject_id", "r.*")
 
 
+def _cued(n) -> Column:
+    return F.coalesce(n["recommendation_cue"] != "", F.lit(False))
+
+
+def _informs(n) -> Column:
+    clear = F.coalesce(n["density_category"] != "unclear", F.lit(False))
+    return n["size_mm"].isNotNull() | clear | _cued(n) | F.coalesce(n["confidence"].isin("medium", "high"), F.lit(False))
+
+
+def _sure(n) -> Column:
+    return F.coalesce(n["confidence"] == "high", F.lit(False)) & n["size_mm"].isNotNull()
+
+
+def _label(signal: Column, sure: Column, cued: Column, smoking_quality: Column) -> Column:
+    silver = sure & cued & F.coalesce(F.lower(smoking_quality).isin(*GOOD_SMOKING), F.lit(False))
+    return F.when(~F.coalesce(signal, F.lit(False)), "unlabeled").when(silver, "silver").otherwise("weak")
+
+
 def label_quality(nodules: Column, smoking_quality: Column) -> Column:
     """unlabeled, silver or weak. nodules: array of nodule structs (null: none); smoking_quality null without smoking facts."""
-    cue = lambda n: F.coalesce(n["recommendation_cue"] != "", F.lit(False))
-    clear = lambda n: F.coalesce(n["density_category"] != "unclear", F.lit(False))
-    informs = lambda n: n["size_mm"].isNotNull() | clear(n) | cue(n) | F.coalesce(n["confidence"].isin("medium", "high"), F.lit(False))
-    sure = lambda n: F.coalesce(n["confidence"] == "high", F.lit(False)) & n["size_mm"].isNotNull()
-    signal = F.coalesce(F.exists(nodules, informs), F.lit(False))
-    silver = F.exists(nodules, sure) & F.exists(nodules, cue) & F.coalesce(F.lower(smoking_quality).isin(*GOOD_SMOKING), F.lit(False))
-    return F.when(~signal, "unlabeled").when(silver, "silver").otherwise("weak")
+    return _label(F.exists(nodules, _informs), F.exists(nodules, _sure), F.exists(nodules, _cued), smoking_quality)
+
+
+def case_id() -> Column:
+    return F.concat(F.lit("CASE-"), F.col("subject_id"), F.lit("-001"))
+
+
+def labelled(mentions: DataFrame, smoking: DataFrame, **more: Column) -> DataFrame:
+    """case_id, label_quality and smoking_eligibility of assemble(), and aggregates of a subject's mentions, of which none is gathered.
+
+    mentions: subject_id and a nodule's fields, a row of nulls for a note without nodules."""
+    n = {k: F.col(k) for k in ("size_mm", "density_category", "confidence", "recommendation_cue")}
+    of = {"signal": F.bool_or(_informs(n)), "sure": F.bool_or(_sure(n)), "cued": F.bool_or(_cued(n))}
+    b = mentions.groupBy("subject_id").agg(*[c.alias(k) for k, c in (of | more).items()]).join(smoking_of(smoking), "subject_id", "left")
+    b = b.withColumn("label_quality", _label(F.col("signal"), F.col("sure"), F.col("cued"), F.col("smoking_eligibility.evidence_quality")))
+    kept = F.when(F.col("label_quality") != "unlabeled", F.col("smoking_eligibility"))
+    return b.select(case_id().alias("case_id"), "label_quality", kept.alias("smoking_eligibility"), *more)
+
+
+def smoking_of(smoking: DataFrame) -> DataFrame:
+    return smoking.select("subject_id", F.struct(*[c for c in smoking.columns if c not in ("subject_id", "ordinal")]).alias("smoking_eligibility"))
 
 
 def assemble(facts: DataFrame, smoking: DataFrame, demographics: DataFrame, *, pipeline_version: str = "0.1.0", data_version: str = "notes-1") -> DataFrame:
@@ -40,9 +72,8 @@ def assemble(facts: DataFrame, smoking: DataFrame, demographics: DataFrame, *, p
     of_note = F.struct("ordinal", F.struct(*[c for c in facts.columns if c not in ("subject_id", "ordinal")]).alias("fact"))
     grouped = facts.groupBy("subject_id").agg(F.array_sort(F.collect_list(of_note)).alias("f"))
     grouped = grouped.select("subject_id", F.transform("f", lambda x: x["fact"]).alias("radiology_facts"))
-    smoke = smoking.select("subject_id", F.struct(*[c for c in smoking.columns if c not in ("subject_id", "ordinal")]).alias("smoking_eligibility"))
     who = demographics.select("subject_id", *[F.col(c).alias(f"d_{c}") for c in ("age", "sex", "race", "insurance", "source")]).withColumn("d_sex", sex(F.col("d_sex")))
-    b = grouped.join(smoke, "subject_id", "left").join(who, "subject_id", "left")
+    b = grouped.join(smoking_of(smoking), "subject_id", "left").join(who, "subject_id", "left")
     b = b.withColumn("all", F.flatten(F.transform("radiology_facts", lambda f: f["nodules"])))
     b = b.withColumn("label_quality", label_quality(F.col("all"), F.col("smoking_eligibility.evidence_quality")))
     cue = F.try_element_at(F.filter(F.transform("all", lambda n: n["recommendation_cue"]), lambda c: F.coalesce(c != "", F.lit(False))), F.lit(1))
@@ -51,7 +82,7 @@ def assemble(facts: DataFrame, smoking: DataFrame, demographics: DataFrame, *, p
     keys = ("age", "sex", "race", "insurance", "source")
     note_ids = F.array_distinct(F.filter(F.transform("radiology_facts", lambda f: f["note_id"]), lambda x: F.coalesce(x != "", F.lit(False))))
     return b.select(
-        F.concat(F.lit("CASE-"), F.col("subject_id"), F.lit("-001")).alias("case_id"), "subject_id",
+        case_id().alias("case_id"), "subject_id",
         F.struct(*[F.col(f"d_{k}").alias(k) for k in keys], T.missing(**{k: F.col(f"d_{k}") for k in keys}).alias("missing_flags")).alias("demographics"),
         "radiology_facts", "smoking_eligibility",
         F.struct(F.col("action").alias("ground_truth_action"), F.when(F.col("action").isNotNull(), "extracted_from_report").otherwise("none").alias("ground_truth_source")).alias("recommendation_target"),
@@ -63,7 +94,11 @@ def assemble(facts: DataFrame, smoking: DataFrame, demographics: DataFrame, *, p
 def downgraded(bundles: DataFrame, recommendations: DataFrame) -> DataFrame:
     """Silver bundles get their recommendation; without one that says something they are weak."""
     r = recommendations.select("case_id", F.struct(*[c for c in recommendations.columns if c != "case_id"]).alias("recommendation_output"))
-    j = bundles.join(r, "case_id", "left")
+    return downgrade(bundles.join(r, "case_id", "left"))
+
+
+def downgrade(j: DataFrame) -> DataFrame:
+    """downgraded() of bundles that have a recommendation_output already."""
     silver = F.col("label_quality") == "silver"
     empty = F.coalesce(F.col("recommendation_output.recommendation_level"), F.lit("insufficient_data")) == "insufficient_data"
     return j.withColumn("recommendation_output", F.when(silver & ~empty, F.col("recommendation_output"))).withColumn("label_quality", F.when(silver & empty, "weak").otherwise(F.col("label_quality")))

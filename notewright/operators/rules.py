@@ -142,12 +142,29 @@ def recommend(nodules: DataFrame, cases: DataFrame) -> DataFrame:
 
     The dominant nodule is the most severe, then the largest, then the first. Rows are judged and gathered without their
     texts; only what is dominant is spelled out."""
-    e = judged(nodules)
-    best = F.struct("severity", F.coalesce("size_mm", F.lit(-1.0)).alias("s"), (-F.col("ordinal")).alias("o"))
-    top = e.groupBy("case_id").agg(F.max_by(F.struct(*JUDGED), best).alias("d"), F.count("*").alias("nodule_count"))
-    top = spelled(top.select("case_id", "nodule_count", "d.*"), ["case_id", "nodule_count", "size_mm", "change_status"])
-    top = top.select("case_id", "nodule_count", F.struct(*[c for c in top.columns if c not in ("case_id", "nodule_count")]).alias("d"))
-    out = cases.join(top, "case_id", "left")
+    top = judged(nodules).groupBy("case_id").agg(dominant(F.lit(True)).alias("d"), F.count("*").alias("nodule_count"))
+    return recommended(cases.join(_spelled_top(top, ["case_id"]), "case_id", "left"))
+
+
+def dominant(known: Column) -> Column:
+    """Aggregate of judged rows (ordinal: the order of nodules): what spelled() needs of the most severe, then the largest, then the first of those known."""
+    return F.max_by(F.struct(*JUDGED), F.when(known, F.struct("severity", F.coalesce("size_mm", F.lit(-1.0)).alias("s"), (-F.col("ordinal")).alias("o"))))
+
+
+def _spelled_top(top: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, nodule_count and d, in which what is dominant is spelled out."""
+    keep = [*keep, "nodule_count"]
+    top = spelled(top.select(*keep, "d.*"), [*keep, "size_mm", "change_status"])
+    return top.select(*keep, F.struct(*[c for c in top.columns if c not in keep]).alias("d"))
+
+
+def recommend_dominant(top: DataFrame, keep: list[str]) -> DataFrame:
+    """keep and recommend()'s columns of cases whose nodules are aggregated: case_id, smoking_eligible, nodule_count and d, their dominant()."""
+    return recommended(_spelled_top(top, ["case_id", "smoking_eligible", *keep]), keep)
+
+
+def recommended(out: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """keep and the recommendation of each case: case_id, smoking_eligible, nodule_count and d, the dominant nodule as it is spelled out (null: none)."""
     ok = F.col("d.size_mm").isNotNull()
     smoking = F.col("smoking_eligible")
     either = lambda a, b: F.when(ok, a).otherwise(b)
@@ -156,6 +173,7 @@ def recommend(nodules: DataFrame, cases: DataFrame) -> DataFrame:
     gaps = F.array_distinct(F.array_compact(F.concat(either(F.col("d.missing_information"), F.array(F.lit("nodule_size"))), F.array(no_smoking))))
     remarks = F.array_distinct(F.array_compact(F.concat(F.col("d.uncertainty_notes"), F.array(F.when(smoking.isNull(), NOTES["smoking_missing"])))))
     return out.select(
+        *keep,
         "case_id",
         either(F.col("d.level"), F.lit("insufficient_data")).alias("recommendation_level"),
         either(F.col("d.action"), F.lit(NOTES["no_facts"])).alias("recommendation_action"),
