@@ -89,7 +89,7 @@ def judged(nodules: DataFrame) -> DataFrame:
     """Adds to rows of nodules what their texts and sizes decide: threshold row, modifiers, category, severity."""
     d, known = F.col("density_category"), KNOWN
     n = nodules.withColumn("r_density", F.when(d.isin(known), d).otherwise("solid")).withColumn("r_new", F.coalesce(F.col("change_status") == "new", F.lit(False)))
-    n = n.withColumn("r_component", F.when(F.col("r_density") == "part_solid", T.solid_component(F.col("density_text"), F.col("evidence_span"), F.col("recommendation_cue"))))
+    n = n.withColumn("r_component", F.when(F.col("r_density") == "part_solid", T.bound(F.array("density_text", "evidence_span", "recommendation_cue"), lambda t: T.solid_component(t[0], t[1], t[2]))))
     at = F
     for i, row in enumerate(THRESHOLDS):
         at = at.when(_row_matches(F.col("r_density"), F.col("r_new"), F.col("size_mm"), F.col("r_component"), row), F.lit(i + 1))
